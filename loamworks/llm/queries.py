@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import decontamination
+from loamworks.llm import decontamination, near_dedup
 from loamworks.llm._io import table
 from loamworks.llm.packing import pack_documents
 from loamworks.llm.token_counts import count_tokens
@@ -25,6 +25,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -33,9 +37,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_output": op2_token_output,
     "op5_packing": op5_packing,
+    "op6_near_dedup": op6_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE_SQL,
+    "op6_near_dedup": near_dedup.ORACLE_SQL,
 }
