@@ -51,7 +51,14 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/loamworks/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        """`df` as written; the shuffle files that made it are deleted with it, as nothing needs them again."""
+        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting, "false")
+        self.spark.conf.set(setting, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

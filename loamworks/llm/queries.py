@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import decontamination, near_dedup, quality
+from loamworks.llm import decontamination, near_dedup, quality, suffix_dedup
 from loamworks.llm._io import table
 from loamworks.llm.packing import pack_documents
 from loamworks.llm.token_counts import count_tokens
@@ -29,6 +29,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
@@ -49,4 +54,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE_SQL,
     "op6_near_dedup": near_dedup.ORACLE_SQL,
+    "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }
