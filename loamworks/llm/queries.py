@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import decontamination, near_dedup, quality, suffix_dedup
+from loamworks.llm import decontamination, language_id, near_dedup, quality, suffix_dedup
 from loamworks.llm._io import table
 from loamworks.llm.packing import pack_documents
 from loamworks.llm.token_counts import count_tokens
@@ -21,6 +21,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_output": op2_token_output,
+    "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
