@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import decontamination, language_id, near_dedup, quality, suffix_dedup
+from loamworks.llm import decontamination, language_id, lm_scoring, near_dedup, quality, suffix_dedup
 from loamworks.llm._io import table
 from loamworks.llm.packing import pack_documents
 from loamworks.llm.token_counts import count_tokens
@@ -41,6 +41,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
 }
 
