@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamworks.llm import decontamination, language_id, lm_scoring, near_dedup, quality, suffix_dedup
+from loamworks.llm import decontamination, language_id, lm_scoring, near_dedup, neighbours, quality, suffix_dedup
 from loamworks.llm._io import table
 from loamworks.llm.packing import pack_documents
 from loamworks.llm.token_counts import count_tokens
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_output": op2_token_output,
     "op3_language_id": op3_language_id,
+    "op4_neighbours": op4_neighbours,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
