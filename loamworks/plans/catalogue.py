@@ -163,18 +163,18 @@ def q_near_dup_scalable(spark, d):
 
 
 def _turns(f: DataFrame, name: str, a: str, b: str) -> DataFrame:
-    return f.select("pos", F.posexplode(f"formatted.{name}").alias("at", "m")).select("pos", F.col("at").cast("long").alias("at"), f"m.{a}", f"m.{b}")
+    return f.select("pos", F.posexplode(f"formatted.{name}").alias("turn", "m")).select("pos", F.col("turn").cast("long").alias("turn"), f"m.{a}", f"m.{b}")
 
 
-_UNROLL = "e AS (SELECT pos, unnest(range(len(c))) AS at, unnest(c) AS m FROM convs WHERE len(c) >= 2)"
+_UNROLL = "e AS (SELECT pos, unnest(range(len(c))) AS turn, unnest(c) AS m FROM convs WHERE len(c) >= 2)"
 
 
-@query(f"WITH {CONVS}, {_UNROLL} SELECT pos, at, m.role AS role, m.content AS content FROM e")
+@query(f"WITH {CONVS}, {_UNROLL} SELECT pos, turn, m.role AS role, m.content AS content FROM e")
 def q_fmt_openai(spark, d):
     return _turns(format_items(views.conversations(spark, d), "openai", keep=["pos"]), "messages", "role", "content")
 
 
-@query(f"WITH {CONVS}, {_UNROLL} SELECT pos, at, CASE m.role WHEN 'user' THEN 'human' ELSE 'gpt' END AS \"from\", m.content AS value FROM e")
+@query(f"WITH {CONVS}, {_UNROLL} SELECT pos, turn, CASE m.role WHEN 'user' THEN 'human' ELSE 'gpt' END AS \"from\", m.content AS value FROM e")
 def q_fmt_sharegpt(spark, d):
     return _turns(format_items(views.conversations(spark, d), "sharegpt", keep=["pos"]), "conversations", "from", "value")
 
@@ -305,14 +305,14 @@ def q_dup_rate(spark, d):
 _TOKENS = r"t AS (SELECT doc_id AS pos, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)"
 
 
-@query(f"WITH {_TOKENS}, l AS (SELECT pos, unnest(range(len(w))) AS at, unnest(w) AS word FROM t), c AS (SELECT word, count(*) AS n, min((pos, at)) AS f FROM l GROUP BY word) SELECT word, n FROM c ORDER BY n DESC, f LIMIT 50")
+@query(f"WITH {_TOKENS}, l AS (SELECT pos, unnest(range(len(w))) AS i, unnest(w) AS word FROM t), c AS (SELECT word, count(*) AS n, min((pos, i)) AS f FROM l GROUP BY word) SELECT word, n FROM c ORDER BY n DESC, f LIMIT 50")
 def q_top_words(spark, d):
     """The limit is the report: the 50 most frequent."""
     return analytics.top_words(views.doc_items(spark, d))
 
 
 @query(
-    f"WITH {_TOKENS}, l AS (SELECT pos, unnest(range(len(w) - 1)) AS at, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM t WHERE len(w) > 1), c AS (SELECT bigram, count(*) AS n, min((pos, at)) AS f FROM l GROUP BY bigram) SELECT bigram, n FROM c ORDER BY n DESC, f LIMIT 50"
+    f"WITH {_TOKENS}, l AS (SELECT pos, unnest(range(len(w) - 1)) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM t WHERE len(w) > 1), c AS (SELECT bigram, count(*) AS n, min((pos, i)) AS f FROM l GROUP BY bigram) SELECT bigram, n FROM c ORDER BY n DESC, f LIMIT 50"
 )
 def q_top_bigrams(spark, d):
     """The limit is the report: the 50 most frequent."""
@@ -385,11 +385,11 @@ def _chunk_sql(size: int, overlap: int) -> str:
         at = f"{size} - strpos(reverse(s), reverse({sep})) - {n} + 1"
         return f"CASE WHEN strpos(reverse(s), reverse({sep})) > 0 AND {at} > {size // 2} THEN {at} + {n} END"
 
-    stop = f"CASE WHEN at + {size} < n THEN at + coalesce({cut('chr(10) || chr(10)', 2)}, {cut('chr(10)', 1)}, {cut(chr(39) + '. ' + chr(39), 2)}, {cut(chr(39) + ' ' + chr(39), 1)}, {size}) ELSE at + {size} END"
-    return rf"""RECURSIVE r AS (SELECT doc_id, text, length(text) AS n, 0::BIGINT AS at, NULL::BIGINT AS begun, NULL::BIGINT AS stop FROM documents WHERE length(text) > {size}
-UNION ALL SELECT doc_id, text, n, stop2 - {overlap}, at, stop2 FROM (SELECT *, {stop} AS stop2 FROM (SELECT * EXCLUDE (stop), substr(text, at + 1, {size}) AS s FROM r WHERE at < n))),
-cuts AS (SELECT doc_id, begun, regexp_replace(regexp_replace(substr(text, begun + 1, stop - begun), '^\s+', ''), '\s+$', '') AS chunk FROM r WHERE begun IS NOT NULL),
-chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY begun) - 1 AS chunk_index, chunk FROM cuts WHERE chunk <> '' UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= {size})"""
+    stop = f"CASE WHEN from_ + {size} < n THEN from_ + coalesce({cut('chr(10) || chr(10)', 2)}, {cut('chr(10)', 1)}, {cut(chr(39) + '. ' + chr(39), 2)}, {cut(chr(39) + ' ' + chr(39), 1)}, {size}) ELSE from_ + {size} END"
+    return rf"""RECURSIVE r AS (SELECT doc_id, text, length(text) AS n, 0::BIGINT AS from_, NULL::BIGINT AS was, NULL::BIGINT AS stop FROM documents WHERE length(text) > {size}
+UNION ALL SELECT doc_id, text, n, stop2 - {overlap}, from_, stop2 FROM (SELECT *, {stop} AS stop2 FROM (SELECT * EXCLUDE (stop), substr(text, from_ + 1, {size}) AS s FROM r WHERE from_ < n))),
+cuts AS (SELECT doc_id, was, regexp_replace(regexp_replace(substr(text, was + 1, stop - was), '^\s+', ''), '\s+$', '') AS chunk FROM r WHERE was IS NOT NULL),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY was) - 1 AS chunk_index, chunk FROM cuts WHERE chunk <> '' UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= {size})"""
 
 
 @query(f"WITH {_chunk_sql(3000, 0)} SELECT doc_id AS pos, chunk_index::INT AS chunk_index, chunk FROM chunks")

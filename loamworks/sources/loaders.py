@@ -149,11 +149,11 @@ def pdf_loader() -> Loader:
 
 
 def docx_loader() -> Loader:
-    return Loader("docx", (".docx",), _by_bytes(read_docx))
+    return Loader("docx", (".docx",), lambda data: _by_bytes(read_docx)(data))
 
 
 def json_loader(text_fields: Sequence[str] = ()) -> Loader:
-    return Loader("json", (".json",), _by_bytes(_json_reader(text_fields)))
+    return Loader("json", (".json",), lambda data: _by_bytes(_json_reader(text_fields))(data))
 
 
 _LOADERS: list[Loader] = [text_loader(), markdown_loader(), pdf_loader(), docx_loader(), json_loader()]
