@@ -28,6 +28,8 @@ from loamworks.llm._text import column, lowered, pieces, spans, utf8, word_hashe
 #: Rows that the model is fitted on, about; more labels or documents don't make them more.
 POSITIVES, UNLABELLED = 4000, 8000
 HIDDEN = 12
+#: Fewer trusted positives or unlabelled rows than this teach nothing.
+LEAST = 4
 #: The cut lies below this quantile of held-out trusted positives, by half its distance from their median.
 REJECTED_POSITIVES = 0.002
 
@@ -184,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """A model from about `positives` labelled good rows and `unlabelled` rows of all documents.
 
     Both samples are bounded and chosen by a hash of the id; ids that are null, labels that are
-    null or contradict each other, and texts without words aren't used. None without any positive.
+    null or contradict each other, and texts without words aren't used. None with fewer than LEAST
+    rows of either.
     """
     clean = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__q")).where("__id IS NOT NULL AND __q IS NOT NULL").groupBy("__id").agg(F.min("__q").alias("lo"))
     good = clean.where("lo = 1").select("__id")
@@ -206,14 +209,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float).reshape(-1, FEATURES)
     pos = x[[bool(r.pos) for r in rows]][: 2 * positives]
     unl = x[[r.unl for r in rows]][: 2 * unlabelled]
-    return fit(pos, unl) if len(pos) and len(unl) else None
+    return fit(pos, unl) if min(len(pos), len(unl)) >= LEAST else None
 
 
 def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, keep) for every row of `docs`.
 
-    A null or empty text, or one without words, has a null score and isn't kept. Without any
-    trusted positive nothing can be learnt: the score is null and texts with words are kept.
+    A null or empty text, or one without words, has a null score and isn't kept. With fewer than
+    LEAST trusted positives nothing can be learnt: the score is null and texts with words are kept.
     Repeated rows and null ids stay; other columns are ignored.
     """
     model = model or train(docs, labels, id_col=id_col, text_col=text_col)
