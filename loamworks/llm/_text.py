@@ -132,7 +132,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int, short: bool) ->
     acc = np.zeros(n, np.uint64)
     for j in range(k):
         acc *= _SHINGLE
-        acc[: n - j if j else n] += words[j:]
+        acc[: max(n - j, 0)] += words[j:]
     if short:
         few = np.flatnonzero((count > 0) & (count < k))
         if len(few):
