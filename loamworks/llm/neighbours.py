@@ -35,6 +35,8 @@ TRAINING, MEASURED = 12_000, 256
 #: Share of the exact neighbours that the searched lists must hold.
 WANTED = 0.98
 BLOCK, QUERIES = 32_768, 4096
+#: Cells of a block and QUERIES queries are searched in a task each, up to so many tasks.
+MOST_TASKS = 20_000
 #: Of each SLICE vectors of a block, so many are reranked exactly for each query.
 SLICE, RERANK = 8192, 384
 
@@ -279,7 +281,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, rerank: int = RE
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count)), pa.array(count[count > 0])], names=["block", "n"])
 
     asked = coded.select("x").mapInArrow(route_only, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
-    shards = asked.select("block", F.greatest(F.ceil(F.col("n") / queries), F.lit(1)).cast("int").alias("shards"))
+    shards = scratch.keep(asked.select("block", F.greatest(F.ceil(F.col("n") / queries), F.lit(1)).cast("int").alias("shards")), "shards")
+    cells = shards.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
     block_of = F.element_at(F.lit(first.tolist()), F.col("list") + 1) + F.pmod(F.xxhash64("id"), F.element_at(F.lit(parts.tolist()), F.col("list") + 1))
     data = coded.select(block_of.alias("block"), "id", "x", "codes", "norm").join(shards, "block")
     data = data.select("block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "id", "x", "codes", "norm")
@@ -294,7 +297,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, rerank: int = RE
         at, who, exact = _search(held.value, _stack(q["x"].combine_chunks(), dim), q_ids, _stack(d["x"].combine_chunks(), dim), codes, d["norm"].to_numpy(), d["id"].to_numpy(), k, rerank)
         return pa.table({"id": pa.array(q_ids[at], pa.int64()), "neighbor_id": pa.array(who, pa.int64()), "d": pa.array(exact, pa.float64())})
 
-    found = data.unionAll(asking).groupBy("block", "shard").applyInArrow(search, "id long, neighbor_id long, d double")
+    # a cell takes long for its bytes, so cells aren't gathered into tasks by their size
+    both = data.unionAll(asking).repartition(max(1, min(int(cells), MOST_TASKS)), "block", "shard")
+    found = both.groupBy("block", "shard").applyInArrow(search, "id long, neighbor_id long, d double")
     merged = found.groupBy("id", "neighbor_id").agg(F.min("d").alias("d"))
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbor_id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias(id_col), "neighbor_id", "rank", F.sqrt("d").alias("distance"))
