@@ -19,20 +19,20 @@ def _llm(name: str):
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loamworks")
-    p.add_argument("--version", action="version", version=__version__)
+    p.add_argument("--version", version=__version__, action="version")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("process")
     a.add_argument("input"), a.add_argument("output")
     a.add_argument("--llm", required=True, help="module:function from prompt to reply")
-    a.add_argument("--model", default="gpt-4"), a.add_argument("--extractors", nargs="+", default=["qa", "rules", "facts"])
-    a.add_argument("--format", default="openai"), a.add_argument("--chunk-size", type=int, default=3000), a.add_argument("--max-items", type=int, default=10)
-    a.add_argument("--workers", type=int, default=5), a.add_argument("--rate-limit", type=float), a.add_argument("--no-quality-filter", action="store_true"), a.add_argument("--jobs")
+    a.add_argument("--model", default="gpt-4"), a.add_argument("--extractors", default="qa rules facts".split(), nargs="+")
+    a.add_argument("--format", default="openai"), a.add_argument("--chunk-size", default=3000, type=int), a.add_argument("--max-items", default=10, type=int)
+    a.add_argument("--workers", type=int, default=5), a.add_argument("--rate-limit", type=float), a.add_argument("--jobs"), a.add_argument("--no-quality-filter", default=False, action="store_true")
     a = sub.add_parser("analyze")
     a.add_argument("input"), a.add_argument("--input-field", default="input"), a.add_argument("--output-field", default="output"), a.add_argument("--markdown", action="store_true"), a.add_argument("--output")
     a = sub.add_parser("augment")
     a.add_argument("input"), a.add_argument("output"), a.add_argument("--factor", type=float, default=2.0), a.add_argument("--field", default="output"), a.add_argument("--llm")
     a = sub.add_parser("checkpoints")
-    a.add_argument("action", choices=["list", "cleanup", "delete"]), a.add_argument("--dir", required=True), a.add_argument("--max-age", type=float, default=7), a.add_argument("--job-id")
+    a.add_argument("action", choices=["delete", "list", "cleanup"]), a.add_argument("--dir", required=True), a.add_argument("--max-age", type=float, default=7), a.add_argument("--job-id")
     a = sub.add_parser("upload")
     a.add_argument("inputs", nargs="+"), a.add_argument("--repo", required=True), a.add_argument("--hub", required=True), a.add_argument("--splits", nargs="+"), a.add_argument("--name"), a.add_argument("--description", default=""), a.add_argument("--private", action="store_true")
     a = sub.add_parser("download")
@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
     except KeyboardInterrupt:
         return 130
     except Exception as e:  # noqa: BLE001 - the command line says what went wrong
-        print(f"Error: {e}", file=sys.stderr)
+        print(f"loamworks: {e}", file=sys.stderr)
         return 1
 
 

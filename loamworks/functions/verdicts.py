@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from loamworks.functions.text import let, most_frequent, ngrams, stripped, token_count, words
 
-CREDENTIALS = r"(?i)\b(api[_-]?key|password|secret|token)\s*[:=]\s*\S+"
+CREDENTIALS = r"(?i)\b(?:secret|token|password|api[-_]?key)\s*[=:]\s*\S+"
 #: Patterns of which none may occur, unless others are given.
-BLOCKED = (CREDENTIALS, r"(?i)\b(todo|fixme|xxx)\b", r"(?i)(error|exception|traceback)", r"(?i)lorem ipsum", r"(?i)\[placeholder\]")
-ASKING = tuple("what why how when where who which can could would should is are do does did".split())
+BLOCKED = (CREDENTIALS, r"(?i)\b(?:xxx|fixme|todo)\b", r"(?i)(?:traceback|exception|error)", "(?i)lorem ipsum", "(?i)" + r"\[placeholder\]")
+ASKING = tuple("are can could did do does how is should what when where which who why would".split())
 
 
 def _first(*problems: tuple[Column, Column | str]) -> Column:

@@ -17,6 +17,8 @@ SYNONYMS = {
     "help": ("assist", "aid"), "important": ("weighty", "central"), "make": ("build", "form"), "need": ("require", "want"),
     "part": ("piece", "section"), "show": ("display", "present"), "use": ("apply", "employ"),
 }
+#: From a prompt to a reply.
+Model = Callable[[str], str]
 STYLES = {"formal": "in formal language", "casual": "in casual language", "detailed": "in more detail", "brief": "as briefly as possible", "step_by_step": "as steps in order"}
 
 
@@ -53,7 +55,7 @@ def synonym_augmenter(field: str = "output", variations: int = 2, share: float =
     return Augmenter("synonym", make)
 
 
-def _asked(items: DataFrame, prompt: Column, llm: Callable[[str], str]) -> DataFrame:
+def _asked(items: DataFrame, prompt: Column, llm: Model) -> DataFrame:
     return items.withColumn("__reply", stripped(ask(llm)(prompt)["reply"]))
 
 
@@ -62,7 +64,7 @@ def _new(items: DataFrame, field: str, tag: Column) -> DataFrame:
     return fresh.withColumn(field, F.col("__reply")).withColumn("_augmentation", tag).drop("__reply")
 
 
-def paraphrase_augmenter(llm: Callable[[str], str], field: str = "output", variations: int = 2) -> Augmenter:
+def paraphrase_augmenter(llm: Model, field: str = "output", variations: int = 2) -> Augmenter:
     def make(items: DataFrame) -> DataFrame:
         each = items.withColumn("__v", F.explode(F.sequence(F.lit(1), F.lit(variations))))
         return _new(_asked(each, F.concat(F.lit("Say this in other words (version "), F.col("__v").cast("string"), F.lit("), and nothing else:\n\n"), F.col(field)), llm).drop("__v"), field, F.lit("paraphrase"))
@@ -70,18 +72,18 @@ def paraphrase_augmenter(llm: Callable[[str], str], field: str = "output", varia
     return Augmenter("paraphrase", make)
 
 
-def question_augmenter(llm: Callable[[str], str], field: str = "input", variations: int = 3) -> Augmenter:
+def question_augmenter(llm: Model, field: str = "input", variations: int = 3) -> Augmenter:
     """One call; its numbered lines are the variations."""
 
     def make(items: DataFrame) -> DataFrame:
         got = _asked(items, F.concat(F.lit(f"Write {variations} other ways to ask this question, as a numbered list:\n\n"), F.col(field)), llm)
-        lines = F.regexp_extract_all("__reply", F.lit(r"(?md)^\d+[.):\s]+(.+)$"), F.lit(1))
+        lines = F.regexp_extract_all("__reply", F.lit(r"(?md)^[0-9]+[\s:).]+(.+)$"), F.lit(1))
         return _new(got.withColumn("__reply", F.explode(F.slice(F.transform(lines, stripped), 1, variations))), field, F.lit("question_variation"))
 
     return Augmenter("question_variation", make)
 
 
-def back_translation_augmenter(llm: Callable[[str], str], field: str = "output", languages: Sequence[str] = ("French", "German", "Spanish")) -> Augmenter:
+def back_translation_augmenter(llm: Model, field: str = "output", languages: Sequence[str] = ("French", "German", "Spanish")) -> Augmenter:
     """Texts of at least 20 characters, to each language and back."""
 
     def make(items: DataFrame) -> DataFrame:
@@ -92,14 +94,14 @@ def back_translation_augmenter(llm: Callable[[str], str], field: str = "output",
     return Augmenter("back_translation", make)
 
 
-def negation_augmenter(llm: Callable[[str], str], field: str = "output") -> Augmenter:
+def negation_augmenter(llm: Model, field: str = "output") -> Augmenter:
     def make(items: DataFrame) -> DataFrame:
         return _new(_asked(items, F.concat(F.lit("State the opposite of this, and nothing else:\n\n"), F.col(field)), llm), field, F.lit("negation")).withColumn("_is_negation", F.lit(True))
 
     return Augmenter("negation", make)
 
 
-def style_augmenter(llm: Callable[[str], str], field: str = "output", styles: Sequence[str] = tuple(STYLES)) -> Augmenter:
+def style_augmenter(llm: Model, field: str = "output", styles: Sequence[str] = tuple(STYLES)) -> Augmenter:
     """Texts of at least 30 characters, in each style; an unknown style is a KeyError."""
     how = {s: STYLES[s] for s in styles}
 
@@ -148,9 +150,9 @@ def augment(items: DataFrame, augmenters: Sequence[Augmenter], factor: float = 2
     return out if shuffle_seed is None else out.orderBy(hash_order(shuffle_seed, pos))
 
 
-def default_augmenters(llm: Callable[[str], str] | None = None) -> list[Augmenter]:
+def default_augmenters(llm: Model | None = None) -> list[Augmenter]:
     return ([paraphrase_augmenter(llm, variations=1)] if llm else []) + [synonym_augmenter(variations=2)]
 
 
-def qa_augmenters(llm: Callable[[str], str]) -> list[Augmenter]:
+def qa_augmenters(llm: Model) -> list[Augmenter]:
     return [question_augmenter(llm, variations=2), paraphrase_augmenter(llm, variations=1), synonym_augmenter(variations=1)]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BREAKS = ("\n\n", "\n", ". ", " ")
+BREAKS = ("\n" * 2, "\n", ". ", " ")
 
 
 def chunk_text(text: str, size: int, overlap: int = 0) -> list[str]:

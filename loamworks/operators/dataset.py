@@ -58,7 +58,7 @@ class Dataset:
     def shuffle(self, seed: int = 0) -> Dataset:
         return self._like(self._renumbered(self.df, [hash_order(seed), F.col("pos")]))
 
-    def split(self, train_ratio: float = 0.8, seed: int = 0) -> tuple[Dataset, Dataset]:
+    def split(self, train_ratio=0.8, seed=0) -> tuple[Dataset, Dataset]:
         """Exact sizes: floor(n * train_ratio) rows and the rest, after a shuffle."""
         mixed = self.shuffle(seed).df
         cut = int(mixed.count() * train_ratio)
@@ -111,7 +111,7 @@ class Dataset:
     def to_json(self, path: str) -> int:
         """One file {metadata, items}, put together on the driver row by row."""
         n = 0
-        with open(path, "w", encoding="utf-8") as out:
+        with open(path, encoding="utf-8", mode="w") as out:
             out.write('{"metadata": ' + json.dumps(self.metadata, ensure_ascii=False) + ', "items": [')
             for row in self.to_envelope().orderBy("pos").toLocalIterator():
                 out.write((",\n" if n else "\n") + row["item"])

@@ -38,7 +38,7 @@ def parse_array(reply: str | None) -> list[Any]:
         except ValueError:
             pass
     out = []
-    for m in re.finditer(r"\{[^{}]+\}", reply):
+    for m in re.finditer(r"\{[^}{]+\}", reply):
         try:
             out.append(json.loads(m.group()))
         except ValueError:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamworks.functions.text import base_name, normalised, short_hash, words
 
-_HEADERS = (re.compile(r"^(#{1,6})\s+(.+)$", re.M), re.compile(r"^(.+)\n[=-]{2,}$", re.M), re.compile(r"^(\d+(?:\.\d+)*\.?)\s+([A-Z].*)$", re.M))
+_HEADERS = (re.compile(r"^([#]{1,6})\s+(.+)$", re.M), re.compile(r"^(.+)\n[=-]{2,}$", re.M), re.compile(r"^([0-9]+(?:[.][0-9]+)*[.]?)\s+([A-Z].*)$", re.M))
 
 
 def item_id(content: Column) -> Column:

@@ -25,7 +25,7 @@ class DuplicateFilter:
 
     name = "duplicate"
 
-    def __init__(self, similarity_threshold: float = 0.9, field: str = "output", mode: str = "sequential", pos: str = "pos") -> None:
+    def __init__(self, field: str = "output", similarity_threshold=0.9, mode: str = "sequential", pos: str = "pos") -> None:
         if mode not in ("sequential", "scalable"):
             raise ValueError(f"unknown mode: {mode}")
         self.threshold, self.field, self.mode, self.pos = similarity_threshold, field, mode, pos
@@ -130,7 +130,7 @@ class QualityScorer:
     """`score` adds struct<overall, dimensions, passed, reasons>; any failure fails the row."""
 
     def __init__(self, filters: Sequence[Filter] = (), threshold: float = 0.6) -> None:
-        self.filters = list(filters) or [LengthFilter(min_length=20, max_length=5000), RepetitionFilter(), ContentFilter()]
+        self.filters = list(filters) or [LengthFilter(max_length=5000, min_length=20), RepetitionFilter(), ContentFilter()]
         self.threshold = threshold
 
     def column(self) -> Column:

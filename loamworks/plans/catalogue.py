@@ -80,7 +80,7 @@ def q_ngram_repetition(spark, d):
     return t.select("pos", _r("ngram_share").alias("ngram_share"), (F.col("ngram_share") <= 0.2).alias("passed"))
 
 
-_ASKING = " OR ".join(f"starts_with(q, '{w}')" for w in "what why how when where who which can could would should is are do does did".split())
+_ASKING = " OR ".join(f"starts_with(q, '{w}')" for w in "are can could did do does how is should what when where which who why would".split())
 
 
 @query(

@@ -71,9 +71,8 @@ class DatasetCard:
         for key in ("language", "task_categories", "task_ids", "tags", "size_categories", "source_datasets"):
             if values := getattr(self, key):
                 lines += [f"{key}:", *[f"- {v}" for v in values]]
-        lines.append(f"license: {self.license}")
-        if self.pretty_name:
-            lines.append(f"pretty_name: {self.pretty_name}")
+        lines += [f"license: {self.license}"]
+        lines += [f"pretty_name: {title}" for title in [self.pretty_name] if title]
         return "\n".join([*lines, "---"])
 
     def to_readme(self) -> str:
@@ -112,7 +111,7 @@ def upload_splits(transport: Transport, splits: dict[str, DataFrame], repo: str,
     return transport.url(repo)
 
 
-def upload_dataset(transport: Transport, df: DataFrame, repo: str, staging: str, split: str = "train", format: str = "jsonl", **options: Any) -> str:
+def upload_dataset(transport: Transport, df: DataFrame, repo: str, staging: str, format: str = "jsonl", split: str = "train", **options: Any) -> str:
     return upload_splits(transport, {split: df}, repo, staging, format, **options)
 
 

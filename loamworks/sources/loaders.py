@@ -31,7 +31,7 @@ def strip_tags(text: Column) -> Column:
 
 
 def squeeze_lines(text: Column) -> Column:
-    return stripped(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(text, "\n\n\n+", "\n\n"))
 
 
 def clean_markdown(text: Column, strip_html: bool = True) -> Column:
@@ -203,7 +203,7 @@ def load_folder(spark: SparkSession, folder: str, recursive: bool = True, extens
     p = jvm.org.apache.hadoop.fs.Path(folder)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
-        raise ValueError(f"Not a directory: {folder}")
+        raise ValueError(f"Not a folder: {folder}")
     wanted = sorted(supported_extensions() & {e.lower() for e in extensions} if extensions else supported_extensions())
     glob = "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(folder)

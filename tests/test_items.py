@@ -21,15 +21,19 @@ def formatted(df, name, **kw):
     return rows[0]["formatted"].asDict(recursive=True) if rows else None
 
 
+def said(**turns):
+    return [dict(role=r, content=c) for r, c in turns.items()]
+
+
 def test_formats(spark):
     qa = item(spark, question="Q?", answer="A")
-    assert formatted(qa, "openai", system_prompt="S")["messages"] == [{"role": "system", "content": "S"}, {"role": "user", "content": "Q?"}, {"role": "assistant", "content": "A"}]
+    assert formatted(qa, "openai", system_prompt="S")["messages"] == said(system="S", user="Q?", assistant="A")
     assert formatted(qa, "alpaca") == {"instruction": "Q?", "input": "", "output": "A"}
     assert formatted(qa, "sharegpt")["conversations"][1] == {"from": "gpt", "value": "A"}
     assert formatted(qa, "llamafactory")["history"] == []
     assert formatted(qa, "chatml")["text"].endswith("<|im_start|>assistant\nA<|im_end|>\n")
     rule = item(spark, rule="R", context="C", rationale="W")
-    assert formatted(rule, "openai")["messages"] == [{"role": "user", "content": "What is the rule regarding C?"}, {"role": "assistant", "content": "R\n\nRationale: W"}]
+    assert formatted(rule, "openai")["messages"] == said(user="What is the rule regarding C?", assistant="R\n\nRationale: W")
     assert formatted(rule, "chatml") is None
     assert formatted(item(spark, summary="S", original_text=""), "openai")["messages"][0]["content"] == "Provide a summary."
     assert formatted(item(spark, summary="S"), "sharegpt") is None
