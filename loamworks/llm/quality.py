@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
-Only trusted positives (labelled rows of good quality) and unlabelled web text are used; labelled
-bad rows are never shown to the model.  With g the model, l the logistic loss and p the class
+Only trusted positives (labelled rows of good quality that aren't labelled toxic) and unlabelled web
+text are used; labelled bad or toxic rows are never shown to the model as such.  With g the model, l the logistic loss and p the class
 prior, it minimises
 
     p E_pos[l(g)]  +  max(0, E_unl[l(-g)] - p E_pos[l(-g)])
@@ -10,6 +10,10 @@ and where the bracket turns negative it steps against it, as a model that fits i
 closely would make it do.  The prior is estimated beforehand: a classifier of positives against
 unlabelled text orders held-out rows, and p is the least ratio of the unlabelled share to the
 positive share above any cut of that order.
+
+Besides the form of a text the model sees its words, by hash: those that clearly more of the
+unlabelled than of the trusted texts have are evidence against a text, as toxic words are.  Where
+they make it likelier than not that a text isn't good, its score is set below the cut.
 """
 
 from __future__ import annotations
@@ -40,6 +44,10 @@ for _chars, _k in (("abcdefghijklmnopqrstuvwxyz", 1), ("aeiouy", 0), ("ABCDEFGHI
         _KIND[ord(_c)] = _k
 _KIND[0x80:] = 10
 FEATURES = _KINDS * _KINDS + 6
+#: Words, and the first PREFIX bytes of longer ones, are hashed to so many buckets.
+BUCKETS, PREFIX = 1 << 20, 6
+#: Standard errors by which a bucket's share of the unlabelled texts must exceed its share of the trusted ones.
+EVIDENT = 3.0
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +95,33 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, some
 
 
+def word_buckets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, text less lo, bucket) of the distinct buckets of the words, and of their first bytes, of consecutive texts."""
+    data, offsets = utf8(lowered(texts))
+    for lo, hi in pieces(offsets):
+        part = data[offsets[lo] : offsets[hi]]
+        starts, ends, first = spans(part, offsets[lo : hi + 1] - offsets[lo])
+        owner = np.repeat(np.arange(hi - lo), np.diff(first))
+        long = ends - starts > PREFIX
+        h = np.concatenate([word_hashes(part, starts, ends), word_hashes(part, starts[long], starts[long] + PREFIX) + np.uint64(1)])
+        both = np.unique(np.concatenate([owner, owner[long]]) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
+        yield lo, hi, both // BUCKETS, both % BUCKETS
+
+
+def weigh_words(pos: np.ndarray, unl: np.ndarray, n_pos: int, n_unl: int) -> np.ndarray:
+    """(BUCKETS,) evidence of a bucket against a text, from the numbers of texts that have it; 0 if it isn't clear."""
+    share_p, share_u = pos / n_pos, unl / n_unl
+    both = (pos + unl) / (n_pos + n_unl)
+    error = np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl))
+    weight = np.log((unl + 1) / (n_unl + 1)) - np.log((pos + 1) / (n_pos + 1))
+    return np.where((share_u - share_p > EVIDENT * error) & (weight > 0), weight, 0.0).astype(np.float32)
+
+
+def evidence(owner: np.ndarray, bucket: np.ndarray, n: int, words: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each text's buckets."""
+    return np.bincount(owner, words[bucket], minlength=n)
+
+
 def _distinct(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     bits = max(1, int(n).bit_length())
     key = np.sort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (values >> np.uint64(bits)))
@@ -105,6 +140,10 @@ class Model:
     b2: float
     prior: float = 1.0
     cut: float = 0.0
+    #: (BUCKETS,) evidence against a text; without it the model looks at form only.
+    words: np.ndarray | None = None
+    #: More evidence than this rejects a text.
+    most: float = np.inf
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(((x - self.mean) / self.scale).clip(-6, 6) @ self.w1 + self.b1, 0)
@@ -182,15 +221,17 @@ def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 3, rejected: float = REJEC
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", toxic_col: str = "toxic") -> Model | None:
     """A model from about `positives` labelled good rows and `unlabelled` rows of all documents.
 
     Both samples are bounded and chosen by a hash of the id; ids that are null, labels that are
-    null or contradict each other, and texts without words aren't used. None with fewer than LEAST
+    null or contradict each other, ids that any row marks toxic, and texts without words aren't
+    used as positives. Labels needn't have a column of toxicity. None with fewer than LEAST
     rows of either.
     """
-    clean = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__q")).where("__id IS NOT NULL AND __q IS NOT NULL").groupBy("__id").agg(F.min("__q").alias("lo"))
-    good = clean.where("lo = 1").select("__id")
+    toxic = F.coalesce(F.col(toxic_col).cast("int"), F.lit(0)) if toxic_col in labels.columns else F.lit(0)
+    clean = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__q"), toxic.alias("__toxic")).where("__id IS NOT NULL").groupBy("__id").agg(F.min("__q").alias("lo"), F.max("__toxic").alias("toxic"))
+    good = clean.where("lo = 1 AND toxic = 0").select("__id")
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id IS NOT NULL")
     n_good, n_docs = good.count(), slim.count()
     picked = good.where(chosen(F.col("__id"), positives, n_good, 11)).withColumn("__pos", F.lit(True))
@@ -201,15 +242,26 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, some = features(column(batch, "__text"))
-            made = pa.RecordBatch.from_arrays([column(batch, "__id").cast(pa.string()), column(batch, "__pos"), column(batch, "__unl"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "pos", "unl", "x"])
+            words: list[bytes] = []
+            for lo, hi, owner, bucket in word_buckets(column(batch, "__text")):
+                words += [w.tobytes() for w in np.split(bucket.astype(np.uint32), np.searchsorted(owner, np.arange(1, hi - lo)))]
+            made = pa.RecordBatch.from_arrays([column(batch, "__id").cast(pa.string()), column(batch, "__pos"), column(batch, "__unl"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(words, pa.binary())], names=["id", "pos", "unl", "x", "words"])
             yield made.filter(pa.array(some))
 
-    rows = sample.select("__id", "__text", "__pos", "__unl").mapInArrow(run, "id string, pos boolean, unl boolean, x binary").collect()
+    rows = sample.select("__id", "__text", "__pos", "__unl").mapInArrow(run, "id string, pos boolean, unl boolean, x binary, words binary").collect()
     rows = list({(r.id, bytes(r.x)): r for r in sorted(rows, key=lambda r: (r.id, bytes(r.x)))}.values())
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float).reshape(-1, FEATURES)
-    pos = x[[bool(r.pos) for r in rows]][: 2 * positives]
-    unl = x[[r.unl for r in rows]][: 2 * unlabelled]
-    return fit(pos, unl) if min(len(pos), len(unl)) >= LEAST else None
+    is_pos = np.flatnonzero([bool(r.pos) for r in rows])[: 2 * positives]
+    is_unl = np.flatnonzero([r.unl for r in rows])[: 2 * unlabelled]
+    if min(len(is_pos), len(is_unl)) < LEAST:
+        return None
+    held = [np.frombuffer(r.words, np.uint32) for r in rows]
+    words = weigh_words(*(np.bincount(np.concatenate([held[i] for i in at]), minlength=BUCKETS) for at in (is_pos, is_unl)), len(is_pos), len(is_unl))
+    model = fit(x[is_pos], x[is_unl])
+    against = [words[held[i]].sum() for i in is_pos]
+    # beyond this the odds of a good text are under even, and no more trusted texts are than form rejects
+    model.words, model.most = words, max(float(np.quantile(against, 1 - REJECTED_POSITIVES)), float(np.log(2 * model.prior)), 0.0)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,6 +288,9 @@ def judge(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     if model is None:
         return score, some
     score[some] = model.score(x[some])
+    if model.words is not None and model.words.any():
+        against = np.concatenate([np.zeros(0), *(evidence(owner, bucket, hi - lo, model.words) for lo, hi, owner, bucket in word_buckets(texts))])
+        score = np.where(some & (against > model.most), np.minimum(score, model.cut - against), score)
     return score, some & (np.nan_to_num(score, nan=-np.inf) >= model.cut)
 
 

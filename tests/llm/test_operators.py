@@ -320,6 +320,16 @@ def test_quality_odd(spark):
     assert quality.classify(odd.empty(spark), labels).count() == 0 and quality.drop_rejected(odd.empty(spark), labels).count() == 0
 
 
+def test_toxic_words_are_learnt(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    m = quality.train(docs.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 0"))
+    got = quality.classify(docs.where("doc_id % 2 = 1"), labels, m).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("quality = 1").toPandas()
+    toxic = got[got.toxic == 1]
+    # rows marked toxic in other languages have no word that is clearly more frequent in them
+    assert toxic[toxic.lang == "en"].keep.mean() < 0.02 and toxic.keep.mean() < 0.4 and got[got.toxic == 0].keep.mean() > 0.98
+
+
 def test_prior():
     rng = np.random.default_rng(1)
     pos = rng.normal(2, 1, (600, 4))
