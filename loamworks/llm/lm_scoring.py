@@ -8,9 +8,11 @@ likely as it is frequent in the corpus.  A document's score is the sum of its to
 log-probabilities.
 
 What is learnt grows with the corpus: frequencies count every word of every document, and the
-network is trained on a fixed share of all positions.  Training is spread over the cluster: in each
-round every shard of windows trains a copy from the last round's network, and the copies' rows are
-averaged by how often each was trained.  The driver holds one network, whose size is fixed.
+network is trained on all positions, each document's in one of ROUNDS rounds.  Training is spread
+over the cluster: in each round every task reads its documents, each shard of windows trains a copy
+from the last round's network as it streams by, and the copies' rows are averaged by how often each
+was trained.  Shards follow the partitions of the input.  The driver holds one network, whose size
+is fixed.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.llm._io import Scratch
 from loamworks.llm._text import column, lowered, mix, pieces, spans, utf8, word_hashes
 
 TOKENS = 1 << 15
@@ -37,8 +38,8 @@ CLASSES = 128
 ALONE = 96
 #: Logits are held between -LIMIT and LIMIT, so that their exponentials need no shift.
 LIMIT = 60.0
-#: One of so many positions is trained on.
-SHARE = 32
+#: One of so many positions is trained on: all.
+SHARE = 1
 ROUNDS = 4
 #: Windows of one shard in one round, about.
 SHARD = 40_000
@@ -132,25 +133,25 @@ def log_probabilities(model: Model, folded: np.ndarray, tokens: np.ndarray, arou
 def gradients(model: Model, target: np.ndarray, around: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss, gradients of w, b, v, c, and of the window's token vectors (2 WINDOW, n, DIM)."""
     n = len(target)
-    x = model.e[around]
-    pre = np.einsum("pnd,pdh->nh", x, model.w, optimize=True) + model.b
+    x = model.e[around.T].reshape(n, -1)
+    w = model.w.reshape(x.shape[1], -1)
+    pre = x @ w + model.b
     h = np.maximum(pre, 0)
     z = np.clip(h @ model.v + model.c, -LIMIT, LIMIT)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
-    of = model.of[target]
-    loss = float(-(np.log(np.maximum(z[np.arange(n), of], 1e-12)) + model.logp[target]).mean())
-    z[np.arange(n), of] -= 1
+    of, row = model.of[target], np.arange(n)
+    loss = float(-(np.log(np.maximum(z[row, of], 1e-12)) + model.logp[target]).mean())
+    z[row, of] -= 1
     z /= n
     dh = (z @ model.v.T) * (pre > 0)
-    grads = {"w": np.einsum("pnd,nh->pdh", x, dh, optimize=True), "b": dh.sum(0), "v": h.T @ z, "c": z.sum(0)}
-    return loss, grads, np.einsum("nh,pdh->pnd", dh, model.w, optimize=True)
+    grads = {"w": (x.T @ dh).reshape(model.w.shape), "b": dh.sum(0), "v": h.T @ z, "c": z.sum(0)}
+    return loss, grads, (dh @ w.T).reshape(n, 2 * WINDOW, DIM).transpose(1, 0, 2)
 
 
 def train_copy(model: Model, windows: np.ndarray, rate: float, seed: int, batch: int = 128) -> tuple[Model, np.ndarray]:
     """A copy trained on (n, 2 WINDOW + 1) windows, the target last, and how often each token's vector was trained."""
     own = Model(model.of, model.logp, *(getattr(model, k).copy() for k in ("e", "w", "b", "v", "c")))
-    seen = np.zeros(TOKENS + 1)
     sums = {k: np.full_like(getattr(own, k), 1e-4) for k in ("e", "w", "b", "v", "c")}
     order = np.random.default_rng(seed).permutation(len(windows))
     for lo in range(0, len(order), batch):
@@ -160,12 +161,16 @@ def train_copy(model: Model, windows: np.ndarray, rate: float, seed: int, batch:
         for k, g in grads.items():
             sums[k] += g * g
             getattr(own, k)[...] -= (rate * g / np.sqrt(sums[k])).astype(np.float32)
-        ids, at = np.unique(around.ravel(), return_inverse=True)
-        g = np.zeros((len(ids), DIM), np.float32)
-        np.add.at(g, at, de.reshape(-1, DIM))
-        sums["e"][ids] += g * g
-        own.e[ids] -= rate * g / np.sqrt(sums["e"][ids])
-        seen += np.bincount(around.ravel(), minlength=TOKENS + 1)
+        flat = around.ravel()
+        order_ids = np.argsort(flat, kind="stable")
+        ids = flat[order_ids]
+        begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ids = ids[begin]
+        g = np.add.reduceat(de.reshape(-1, DIM)[order_ids], begin, axis=0)
+        past = sums["e"][ids] + g * g
+        sums["e"][ids] = past
+        own.e[ids] -= rate * g / np.sqrt(past)
+    seen = np.bincount(windows[:, :-1].ravel(), minlength=TOKENS + 1).astype(float)
     return own, seen
 
 
@@ -181,30 +186,32 @@ def _set_dense(model: Model, flat: np.ndarray) -> None:
         at += x.size
 
 
-def _gather(slim: DataFrame, share: int) -> DataFrame:
-    """(kind, key, part): counts of tokens by block, and windows by round and random number."""
+def _gather(slim: DataFrame) -> DataFrame:
+    """(key, part): counts of tokens by block."""
     n_block = TOKENS // _BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TOKENS, np.int64)
         for batch in batches:
-            found = []
-            for _, _, tokens, first in tokens_of(column(batch, "__text")):
+            for _, _, tokens, _ in tokens_of(column(batch, "__text")):
                 counts += np.bincount(tokens, minlength=TOKENS)
-                if not len(tokens):
-                    continue
-                around = contexts(tokens, first)
-                # chosen by a hash of the whole window, so the same whatever the order of the rows
-                key = mix(((tokens * 31 + around[0]) * 31 + around[WINDOW]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                picked = np.flatnonzero(key % np.uint64(share) == 0)
-                found.append((np.concatenate([around[:, picked], tokens[None, picked]]).T.astype(np.uint16), (key[picked] >> np.uint64(20)) % np.uint64(1 << 30)))
-            if found:
-                windows, key = np.concatenate([w for w, _ in found]), np.concatenate([k for _, k in found]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int8)), pa.array(key), pa.array([w.tobytes() for w in windows], pa.binary())], names=["kind", "key", "part"])
         parts = [counts[k * n_block : (k + 1) * n_block].tobytes() for k in range(_BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(_BLOCKS, np.int8)), pa.array(np.arange(_BLOCKS)), pa.array(parts, pa.binary())], names=["kind", "key", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS)), pa.array(parts, pa.binary())], names=["key", "part"])
+
+    return slim.mapInArrow(run, "key long, part binary")
 
-    return slim.mapInArrow(run, "kind byte, key long, part binary")
+
+def windows_of(tokens: np.ndarray, first: np.ndarray, share: int) -> np.ndarray:
+    """(n, 2 WINDOW + 1) windows, the target last, of one of `share` positions, by a hash of document and position."""
+    around = contexts(tokens, first)
+    if share > 1:
+        size = np.diff(first)
+        place = (np.arange(len(tokens)) - np.repeat(first[:-1], size)).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens.astype(np.uint64) + place * np.uint64(TOKENS)))])
+        key = mix(np.repeat(total[first[1:]] - total[first[:-1]], size) + place * np.uint64(0x9E3779B97F4A7C15))
+        picked = np.flatnonzero(key % np.uint64(share) == 0)
+        tokens, around = tokens[picked], around[:, picked]
+    return np.concatenate([around, tokens[None]]).T.astype(np.uint16)
 
 
 def _counts(gathered: DataFrame) -> np.ndarray:
@@ -213,22 +220,41 @@ def _counts(gathered: DataFrame) -> np.ndarray:
         return pa.table({"key": [key[0].as_py()], "part": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(TOKENS, np.int64)
-    for r in gathered.where("kind = 0").groupBy("key").applyInArrow(add, "key long, part binary").collect():
+    for r in gathered.groupBy("key").applyInArrow(add, "key long, part binary").collect():
         out[r["key"] * (TOKENS // _BLOCKS) :][: TOKENS // _BLOCKS] = np.frombuffer(r["part"], np.int64)
     return out
 
 
-def _copy(held: Broadcast, rate: float, turn: int, n_block: int):
-    """Trains a shard's copy; its rows times their weights, by block, and the rest of the network as block -1."""
+def _copies(held: Broadcast, rate: float, turn: int, n_block: int, share: int, shard: int):
+    """Trains a copy on each shard of a task's windows; the sum of their rows times their weights, by block, and of the rest of the network as block -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, e, seen, n, shards = 0.0, np.zeros((TOKENS + 1, DIM)), np.zeros(TOKENS + 1), 0, 0
+
+        def add(windows: np.ndarray) -> None:
+            nonlocal dense, n, shards
+            own, often = train_copy(held.value, windows, rate, shards * 1000 + turn)
+            dense = dense + _dense(own) * len(windows)
+            e[...] += own.e * often[:, None]
+            seen[...] += often
+            n, shards = n + len(windows), shards + 1
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = np.frombuffer(b"".join(table.sort_by([("key", "ascending"), ("part", "ascending")])["part"].to_pylist()), np.uint16).reshape(-1, 2 * WINDOW + 1)
-        own, seen = train_copy(held.value, found, rate, key[0].as_py() * 1000 + turn)
-        rows = [(-1, (_dense(own) * len(found)).astype(np.float32).tobytes(), np.array([len(found)], np.float32).tobytes())]
-        for k in range(_BLOCKS):
-            e, s = own.e[k * n_block : (k + 1) * n_block], seen[k * n_block : (k + 1) * n_block, None]
-            rows.append((k, (e * s).astype(np.float32).tobytes(), s.astype(np.float32).tobytes()))
-        return pa.table({"block": pa.array([x[0] for x in rows], pa.int32()), "value": pa.array([x[1] for x in rows], pa.binary()), "weight": pa.array([x[2] for x in rows], pa.binary())})
+        left: list[np.ndarray] = []
+        for batch in batches:
+            for _, _, tokens, first in tokens_of(column(batch, "__text")):
+                left.append(windows_of(tokens, first, share))
+                while sum(map(len, left)) >= shard:
+                    joined = np.concatenate(left)
+                    add(joined[:shard])
+                    left = [joined[shard:]]
+        if sum(map(len, left)):
+            add(np.concatenate(left))
+        if n:
+            rows = [(-1, dense.astype(np.float32).tobytes(), np.array([n], np.float32).tobytes())]
+            for k in range(_BLOCKS):
+                at = slice(k * n_block, (k + 1) * n_block)
+                rows.append((k, e[at].astype(np.float32).tobytes(), seen[at].astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], names=["block", "value", "weight"])
 
     return run
 
@@ -245,18 +271,15 @@ def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
 def train(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: int = SHARD, rate: float = 0.1, text_col: str = "text") -> Model:
     """A model of the whole corpus: see above. An empty corpus gives the network untrained."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    gathered = scratch.keep(_gather(docs.select(F.col(text_col).alias("__text")), share), "gathered")
-    model = new_model(_counts(gathered))
-    windows = gathered.where("kind = 1").select("key", "part")
-    shards = max(1, round(windows.count() / rounds / shard))
+    slim = docs.select(F.col(text_col).alias("__text"))
+    model = new_model(_counts(_gather(slim)))
     n_block = -(-(TOKENS + 1) // _BLOCKS)
     for r in range(rounds):
         held = spark.sparkContext.broadcast(model)  # of fixed size
         step = rate * (1 - 0.7 * r / rounds)
 
-        own = windows.where(F.pmod("key", F.lit(rounds)) == r).withColumn("shard", F.floor(F.col("key") / rounds).cast("long") % shards)
-        sums = own.groupBy("shard").applyInArrow(_copy(held, step, r, n_block), "block int, value binary, weight binary").groupBy("block").applyInArrow(_add, "block int, value binary, weight binary")
+        own = slim.where(F.pmod(F.xxhash64("__text"), F.lit(rounds)) == r)
+        sums = own.mapInArrow(_copies(held, step, r, n_block, share, shard), "block int, value binary, weight binary").groupBy("block").applyInArrow(_add, "block int, value binary, weight binary")
         for row in sums.collect():  # _BLOCKS + 1 rows, whatever the input
             value, weight = np.frombuffer(row["value"], np.float64), np.frombuffer(row["weight"], np.float64)
             if row["block"] < 0:
@@ -266,7 +289,6 @@ def train(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: int
                 hit = weight > 0
                 e[hit] = value.reshape(-1, DIM)[hit] / weight[hit, None]
         held.unpersist()
-    scratch.drop("gathered")
     return model
 
 

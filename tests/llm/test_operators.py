@@ -393,3 +393,12 @@ def test_lm_scoring(spark, sf):
     out = {r.doc_id: r for r in lm_scoring.score(odd.table(spark), m).collect()}
     assert out[2].n_tokens == 0 and out[3].per_token is None and out[5].n_tokens == 60_000
     assert lm_scoring.score(odd.empty(spark)).count() == 0
+
+
+def test_lm_trains_on_all_positions():
+    texts = ["a b c d a b c", "a b c", "", "e"]
+    got = [lm_scoring.windows_of(tokens, first, lm_scoring.SHARE) for _, _, tokens, first in lm_scoring.tokens_of(pa.array(texts))]
+    assert sum(map(len, got)) == 11
+    # of a trigram that occurs often some positions are picked, neither all nor none
+    _, _, tokens, first = next(lm_scoring.tokens_of(pa.array(["x y z " * 1000])))
+    assert 2500 / 4 < len(lm_scoring.windows_of(tokens, first, 4)) < 3500 / 4
