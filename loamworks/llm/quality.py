@@ -1,8 +1,8 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
 Only trusted positives (labelled rows of good quality that aren't labelled toxic) and unlabelled web
-text are used; labelled bad or toxic rows are never shown to the model as such.  With g the model, l the logistic loss and p the class
-prior, it minimises
+text are used; labelled bad or toxic rows are never shown to the model as such.  With g the model, l
+the logistic loss and p the class prior, it minimises
 
     p E_pos[l(g)]  +  max(0, E_unl[l(-g)] - p E_pos[l(-g)])
 
@@ -11,9 +11,14 @@ closely would make it do.  The prior is estimated beforehand: a classifier of po
 unlabelled text orders held-out rows, and p is the least ratio of the unlabelled share to the
 positive share above any cut of that order.
 
+The positives are a bounded sample of the labelled rows; the unlabelled text is every document.  Its
+features are written once, in random order; in each of ROUNDS rounds every task trains a copy of the
+model on each shard of its rows, and the copies are averaged.
+
 Besides the form of a text the model sees its words, by hash: those that clearly more of the
-unlabelled than of the trusted texts have are evidence against a text, as toxic words are.  Where
-they make it likelier than not that a text isn't good, its score is set below the cut.
+unlabelled than of the trusted texts have, or have often, are evidence against a text, as toxic
+words are.  Where they make it likelier than not that a text isn't good, its score is set below the
+cut.
 """
 
 from __future__ import annotations
@@ -27,14 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.llm._sample import chosen
-from loamworks.llm._text import column, lowered, pieces, spans, utf8, word_hashes
+from loamworks.llm._io import Scratch
+from loamworks.llm._text import column, lowered, mix, pieces, spans, utf8, word_hashes
 
-#: Rows that the model is fitted on, about; more labels or documents don't make them more.
-POSITIVES, UNLABELLED = 4000, 8000
+#: Labelled rows that the model is fitted on, about; more labels don't make them more.
+POSITIVES = 8000
+#: Rounds of training, passes over each shard in one, rows of a shard; shards of a task.
+ROUNDS, EPOCHS, SHARD, SHARDS = 6, 10, 8192, 2
 HIDDEN = 12
 #: Fewer trusted positives or unlabelled rows than this teach nothing.
 LEAST = 4
-#: The cut lies below this quantile of held-out trusted positives, by half its distance from their median.
+#: The cut lies below this quantile of held-out trusted positives, by its distance from their median.
+LOW = 0.01
+#: Share of the trusted positives that their words may reject.
 REJECTED_POSITIVES = 0.002
 
 _KINDS = 12
@@ -44,8 +54,9 @@ for _chars, _k in (("abcdefghijklmnopqrstuvwxyz", 1), ("aeiouy", 0), ("ABCDEFGHI
         _KIND[ord(_c)] = _k
 _KIND[0x80:] = 10
 FEATURES = _KINDS * _KINDS + 6
-#: Words, and the first PREFIX bytes of longer ones, are hashed to so many buckets.
-BUCKETS, PREFIX = 1 << 20, 6
+#: Words, the first PREFIX bytes of longer ones, and those of them that are OFTEN twice or more and one word of so many, are hashed to so many buckets.
+BUCKETS, PREFIX, OFTEN = 1 << 20, 6, 256
+_BLOCKS = 32
 #: Standard errors by which a bucket's share of the unlabelled texts must exceed its share of the trusted ones.
 EVIDENT = 3.0
 
@@ -96,15 +107,22 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_buckets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(lo, hi, text less lo, bucket) of the distinct buckets of the words, and of their first bytes, of consecutive texts."""
+    """(lo, hi, text less lo, bucket) of the distinct buckets of consecutive texts: words, first bytes, frequent first bytes."""
     data, offsets = utf8(lowered(texts))
     for lo, hi in pieces(offsets):
         part = data[offsets[lo] : offsets[hi]]
         starts, ends, first = spans(part, offsets[lo : hi + 1] - offsets[lo])
-        owner = np.repeat(np.arange(hi - lo), np.diff(first))
+        count = np.diff(first)
+        owner = np.repeat(np.arange(hi - lo), count)
         long = ends - starts > PREFIX
-        h = np.concatenate([word_hashes(part, starts, ends), word_hashes(part, starts[long], starts[long] + PREFIX) + np.uint64(1)])
-        both = np.unique(np.concatenate([owner, owner[long]]) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
+        heads = word_hashes(part, starts[long], starts[long] + PREFIX)
+        of = np.uint64(BUCKETS)
+        whole = owner * BUCKETS + (word_hashes(part, starts, ends) % of).astype(np.int64)
+        head, times = np.unique(owner[long] * BUCKETS + ((heads + np.uint64(1)) % of).astype(np.int64), return_counts=True)
+        text = head // BUCKETS
+        often = (times > 1) & (times * OFTEN >= count[text])
+        again = text[often] * BUCKETS + (mix(head[often].astype(np.uint64) % of + np.uint64(BUCKETS)) % of).astype(np.int64)
+        both = np.unique(np.concatenate([whole, head, again]))
         yield lo, hi, both // BUCKETS, both % BUCKETS
 
 
@@ -156,111 +174,258 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def _new(x: np.ndarray, hidden: int, rng: np.random.Generator) -> Model:
-    return Model(x.mean(0), x.std(0) + 1e-3, rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), 0.0)
+_NAMES = ("w1", "b1", "w2", "b2")
 
 
-def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int, epochs: int, seed: int, decay: float = 1e-3) -> Model:
-    """With a prior: the non-negative risk. Without: positives against unlabelled, to order rows."""
+def new_model(mean: np.ndarray, scale: np.ndarray, seed: int, hidden: int = HIDDEN) -> Model:
     rng = np.random.default_rng(seed)
-    model = _new(unl, hidden, rng)
-    names = ("w1", "b1", "w2", "b2")
-    m = {k: np.zeros_like(np.asarray(getattr(model, k), float)) for k in names}
-    v = {k: np.zeros_like(np.asarray(getattr(model, k), float)) for k in names}
-    step, batches = 0, max(1, len(unl) // 256)
+    n = len(mean)
+    return Model(mean, scale, rng.normal(0, 1 / np.sqrt(n), (n, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), 0.0)
+
+
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float | None) -> tuple[float, np.ndarray, np.ndarray]:
+    """What a step lowers, by the scores of positives and of unlabelled rows, and its slopes by these.
+
+    With a prior, the non-negative risk; where its bracket is negative, minus the bracket. Without,
+    the loss of positives against unlabelled rows, to order rows.
+    """
+    n, m = max(len(gp), 1), max(len(gu), 1)
+    if prior is None:
+        return float(np.logaddexp(0, -gp).sum() / n + np.logaddexp(0, gu).sum() / m), -_sigmoid(-gp) / n, _sigmoid(gu) / m
+    bracket = np.logaddexp(0, gu).sum() / m - prior * np.logaddexp(0, gp).sum() / n
+    if bracket >= 0:
+        return float(prior * np.logaddexp(0, -gp).sum() / n + bracket), prior * (-_sigmoid(-gp) - _sigmoid(gp)) / n, _sigmoid(gu) / m
+    return float(-bracket), prior * _sigmoid(gp) / n, -_sigmoid(gu) / m
+
+
+def gradients(model: Model, x: np.ndarray, d: np.ndarray, decay: float = 1e-3) -> dict[str, np.ndarray]:
+    """From the slopes d by the scores of rows x; `decay` pulls the weights towards 0."""
+    z = ((x - model.mean) / model.scale).clip(-6, 6)
+    h = np.maximum(z @ model.w1 + model.b1, 0)
+    dh = np.outer(d, model.w2) * (h > 0)
+    return {"w1": z.T @ dh + decay * model.w1, "b1": dh.sum(0), "w2": h.T @ d + decay * model.w2, "b2": np.asarray(d.sum())}
+
+
+def train_copy(model: Model, pos: np.ndarray, unl: np.ndarray, prior: float | None, epochs: int, seed: int, rate: float = 3e-3, batch: int = 256) -> Model:
+    """A copy trained on all of `unl` with as many parts of `pos`, by Adam."""
+    rng = np.random.default_rng(seed)
+    own = Model(model.mean, model.scale, *(np.array(getattr(model, k), float) for k in _NAMES))
+    m = {k: np.zeros_like(getattr(own, k)) for k in _NAMES}
+    v = {k: np.zeros_like(getattr(own, k)) for k in _NAMES}
+    step, batches = 0, max(1, len(unl) // batch)
     for _ in range(epochs):
-        parts = zip(np.array_split(rng.permutation(len(pos)), batches), np.array_split(rng.permutation(len(unl)), batches), strict=True)
-        for ip, iu in parts:
-            if not len(ip):
-                ip = rng.integers(0, len(pos), 16)
+        order = rng.permutation(len(pos))
+        for i, iu in enumerate(np.array_split(rng.permutation(len(unl)), batches)):
+            width = max(16, -(-len(pos) // batches))
+            ip = order[np.arange(i * width, (i + 1) * width) % len(order)] if width < len(pos) else order
             x = np.concatenate([pos[ip], unl[iu]])
-            z = ((x - model.mean) / model.scale).clip(-6, 6)
-            h = np.maximum(z @ model.w1 + model.b1, 0)
-            g = h @ model.w2 + model.b2
-            gp, gu = g[: len(ip)], g[len(ip) :]
-            dp, du = np.zeros(len(ip)), _sigmoid(gu) / len(iu)
-            if prior is None:
-                dp = -_sigmoid(-gp) / len(ip)
-            else:
-                bracket = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-                if bracket >= 0:
-                    dp = prior * (-_sigmoid(-gp) - _sigmoid(gp)) / len(ip)
-                else:  # climb out of the negative part only
-                    dp, du = prior * _sigmoid(gp) / len(ip), -du
-            d = np.concatenate([dp, du])
-            dh = np.outer(d, model.w2) * (h > 0)
-            grads = {"w2": h.T @ d + decay * model.w2, "b2": np.asarray(d.sum()), "w1": z.T @ dh + decay * model.w1, "b1": dh.sum(0)}
+            g = own.score(x)
+            _, dp, du = risk(g[: len(ip)], g[len(ip) :], prior)
+            grads = gradients(own, x, np.concatenate([dp, du]))
             step += 1
-            for k in names:
+            for k in _NAMES:
                 m[k] = 0.9 * m[k] + 0.1 * grads[k]
                 v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2
-                setattr(model, k, getattr(model, k) - 3e-3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8))
-    return model
+                setattr(own, k, getattr(own, k) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8))
+    return own
+
 
+def prior_of(p: np.ndarray, above_u: np.ndarray, n_unl: int) -> float:
+    """Share of positives among n_unl unlabelled rows: the least ratio of tail shares.
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> float:
-    """Share of positives in the unlabelled sample: the least ratio of tail shares, on rows not fitted on."""
-    half = _fit(pos[::2], unl[::2], None, HIDDEN, 12, seed)
-    p, u = np.sort(half.score(pos[1::2])), np.sort(half.score(unl[1::2]))
+    p: ascending scores of held-out positives; above_u: how many unlabelled rows score as high as
+    each of the first nine tenths of them.
+    """
     cuts = p[: max(1, len(p) * 9 // 10)]
     above_p = (len(p) - np.searchsorted(p, cuts)) / len(p)
-    above_u = (len(u) - np.searchsorted(u, cuts)) / len(u)
+    share = above_u / max(n_unl, 1)
     # two standard errors are added, as the least of many ratios falls below the true one by chance
-    error = np.sqrt(above_u * (1 - above_u) / len(u) + above_u**2 / above_p * (1 - above_p) / len(p))
-    return float(np.clip(((above_u + 2 * error) / above_p).min(), 0.05, 0.98))
+    error = np.sqrt(share * (1 - share) / max(n_unl, 1) + share**2 / above_p * (1 - above_p) / len(p))
+    return float(np.clip(((share + 2 * error) / above_p).min(), 0.05, 0.98))
+
+
+def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = 0.0, 0
+    for b in batches:
+        for v, w in zip(column(b, "value").to_pylist(), column(b, "n").to_pylist(), strict=True):
+            total, n = total + np.frombuffer(v, np.float64), n + w
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.asarray(total).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["block", "value", "n"])
+
+
+_SUM = "block int, value binary, n long"
+
+
+def _summed(rows: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
+    """Sums of the values and weights of (block, value, n), a few blocks of fixed size."""
+    return {r["block"]: (np.frombuffer(r["value"], np.float64), r["n"]) for r in rows.groupBy("block").applyInArrow(_add, _SUM).collect()}
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 3, rejected: float = REJECTED_POSITIVES) -> Model:
-    prior = estimate_prior(pos, unl)
+def _one(value: np.ndarray, n: int, block: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.asarray(value, np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["block", "value", "n"])
+
+
+def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(column(batch, "x").to_pylist()), np.float16).reshape(-1, FEATURES).astype(float)
+
+
+def _count_buckets(slim: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each bucket is, and how many texts have a word, over all rows."""
+    size = BUCKETS // _BLOCKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            for _, _, owner, bucket in word_buckets(column(batch, "__text")):
+                counts += np.bincount(bucket, minlength=BUCKETS)
+                n += len(np.unique(owner))
+        for k in range(_BLOCKS):
+            yield _one(counts[k * size : (k + 1) * size], n, k)
+
+    got = _summed(slim.select("__text").mapInArrow(run, _SUM))
+    return (np.concatenate([got[k][0] for k in range(_BLOCKS)]), got[0][1]) if got else (np.zeros(BUCKETS), 0)
+
+
+def _averaged(shown: DataFrame, model: Model, pos: np.ndarray, prior: float | None, rounds: int, epochs: int, parity: int | None, shard: int) -> Model:
+    """Rounds over all rows (of a parity): each shard trains a copy, and the copies are averaged by their rows."""
+    spark = shown.sparkSession
+    for turn in range(rounds):
+        held = spark.sparkContext.broadcast((model, pos))  # of fixed size and of POSITIVES rows
+
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, held=held) -> Iterator[pa.RecordBatch]:
+            start, good = held.value
+            total, n, left = 0.0, 0, []
+
+            def work(x: np.ndarray) -> None:
+                nonlocal total, n
+                own = train_copy(start, good, x, prior, epochs, turn * 1000 + len(x))
+                total, n = total + np.concatenate([np.ravel(getattr(own, k)) for k in _NAMES]) * len(x), n + len(x)
+
+            for batch in batches:
+                x = _rows_of(batch)
+                left.append(x if parity is None else x[column(batch, "odd").to_numpy(zero_copy_only=False) == bool(parity)])
+                while sum(map(len, left)) >= shard:
+                    joined = np.concatenate(left)
+                    work(joined[:shard])
+                    left = [joined[shard:]]
+            if sum(map(len, left)):
+                work(np.concatenate(left))
+            if n:
+                yield _one(total, n)
+
+        got = _summed(shown.mapInArrow(run, _SUM))
+        held.unpersist()
+        if not got:
+            return model
+        flat, at = got[0][0] / got[0][1], 0
+        parts = {}
+        for k in _NAMES:
+            old = np.asarray(getattr(model, k))
+            parts[k] = flat[at : at + old.size].reshape(old.shape)
+            at += old.size
+        model = Model(model.mean, model.scale, **parts)
+    return model
+
+
+def _moments(shown: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _rows_of(batch)
+                yield _one(np.concatenate([x.sum(0), (x * x).sum(0)]), len(x))
+
+    total, n = _summed(shown.mapInArrow(run, _SUM))[0]
+    mean = total[:FEATURES] / n
+    return mean, np.sqrt(np.maximum(total[FEATURES:] / n - mean**2, 0)) + 1e-3
+
+
+def _tails(shown: DataFrame, model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of the odd rows score as high as each cut, and how many these rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _rows_of(batch)[column(batch, "odd").to_numpy(zero_copy_only=False)]
+            if len(x):
+                yield _one(len(x) - np.searchsorted(np.sort(model.score(x)), cuts), len(x))
+
+    got = _summed(shown.mapInArrow(run, _SUM))
+    return got[0] if got else (np.zeros(len(cuts)), 0)
+
+
+def estimate_prior(shown: DataFrame, pos: np.ndarray, mean: np.ndarray, scale: np.ndarray, shard: int = SHARD, seed: int = 5) -> float:
+    """Share of positives among all unlabelled rows, by half of the rows with a classifier of the other half."""
+    order = _averaged(shown, new_model(mean, scale, seed), pos[::2], None, 2, 6, 0, shard)
+    p = np.sort(order.score(pos[1::2] if len(pos) > 1 else pos))
+    above, n = _tails(shown, order, p[: max(1, len(p) * 9 // 10)])
+    return prior_of(p, above, n)
+
+
+def fit(shown: DataFrame, pos: np.ndarray, rounds: int = ROUNDS, epochs: int = EPOCHS, shard: int = SHARD, low_share: float = LOW, seed: int = 3) -> Model:
+    """The form model, from (x, odd) of all unlabelled rows and the features of positives."""
+    mean, scale = _moments(shown)
+    prior = estimate_prior(shown, pos, mean, scale, shard)
     held = np.arange(len(pos)) % 4 == 0
-    model = _fit(pos[~held] if len(pos) > 8 else pos, unl, prior, HIDDEN, 60, seed)
+    model = _averaged(shown, new_model(mean, scale, seed), pos[~held] if len(pos) > 8 else pos, prior, rounds, epochs, None, shard)
     model.prior = prior
     # the prior is uncertain, so the cut isn't 0 but well below nearly all of the held-out trusted text
-    low, middle = np.quantile(model.score(pos[held] if len(pos) > 8 else pos), [rejected, 0.5])
-    model.cut = float(low - (middle - low) / 2)
+    low, middle = np.quantile(model.score(pos[held] if len(pos) > 8 else pos), [low_share, 0.5])
+    model.cut = float(low - (middle - low))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", toxic_col: str = "toxic") -> Model | None:
-    """A model from about `positives` labelled good rows and `unlabelled` rows of all documents.
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, rounds: int = ROUNDS, epochs: int = EPOCHS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", toxic_col: str = "toxic") -> Model | None:
+    """A model from about `positives` labelled good rows and all documents.
 
-    Both samples are bounded and chosen by a hash of the id; ids that are null, labels that are
-    null or contradict each other, ids that any row marks toxic, and texts without words aren't
+    The positives are chosen by a hash of the id, one row for each; ids that are null, labels that
+    are null or contradict each other, ids that any row marks toxic, and texts without words aren't
     used as positives. Labels needn't have a column of toxicity. None with fewer than LEAST
-    rows of either.
+    positives or texts with words.
     """
+    spark = docs.sparkSession
     toxic = F.coalesce(F.col(toxic_col).cast("int"), F.lit(0)) if toxic_col in labels.columns else F.lit(0)
     clean = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__q"), toxic.alias("__toxic")).where("__id IS NOT NULL").groupBy("__id").agg(F.min("__q").alias("lo"), F.max("__toxic").alias("toxic"))
     good = clean.where("lo = 1 AND toxic = 0").select("__id")
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id IS NOT NULL")
-    n_good, n_docs = good.count(), slim.count()
-    picked = good.where(chosen(F.col("__id"), positives, n_good, 11)).withColumn("__pos", F.lit(True))
+    slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    picked = good.where(chosen(F.col("__id"), positives, good.count(), 11))
     # picked is bounded by the parameter, so it can go to every task
-    sample = slim.join(F.broadcast(picked), "__id", "left").where(F.col("__pos").isNotNull() | chosen(F.col("__id"), unlabelled, n_docs, 12))
-    sample = sample.withColumn("__unl", chosen(F.col("__id"), unlabelled, n_docs, 12))
+    sample = slim.join(F.broadcast(picked), "__id").select(F.col("__id").cast("string").alias("id"), "__text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, some = features(column(batch, "__text"))
             words: list[bytes] = []
             for lo, hi, owner, bucket in word_buckets(column(batch, "__text")):
                 words += [w.tobytes() for w in np.split(bucket.astype(np.uint32), np.searchsorted(owner, np.arange(1, hi - lo)))]
-            made = pa.RecordBatch.from_arrays([column(batch, "__id").cast(pa.string()), column(batch, "__pos"), column(batch, "__unl"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(words, pa.binary())], names=["id", "pos", "unl", "x", "words"])
+            made = pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(words, pa.binary())], names=["id", "x", "words"])
             yield made.filter(pa.array(some))
 
-    rows = sample.select("__id", "__text", "__pos", "__unl").mapInArrow(run, "id string, pos boolean, unl boolean, x binary, words binary").collect()
-    rows = list({(r.id, bytes(r.x)): r for r in sorted(rows, key=lambda r: (r.id, bytes(r.x)))}.values())
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float).reshape(-1, FEATURES)
-    is_pos = np.flatnonzero([bool(r.pos) for r in rows])[: 2 * positives]
-    is_unl = np.flatnonzero([r.unl for r in rows])[: 2 * unlabelled]
-    if min(len(is_pos), len(is_unl)) < LEAST:
+    one = sample.mapInArrow(positive, "id string, x binary, words binary").groupBy("id").agg(F.min(F.struct("x", "words")).alias("r"))
+    rows = sorted((r["id"], bytes(r["r"]["x"]), bytes(r["r"]["words"])) for r in one.collect())
+    if len(rows) < LEAST:
         return None
-    held = [np.frombuffer(r.words, np.uint32) for r in rows]
-    words = weigh_words(*(np.bincount(np.concatenate([held[i] for i in at]), minlength=BUCKETS) for at in (is_pos, is_unl)), len(is_pos), len(is_unl))
-    model = fit(x[is_pos], x[is_unl])
-    against = [words[held[i]].sum() for i in is_pos]
+    pos = np.array([np.frombuffer(r[1], np.float32) for r in rows], float)
+    held = [np.frombuffer(r[2], np.uint32) for r in rows]
+    unl, n_unl = _count_buckets(slim)
+    if n_unl < LEAST:
+        return None
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, some = features(column(batch, "__text"))
+            made = pa.RecordBatch.from_arrays([column(batch, "place"), column(batch, "odd"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["place", "odd", "x"])
+            yield made.filter(pa.array(some))
+
+    # by a hash, so that every task gets rows of all sources
+    place = F.xxhash64("__id", "__text", F.lit(12))
+    shown = slim.select((place.bitwiseAND(1) == 1).alias("odd"), F.shiftright(place, 1).alias("place"), "__text").mapInArrow(form, "place long, odd boolean, x binary")
+    scratch = Scratch(spark, "quality")
+    tasks = min(max(1, -(-n_unl // (SHARDS * shard))), 20_000)
+    shown = scratch.keep(shown.repartition(tasks, F.shiftright("place", 8)).sortWithinPartitions("place").select("odd", "x"), "features")
+    model = fit(shown, pos, rounds, epochs, shard)
+    scratch.drop("features")
+    model.words = weigh_words(np.bincount(np.concatenate(held), minlength=BUCKETS), unl, len(rows), n_unl)
+    against = [model.words[h].sum() for h in held]
     # beyond this the odds of a good text are under even, and no more trusted texts are than form rejects
-    model.words, model.most = words, max(float(np.quantile(against, 1 - REJECTED_POSITIVES)), float(np.log(2 * model.prior)), 0.0)
+    model.most = max(float(np.quantile(against, 1 - REJECTED_POSITIVES)), float(np.log(2 * model.prior)), 0.0)
     return model
 
 

@@ -8,11 +8,33 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from loamworks.llm import decontamination, language_id, lm_scoring, near_dedup, neighbours, packing, quality, queries, suffix_dedup, token_counts, token_output
+from loamworks.llm import _text, decontamination, language_id, lm_scoring, near_dedup, neighbours, packing, quality, queries, suffix_dedup, token_counts, token_output
+
+
+WORD = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\U{int(m.group(1), 16):08x}", _text.WORD_SQL))
 
 
 def words(text):
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+    return WORD.findall((text or "").lower())
+
+
+def test_words():
+    texts = {"“hello”—then x": ["hello", "then", "x"], "Müller's straße": ["müller", "s", "straße"], "один 😀abc": ["один", "abc"], "中文abc字": ["中", "文", "abc", "字"], "ไท x": ["ไ", "ท", "x"], "…": [], "": [], "한국어 word": ["한국어", "word"]}
+    data, offsets = _text.utf8(_text.lowered(pa.array(list(texts))))
+    starts, ends, first = _text.spans(data, offsets)
+    found = [[data[starts[i] : ends[i]].tobytes().decode() for i in range(a, b)] for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert found == list(texts.values()) == [words(t) for t in texts]
+
+
+def test_chinese_is_found_cut_and_grouped(spark):
+    rng = np.random.default_rng(6)
+    item = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 60)))
+    own = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 400))) for _ in range(4)]
+    docs = spark.createDataFrame([(0, own[0] + item + own[1]), (1, own[2] + "。" + item), (2, own[3]), (3, own[3] + "新")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in decontamination.contamination(docs, items).collect()) == [0, 1]
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(docs).collect()) == [(1, 400, 460), (3, 0, 400)]
+    assert {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -69,6 +91,16 @@ def test_codes_round_trip(widths):
         token_output.encode(np.array([1 << 20]), widths)
 
 
+@pytest.mark.parametrize("widths", [(8, 4, 4), (4, 4, 8), (5, 7, 4), (1, 7, 8)])
+def test_token_at_knows_the_length(spark, widths):
+    texts = [" ".join(["word"] * n) for n in (1, 2, 3, 5, 7, 9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    coded = token_output.encode_documents(df, widths=widths)
+    for i in (-1, 0, 1, 2, 3, 5, 8, 9, 10):
+        found = coded.select("n_tokens", token_output.token_at("levels", F.lit(i), widths, "n_tokens").alias("t")).collect()
+        assert all((r.t is not None) == (0 <= i < r.n_tokens) for r in found)
+
+
 # ---- language ----
 
 
@@ -94,21 +126,20 @@ def _plain_network(m, text):
     """One byte after the other, as the rules of a gated recurrent network say."""
     hidden, data, out = m.u.shape[2], text.encode(), []
     hard = lambda v: np.clip(v, 0, 1)
-    for a in range(0, len(data), language_id.SEGMENT):
-        part, found = data[a : a + language_id.SEGMENT], []
-        for d, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
-            h, at = np.zeros(hidden), {}
-            for i in order:
-                x, u = m.w[d, part[i]], m.u[d] @ h
-                r, z = hard(x[:hidden] + u[:hidden]), hard(x[hidden : 2 * hidden] + u[hidden : 2 * hidden])
-                n = np.clip(x[2 * hidden :] + r * u[2 * hidden :], -1, 1)
-                h = (1 - z) * n + z * h
-                at[i] = h
-            found.append(at)
-        for i in range(len(part)):
-            e = np.exp(m.v[0] @ found[0][i] + m.v[1] @ found[1][i] + m.c)
-            out.append(e / e.sum())
-    return np.mean(out, axis=0)
+    found = []
+    for d, order in ((0, range(len(data))), (1, range(len(data) - 1, -1, -1))):
+        h, at = np.zeros(hidden), {}
+        for i in order:
+            x, u = m.w[d, data[i]], m.u[d] @ h
+            r, z = hard(x[:hidden] + u[:hidden]), language_id.HELD * hard(x[hidden : 2 * hidden] + u[hidden : 2 * hidden])
+            n = np.clip(x[2 * hidden :] + r * u[2 * hidden :], -1, 1)
+            h = (1 - z) * n + z * h
+            at[i] = h
+        found.append(at)
+    for i in range(len(data)):
+        e = np.exp(m.v[0] @ found[0][i] + m.v[1] @ found[1][i] + m.c)
+        out.append(e / e.sum())
+    return np.array(out)
 
 
 def test_language_is_learnt(spark):
@@ -119,7 +150,7 @@ def test_language_is_learnt(spark):
     assert (np.array(m.languages)[p.argmax(axis=1)] == held.lang.to_numpy()).mean() > 0.97
     assert (np.bincount(owner, length, len(held)) == size).all() and len(of) == len(start)
     for i in range(5):
-        assert np.allclose(p[i], _plain_network(m, held.text.iloc[i]), atol=1e-3)
+        assert np.allclose(p[i], _plain_network(m, held.text.iloc[i]).mean(axis=0), atol=1e-3)
     got = {(r.doc_id, r.lang): r for r in language_id.identify(odd.table(spark), m).collect()}
     assert got[(2, None)].runs == [] and got[(3, None)].probability is None
     assert sum(r.length for r in next(v for k, v in got.items() if k[0] == 5).runs) == len(odd.LONG)
@@ -127,6 +158,44 @@ def test_language_is_learnt(spark):
     assert language_id.identify(odd.empty(spark)).count() == 0
 
 
+def test_language_states_go_through_the_whole_text(spark):
+    t = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").toPandas()
+    by = {k: " ".join(g.text.iloc[:20]).replace("\n", " ") for k, g in t.groupby("lang")}
+    m = language_id.fit(list(by.values()), list(by), steps=120)
+    names = np.array(m.languages)
+    mixed = by["en"][:700] + by["de"][:900] + by["fr"][:1111] + "日本" + by["es"][:300]
+    p, size, (owner, start, length, of) = language_id.label(m, pa.array([mixed, "", mixed[:5], mixed]))
+    assert size[0] == len(mixed.encode()) and p[1].sum() == 0 and np.allclose(p[0], p[3])
+    plain = _plain_network(m, mixed)
+    got = np.repeat(of[owner == 0], length[owner == 0])
+    top = np.sort(plain, axis=1)
+    sure = top[:, -1] - top[:, -2] > 0.02
+    assert (got == plain.argmax(axis=1))[sure].all() and sure.mean() > 0.9
+    want = np.repeat(["en", "de", "fr", "fr", "es"], [len(x.encode()) for x in (by["en"][:700], by["de"][:900], by["fr"][:1111], "日本", by["es"][:300])])
+    assert (names[got] == want).mean() > 0.9
+    # a network that forgets nothing is read over again until it holds
+    m.w[:, :, 8:16] += 5
+    few = language_id.label(m, pa.array([mixed[:1500]]))[0][0]
+    assert np.allclose(few, _plain_network(m, mixed[:1500]).mean(axis=0), atol=5e-3)
+
+
+def test_many_languages(spark):
+    names = [f"l{i:03}" for i in range(150)]
+    m = language_id.fit([f"{n} " * 10 for n in names], names, steps=2)
+    m.c[:] = 0
+    m.c[149] = 50
+    df = spark.createDataFrame([(1, "some text")], "doc_id int, text string")
+    assert language_id.identify(df, m).first().lang == "l149"
+
+
+def test_language_sample_is_bounded(spark):
+    assert len(language_id.spread_segments("é" * 1_000_000)) == language_id.PER_TEXT
+    parts = language_id.spread_segments("ab" * 1000)
+    assert b"".join(parts) == b"ab" * 1000
+    df = spark.createDataFrame([(1, "same text", "en")] * 500 + [(2, "autre", "fr")], "doc_id int, text string, lang string")
+    assert language_id.train(df).languages == ["en", "fr"]
+
+
 # ---- neighbours ----
 
 
@@ -155,6 +224,30 @@ def test_odd_vectors(spark):
     assert neighbours.nearest_neighbours(df.where("vec_id = 2")).count() == 0
 
 
+def test_dense_group_that_the_sample_misses(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    wide = rng.normal(size=(3000, 16))
+    dense = rng.normal(size=16) + rng.normal(0, 0.003, (3000, 16))
+    x = np.concatenate([wide, dense]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    pick = neighbours.chosen
+    monkeypatch.setattr(neighbours, "chosen", lambda key, wanted, total, salt: (key < 3000) & pick(key, wanted, total, salt))
+    got = neighbours.nearest_neighbours(df, every=50, block=2000).toPandas().groupby("vec_id").neighbor_id.apply(set).to_dict()
+    assert sorted(got) == list(range(0, 6000, 50))
+    hit = []
+    for i in got:
+        d = ((x.astype(float) - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hit.append(len(got[i] & set(np.argsort(d)[:10].tolist())) / 10)
+    assert np.mean(hit[60:]) >= 0.95 and np.mean(hit) >= 0.95
+
+
+def test_neighbours_of_named_rows(spark):
+    df = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 0.0]), ("c", [5.0, 0.0]), (None, [0.0, 0.0])], "vec_id string, embedding array<double>")
+    got = sorted((r.vec_id, r.rank, r.neighbor_id) for r in neighbours.nearest_neighbours(df, k=1).collect())
+    assert got == [("a", 1, "b"), ("b", 1, "a"), ("c", 1, "b")]
+
+
 # ---- packing ----
 
 
@@ -330,11 +423,66 @@ def test_toxic_words_are_learnt(spark):
     assert toxic[toxic.lang == "en"].keep.mean() < 0.02 and toxic.keep.mean() < 0.4 and got[got.toxic == 0].keep.mean() > 0.98
 
 
-def test_prior():
+def _shown(spark, x, parts=3):
+    full = np.zeros((len(x), quality.FEATURES), np.float16)
+    full[:, : x.shape[1]] = x
+    return spark.createDataFrame([(i % 2 == 1, r.tobytes()) for i, r in enumerate(full)], "odd boolean, x binary").repartition(parts).cache()
+
+
+def test_prior(spark):
     rng = np.random.default_rng(1)
-    pos = rng.normal(2, 1, (600, 4))
-    unl = np.concatenate([rng.normal(2, 1, (600, 4)), rng.normal(-2, 1, (400, 4))])
-    assert 0.5 < quality.estimate_prior(pos, unl[rng.permutation(1000)]) < 0.75
+    pos = np.zeros((600, quality.FEATURES))
+    pos[:, :4] = rng.normal(2, 1, (600, 4))
+    unl = np.concatenate([rng.normal(2, 1, (600, 4)), rng.normal(-2, 1, (400, 4))])[rng.permutation(1000)]
+    shown = _shown(spark, unl)
+    mean, scale = quality._moments(shown)
+    assert np.allclose(mean[:4], unl.mean(0), atol=1e-2) and np.allclose(scale[:4], unl.std(0) + 1e-3, atol=1e-2)
+    assert 0.5 < quality.estimate_prior(shown, pos, mean, scale) < 0.75
+    m = quality.fit(shown, pos, shard=300)
+    full = np.zeros((1000, quality.FEATURES))
+    full[:, :4] = unl
+    g = m.score(full)
+    assert ((g > 0) == (unl.sum(1) > 0)).mean() > 0.95
+
+
+@pytest.mark.parametrize("prior", [None, 0.3, 0.95])
+def test_quality_gradients(prior):
+    """The slopes of the risk against differences of it, word for word by its formula, on both sides of the bracket."""
+    rng = np.random.default_rng(2)
+    pos, unl = rng.normal(1, 1, (7, 5)), rng.normal(0, 1, (11, 5))
+    m = quality.new_model(np.zeros(5), np.ones(5), 1, 3)
+
+    def value():
+        l_pos, l_neg, l_unl = (np.log1p(np.exp(s)).mean() for s in (-m.score(pos), m.score(pos), m.score(unl)))
+        if prior is None:
+            return l_pos + l_unl
+        bracket = l_unl - prior * l_neg
+        return prior * l_pos + bracket if bracket >= 0 else -bracket
+
+    x = np.concatenate([pos, unl])
+    g = m.score(x)
+    got, dp, du = quality.risk(g[:7], g[7:], prior)
+    assert abs(got - value()) < 1e-9
+    grads = quality.gradients(m, x, np.concatenate([dp, du]), decay=0)
+    for k in ("w1", "b1", "w2"):
+        flat, i = getattr(m, k).reshape(-1), int(np.abs(grads[k]).argmax())
+        old, both = flat[i], []
+        for e in (1e-5, -1e-5):
+            flat[i] = old + e
+            both.append(value())
+        flat[i] = old
+        assert abs((both[0] - both[1]) / 2e-5 - grads[k].reshape(-1)[i]) < 1e-4
+
+
+def test_buckets_by_brute_force():
+    texts = ["achlichung " * 3 + "other achlichkeit", "once achlichung", "", "éééééé ééééééa " * 300]
+    for lo, hi, owner, bucket in quality.word_buckets(pa.array(texts)):
+        assert len(owner) == len(set(zip(owner.tolist(), bucket.tolist(), strict=True)))
+        n = np.bincount(owner, minlength=hi - lo)
+        # words, first bytes, and those that are frequent
+        assert n.tolist()[:3] == [3 + 1 + 1, 2 + 1, 0]
+    counts = quality.weigh_words(np.array([0, 500, 5]), np.array([30, 500, 6]), 1000, 1000)
+    assert counts[0] > 2 and counts[1] == 0 == counts[2]
 
 
 # ---- language model ----
