@@ -1,8 +1,10 @@
 """Numpy kernels over Arrow string buffers, shared by the operators.
 
-A *word* is a maximal run of ASCII letters, ASCII digits and non-ASCII characters of the
-lower-cased text; every other character separates words.  In SQL:
-``regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+')``.
+A *word* of the lower-cased text is a maximal run of letters and digits of any script, or one
+character of a script that doesn't put spaces between words (Chinese, Japanese, Thai, Lao, Burmese,
+Khmer).  Every other character - punctuation, symbols, emoji, white space - separates words.  Which
+characters are which goes by blocks: those of SEPARATE and ALONE below, all others beyond ASCII are
+letters.  In SQL: ``regexp_extract_all(lower(text), WORD_SQL)``.
 
 All kernels work on whole texts.  They take a few hundred kilobytes at a time only so that the
 arrays stay in the processor's cache.
@@ -16,12 +18,37 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORD_SQL = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+#: Code points beyond ASCII that aren't part of words, by first and last.
+SEPARATE = (
+    (0x80, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7),
+    (0x55A, 0x55F), (0x589, 0x58A), (0x5BE, 0x5BE), (0x5C0, 0x5C0), (0x5C3, 0x5C3), (0x60C, 0x60C), (0x61B, 0x61F), (0x6D4, 0x6D4), (0x964, 0x965),
+    (0x2000, 0x206F), (0x20A0, 0x20CF), (0x2190, 0x245F), (0x2500, 0x2BFF), (0x2E00, 0x2E7F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F),
+    (0xE000, 0xF8FF), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFFE0, 0xFFFF), (0x1F000, 0x1FAFF),
+)
+#: Code points that are a word each.
+ALONE = (
+    (0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x303C), (0x3040, 0x312F),
+    (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
 
-IS_WORD = np.zeros(256, dtype=bool)
-IS_WORD[0x80:] = True
+
+def _ranges(spans_: tuple[tuple[int, int], ...]) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans_)
+
+
+WORD_SQL = f"[{_ranges(ALONE)}]|[^{_ranges(((0, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)))}{_ranges(SEPARATE)}{_ranges(ALONE)}]+"
+
+#: By code point: 0 separates, 1 is part of a word, 2 is a word.
+_CLASS = np.ones(0x110000, np.uint8)
+_CLASS[:0x80] = 0
 for _span in ("09", "AZ", "az"):
-    IS_WORD[ord(_span[0]) : ord(_span[1]) + 1] = True
+    _CLASS[ord(_span[0]) : ord(_span[1]) + 1] = 1
+for _a, _b in SEPARATE:
+    _CLASS[_a : _b + 1] = 0
+for _a, _b in ALONE:
+    _CLASS[_a : _b + 1] = 2
+_ASCII = np.ones(256, np.uint8)
+_ASCII[:0x80] = _CLASS[:0x80]
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
@@ -88,23 +115,41 @@ def pieces(offsets: np.ndarray, limit: int = 400_000) -> Iterator[tuple[int, int
         lo = hi
 
 
+def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte's character, and where the characters are that are words of their own."""
+    kind = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return kind, lead
+    b = np.concatenate([data, np.zeros(3, np.uint8)])
+    size = 2 + (b[lead] >= 0xE0) + (b[lead] >= 0xF0)
+    at = [(b[lead + i] & 0x3F).astype(np.int32) for i in range(4)]
+    point = np.where(size == 2, (at[0] & 0x1F) << 6 | at[1], np.where(size == 3, (at[0] & 0x0F) << 12 | at[1] << 6 | at[2], (at[0] & 0x07) << 18 | at[1] << 12 | at[2] << 6 | at[3]))
+    of = _CLASS[np.minimum(point, 0x10FFFF)]
+    odd = np.flatnonzero(of != 1)
+    for i in range(4):
+        place = odd[size[odd] > i]
+        kind[np.minimum(lead[place] + i, len(data) - 1)] = of[place]
+    return kind, lead[odd][of[odd] == 2]
+
+
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each text the number of its first word."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = IS_WORD[data]
-    edge = offsets[(offsets > 0) & (offsets < n)]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    before[edge] = False
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[edge - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    kind, alone = _classes(data)
+    inside = kind > 0
+    fresh = np.empty(n, bool)  # a word begins here, if any does
+    fresh[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=fresh[1:])
+    fresh[alone] = True
+    fresh[offsets[(offsets > 0) & (offsets < n)]] = True
+    starts = np.flatnonzero(inside & fresh)
+    last = np.empty(n, bool)
+    last[-1] = True
+    last[:-1] = fresh[1:]
+    ends = np.flatnonzero(inside & last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamworks.llm._text import column, lowered, pieces, shingle_hashes, spans, utf8, word_hashes
+from loamworks.llm._text import WORD_SQL, column, lowered, pieces, shingle_hashes, spans, utf8, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -274,8 +274,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHIN
 
 
 ORACLE_SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s
        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM d WHERE len(w) >= {SHINGLE})),
 bs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s

@@ -2,12 +2,18 @@
 
 Every byte of a text is a position.  Two gated recurrent networks read the bytes, one in each
 direction, and a softmax over both states gives each position its probabilities; their mean over
-all positions of a text is the text's.  A text is read whole, in segments of SEGMENT bytes with a
-fresh state each, so that thousands of segments of many texts step together and a text of any
-length takes no longer than many short ones.
-
-The network is trained here, in numpy, by backpropagation through time over whole segments.
-Gates are hard sigmoids and candidates hard tangents, as these need neither exp nor division.
+all positions of a text is the text's.  Both carry their states over the whole text.
+
+Texts are read in stretches of STRETCH bytes, so that thousands of stretches of many texts step
+together.  A stretch begins with the state that WARM bytes of its neighbour leave behind; once all
+are read, each that should have begun with another state - by more than TOLERANCE from the one its
+neighbour ended with - is read again from that one, until there is none.  The states are then those
+of one walk over the whole text, however long the network remembers.
+
+The network is trained here, in numpy, by backpropagation through time over segments of SEGMENT
+bytes, spread over all of each text.
+Gates are hard sigmoids and candidates hard tangents, as these need neither exp nor division, and no
+byte leaves more than HELD of the state before it, so that states forget and few are read twice.
 """
 
 from __future__ import annotations
@@ -28,8 +34,14 @@ HIDDEN = 8
 #: Labelled rows of each language that the network is trained on, about; more rows don't make them more.
 PER_LANGUAGE = 400
 STEPS, BATCH = 300, 192
-#: Segments that step together.
-TOGETHER = 2048
+#: Segments of one row that it is trained on at most, evenly spread over the text.
+PER_TEXT = 64
+#: Stretches that step together; bytes of one, and of its neighbour that it starts from.
+TOGETHER, STRETCH, WARM = 2048, 256, 96
+#: Most of a state that one byte leaves: what was read long ago fades.
+HELD = 0.9
+#: By how much a state may differ from the one that one walk over the text would have.
+TOLERANCE = 1e-3
 
 
 @dataclass
@@ -65,30 +77,34 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = SEGMENT) -> tu
     return x, owner, begin, n
 
 
-def states(model: Model, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+def states(model: Model, x: np.ndarray, keep: list | None = None, begin: np.ndarray | None = None, ahead: np.ndarray | None = None) -> np.ndarray:
     """(T, 2, H, B) states: [t, 0] after reading bytes 0..t, [t, 1] after reading bytes T-1..t.
 
-    A padding byte leaves the state as it is. `keep` gets what the way back needs.
+    A padding byte leaves the state as it is. `keep` gets what the way back needs. `begin`: the
+    (2, H, B) states before the first byte read, else zeros. `ahead`: other bytes for the second
+    direction.
     """
     steps, n = x.shape
+    ahead = x if ahead is None else ahead
     hidden = model.u.shape[2]
     out = np.empty((steps, 2, hidden, n), np.float32)
     tables = [np.ascontiguousarray(t.T) for t in model.w]
-    h = np.zeros((2, hidden, n), np.float32)
+    h = np.zeros((2, hidden, n), np.float32) if begin is None else begin.astype(np.float32)
     g = np.empty((2, 3 * hidden, n), np.float32)
-    padded = x.max(axis=1, initial=0) == 256
+    padded = [v.max(axis=1, initial=0) == 256 for v in (x, ahead)]
     for t in range(steps):
         back = steps - 1 - t
         np.take(tables[0], x[t], axis=1, out=g[0], mode="clip")
-        np.take(tables[1], x[back], axis=1, out=g[1], mode="clip")
+        np.take(tables[1], ahead[back], axis=1, out=g[1], mode="clip")
         r = np.matmul(model.u, h)
         gates = g[:, : 2 * hidden] + r[:, : 2 * hidden]
         raw = gates.copy() if keep is not None else None
         np.clip(gates, 0, 1, out=gates)
-        if padded[t]:
+        gates[:, hidden:] *= HELD
+        if padded[0][t]:
             gates[0, hidden:, x[t] == 256] = 1
-        if padded[back]:
-            gates[1, hidden:, x[back] == 256] = 1
+        if padded[1][back]:
+            gates[1, hidden:, ahead[back] == 256] = 1
         part = r[:, 2 * hidden :]
         cand = part * gates[:, :hidden]
         cand += g[:, 2 * hidden :]
@@ -141,7 +157,7 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[s
         z = gates[:, hidden:]
         new = np.clip(cand, -1, 1)
         dcand = dh * (1 - z) * (np.abs(cand) < 1)
-        dgates = np.concatenate([dcand * part, dh * (before - new)], axis=1) * ((raw > 0) & (raw < 1))
+        dgates = np.concatenate([dcand * part, HELD * dh * (before - new)], axis=1) * ((raw > 0) & (raw < 1))
         for d in (0, 1):
             dgates[d, hidden:, x[at[d]] == 256] = 0
         dr = np.concatenate([dgates, dcand * gates[:, :hidden]], axis=1)
@@ -157,12 +173,12 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[s
     return loss, {"w": dw, "u": du, "v": dv, "c": dc}
 
 
-def fit(texts: list[str], labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = 4) -> Model:
+def fit(texts: list[str] | list[bytes], labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = 4) -> Model:
     """Adam over random segments, as many of one language as of another."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     model = new_model(languages, hidden, rng)
-    data, offsets = utf8(pa.array(texts, pa.large_string()))
+    data, offsets = utf8(pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.large_binary()))
     x, owner, _, _ = segments(data, offsets)
     of = np.array([languages.index(label) for label in labels])[owner] if len(owner) else np.zeros(0, int)
     pools = [np.flatnonzero(of == k) for k in range(len(languages))]
@@ -182,23 +198,39 @@ def fit(texts: list[str], labels: list[str], hidden: int = HIDDEN, steps: int =
     return model
 
 
+def spread_segments(text: str, most: int = PER_TEXT) -> list[bytes]:
+    """The segments of a text, or `most` of them from its first to its last at even distances."""
+    data = text.encode()
+    n = -(-len(data) // SEGMENT)
+    picked = range(n) if n <= most else [i * (n - 1) // (most - 1) for i in range(most)]
+    return [data[i * SEGMENT : (i + 1) * SEGMENT] for i in picked]
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from about `per_language` labelled rows of each language, chosen by a hash of the id.
+    """A model from about `per_language` labelled rows of each language, chosen by a hash of id and text.
 
-    Rows of null id, null or empty text, or null language aren't used. None without any row.
+    Of each row PER_TEXT segments at most, spread over all of it, go to the driver, and rows that
+    are equal count once, so its share is bounded. Rows of null id, null or empty text, or null
+    language aren't used. None without any row.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang")).where("__id IS NOT NULL AND __text IS NOT NULL AND __text <> '' AND __lang IS NOT NULL")
-    counts = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang")).where("__id IS NOT NULL AND __text IS NOT NULL AND __text <> '' AND __lang IS NOT NULL").drop("__id")
+    counts = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.approx_count_distinct("__key").alias("n")).collect()}  # copies count once
     if not counts:
         return None
     wanted = F.lit(False)
     for lang, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("__lang") == lang) & chosen(F.col("__id"), per_language, n, 31))
-    found = rows.where(wanted).select(F.col("__id").cast("string").alias("id"), "__text", "__lang").collect()
-    found = sorted({(r["id"], r["__text"], r["__lang"]) for r in found})
+        wanted = wanted | ((F.col("__lang") == lang) & chosen(F.col("__key"), per_language, n, 31))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [spread_segments(t) for t in column(batch, "__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "__key"), column(batch, "__lang"), pa.array(made, pa.list_(pa.binary()))], names=["key", "lang", "parts"])
+
+    pieces = rows.where(wanted).mapInArrow(cut, "key long, lang string, parts array<binary>")
+    found = sorted((r["lang"], r["key"], r["parts"]) for r in pieces.groupBy("lang", "key").agg(F.first("parts").alias("parts")).collect())
     if not found:
         return None
-    return fit([r[1] for r in found], [r[2] for r in found])
+    return fit([bytes(p) for r in found for p in r[2]], [r[0] for r in found for _ in r[2]])
 
 
 def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -206,24 +238,12 @@ def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[
     data, offsets = utf8(texts)
     n, size = len(texts), np.diff(offsets)
     pooled = np.zeros((n, len(model.languages)))
-    labels = np.empty(len(data), np.int8)
-    per_text = -(-size // SEGMENT)
-    ends = np.cumsum(per_text)
+    labels = np.empty(len(data), np.int32)
+    ends = np.cumsum(-(-size // STRETCH))
     lo = 0
-    while lo < n:  # whole texts, about TOGETHER segments at a time
+    while lo < n:  # whole texts, about TOGETHER stretches at a time; one enormous text has more
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOGETHER, side="right")))
-        x, owner, begin, used = segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        for a in range(0, len(owner), TOGETHER):  # one enormous text has more segments than step together
-            part = slice(a, a + TOGETHER)
-            p = position_probabilities(model, states(model, x[:, part]))
-            best = p.argmax(axis=1).T.astype(np.int8)
-            real = np.arange(SEGMENT)[:, None] < used[part][None, :]
-            p *= real[:, None, :]
-            sums = p.sum(axis=0, dtype=np.float64)
-            for k in range(len(model.languages)):
-                pooled[lo:hi, k] += np.bincount(owner[part], sums[k], minlength=hi - lo)
-            first = offsets[lo + owner[part]] + begin[part]
-            labels[first[0] : first[-1] + used[part][-1]] = best[real.T]
+        pooled[lo:hi] = _walk(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], labels[offsets[lo] : offsets[hi]])
         lo = hi
     pooled /= np.maximum(size, 1)[:, None]
     edge = np.zeros(len(labels), bool)
@@ -232,7 +252,60 @@ def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[
     start = np.flatnonzero(edge)
     length = np.diff(np.append(start, len(labels)))
     owner = np.searchsorted(offsets, start, side="right") - 1
-    return pooled, size, (owner, start - offsets[owner], length, labels[start] if len(start) else np.zeros(0, np.int8))
+    return pooled, size, (owner, start - offsets[owner], length, labels[start] if len(start) else np.zeros(0, np.int32))
+
+
+def _walk(model: Model, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """(n, L) sums of the probabilities of each text's positions; fills `labels`."""
+    size = np.diff(offsets)
+    count = -(-size // STRETCH)
+    owner = np.repeat(np.arange(len(size)), count)
+    begin = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
+    used = np.minimum(size[owner] - begin, STRETCH)
+    first = offsets[owner] + begin
+    n, hidden = len(owner), model.u.shape[2]
+    sums = np.zeros((n, len(model.languages)))
+    if not n:
+        return np.zeros((len(size), len(model.languages)))
+    has_left = begin > 0
+    has_right = np.append(owner[1:] == owner[:-1], False)
+    # by segment: what each direction begins with and ends with
+    start, end = np.zeros((2, hidden, n), np.float32), np.zeros((2, hidden, n), np.float32)
+
+    def take(at: np.ndarray, length: int, fits: np.ndarray) -> np.ndarray:
+        """(length, len(at)) bytes from `at` on; padding where they don't fit."""
+        place = at[None, :] + np.arange(length)[:, None]
+        x = data[np.clip(place, 0, len(data) - 1)].astype(np.int64)
+        x[np.arange(length)[:, None] >= fits[None, :]] = 256
+        return x
+
+    inner = np.flatnonzero(has_left | has_right)
+    for a in range(0, len(inner), TOGETHER):
+        s = inner[a : a + TOGETHER]
+        before = take(first[s] - WARM, WARM, np.where(has_left[s], WARM, 0))
+        after = take(first[s] + STRETCH, WARM, np.where(has_right[s], np.minimum(WARM, used[np.minimum(s + 1, n - 1)]), 0))
+        h = states(model, before, ahead=after)
+        start[0][:, s], start[1][:, s] = h[-1, 0], h[0, 1]
+    todo = np.arange(n)
+    while len(todo):
+        for a in range(0, len(todo), TOGETHER):
+            s = todo[a : a + TOGETHER]
+            x = take(first[s], STRETCH, used[s])
+            h = states(model, x, begin=start[:, :, s])
+            end[0][:, s], end[1][:, s] = h[-1, 0], h[0, 1]
+            p = position_probabilities(model, h)
+            best = p.argmax(axis=1)
+            real = x < 256
+            p *= real[:, None, :]
+            sums[s] = p.sum(axis=0, dtype=np.float64).T
+            place = first[s][None, :] + np.arange(STRETCH)[:, None]
+            labels[place[real]] = best[real]
+        should = np.zeros_like(start)
+        should[0][:, has_left] = end[0][:, np.flatnonzero(has_left) - 1]
+        should[1][:, has_right] = end[1][:, np.flatnonzero(has_right) + 1]
+        todo = np.flatnonzero((np.abs(should - start) > TOLERANCE).any(axis=(0, 1)))
+        start[:, :, todo] = should[:, :, todo]
+    return np.stack([np.bincount(owner, sums[:, k], minlength=len(size)) for k in range(sums.shape[1])], axis=1)
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from loamworks.llm import _text
 from loamworks.llm._io import Scratch
-from loamworks.llm._text import column, lowered, pieces, shingle_hashes, spans, utf8, word_hashes
+from loamworks.llm._text import WORD_SQL, column, lowered, pieces, shingle_hashes, spans, utf8, word_hashes
 
 SHINGLE = 3
 THRESHOLD = 0.6
@@ -313,7 +313,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: flo
 
 
 ORACLE_SQL = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < {SHINGLE} THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + {SHINGLE - 1}], ' ') END AS s
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamworks.llm._io import Scratch
-from loamworks.llm._text import column, lowered, mix, pieces, shingle_hashes, spans, utf8, word_hashes
+from loamworks.llm._text import WORD_SQL, column, lowered, mix, pieces, shingle_hashes, spans, utf8, word_hashes
 from loamworks.llm.near_dedup import text_keys
 
 #: Words of the shortest passage that counts as repeated.
@@ -605,7 +605,7 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, base: int = BASE, id_co
 
 
 ORACLE_SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
 g AS (SELECT doc_id, i, hash(array_to_string(w[i + 1 : i + {LENGTH}], ' ')) AS h
       FROM (SELECT doc_id, w, unnest(range(0, len(w) - {LENGTH - 1})) AS i FROM d WHERE len(w) >= {LENGTH})),
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM g),

@@ -151,16 +151,15 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, widths: Sequence[i
     return docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).mapInArrow(run, out)
 
 
-def token_at(levels: Column | str, position: Column | str, widths: Sequence[int] = WIDTHS) -> Column:
-    """Column: the token id at `position` (from 0) of `levels`; null outside the sequence or for null."""
+def token_at(levels: Column | str, position: Column | str, widths: Sequence[int] = WIDTHS, n_tokens: Column | str = "n_tokens") -> Column:
+    """Column: the token id at `position` (from 0) of `levels`; null outside the `n_tokens` of the sequence or for null."""
     widths = tuple(widths)
 
     @F.arrow_udf(T.IntegerType())
-    def look(lv: pa.Array, at: pa.Array) -> pa.Array:
+    def look(lv: pa.Array, at: pa.Array, n: pa.Array) -> pa.Array:
         found = []
-        for ls, i in zip(lv.to_pylist(), at.to_pylist(), strict=True):
-            inside = ls and i is not None and 0 <= i < 8 * len(ls[0]["chunks"]) // widths[0]
-            found.append(access(ls, i, widths) if inside else None)
+        for ls, i, size in zip(lv.to_pylist(), at.to_pylist(), n.to_pylist(), strict=True):
+            found.append(access(ls, i, widths) if ls and i is not None and 0 <= i < (size or 0) else None)
         return pa.array(found, pa.int32())
 
-    return look(F.col(levels) if isinstance(levels, str) else levels, F.col(position) if isinstance(position, str) else position)
+    return look(*(F.col(c) if isinstance(c, str) else c for c in (levels, position, n_tokens)))
