@@ -2,10 +2,12 @@
 
 A token is a word hashed to one of TOKENS ids.  A window network reads the WINDOW tokens on each
 side of a masked token, never the token itself: their vectors, one weight matrix for each place in
-the window, a hidden layer, and a softmax over CLASSES classes.  Classes are ranges of the tokens
-ordered by frequency, the most frequent ones alone in theirs, and within a class a token is as
-likely as it is frequent in the corpus.  A document's score is the sum of its tokens' conditional
-log-probabilities.
+the window, a hidden layer, and a softmax in two steps.  The first is over CLASSES classes: ranges of
+the tokens ordered by frequency, the most frequent ones alone in theirs.  The second leads through a
+binary tree over the class's tokens, a Huffman code by their frequency: at each node the hidden layer
+decides between left and right.  So every token is predicted from both sides, and the probabilities
+of all tokens add up to one.  Untrained, a token is as likely in its class as it is frequent in the
+corpus.  A document's score is the sum of its tokens' conditional log-probabilities.
 
 What is learnt grows with the corpus: frequencies count every word of every document, and the
 network is trained on all positions, each document's in one of ROUNDS rounds.  Training is spread
@@ -17,6 +19,7 @@ is fixed.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,19 +47,30 @@ ROUNDS = 4
 #: Windows of one shard in one round, about.
 SHARD = 40_000
 _BLOCKS = 32
+NODES = TOKENS - CLASSES
+#: Windows of one step of training.
+BATCH = 512
+_DENSE = ("w", "b", "v", "c")
 
 
 @dataclass
 class Model:
-    """logp: (TOKENS,) log-probability in the class; of: (TOKENS,) class; e, w, b, v, c: the network."""
+    """of: (TOKENS,) class; begin, node, turn: the way to each token in its class's tree; e, w, b, v, c, t: the network.
+
+    Token k passes the nodes node[begin[k] : begin[k + 1]] and turns right where `turn` is 1, left
+    where it is -1.  t: (NODES, HIDDEN + 1), the weights of each node, its own tendency last.
+    """
 
     of: np.ndarray
-    logp: np.ndarray
+    begin: np.ndarray
+    node: np.ndarray
+    turn: np.ndarray
     e: np.ndarray
     w: np.ndarray
     b: np.ndarray
     v: np.ndarray
     c: np.ndarray
+    t: np.ndarray
 
     def folded(self) -> np.ndarray:
         """(2 WINDOW, TOKENS + 1, HIDDEN): what each token adds to the hidden layer at each place."""
@@ -85,8 +99,8 @@ def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token and log-probability within it; every token counts one more than it was seen."""
+def classes(counts: np.ndarray) -> np.ndarray:
+    """Class of each token; every token counts one more than it was seen."""
     counts = counts.astype(np.float64) + 1
     order = np.lexsort((np.arange(TOKENS), -counts))
     of = np.empty(TOKENS, np.int64)
@@ -94,28 +108,66 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rest = order[ALONE:]
     mass = np.cumsum(counts[rest])
     of[rest] = ALONE + np.minimum((mass - counts[rest]) / mass[-1] * (CLASSES - ALONE), CLASSES - ALONE - 1).astype(np.int64)
-    total = np.bincount(of, counts, minlength=CLASSES)
-    return of, np.log(counts / total[of])
+    return of
+
+
+def trees(counts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, node, turn) of each token and the tendency of each node, by a Huffman code of each class."""
+    counts = counts.astype(np.float64) + 1
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(TOKENS)]
+    lean = np.zeros(NODES)
+    free = 0
+    for k in range(CLASSES):
+        heap = [(counts[i], int(i), int(i)) for i in np.flatnonzero(of == k)]  # weight, tie, token or TOKENS + node
+        heapq.heapify(heap)
+        sides: dict[int, tuple[int, int]] = {}
+        while len(heap) > 1:
+            one, two = heapq.heappop(heap), heapq.heappop(heap)
+            sides[free] = (one[2], two[2])
+            lean[free] = np.log(two[0] / one[0])
+            heapq.heappush(heap, (one[0] + two[0], TOKENS + free, TOKENS + free))
+            free += 1
+        todo: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][2], [])] if heap else []
+        while todo:
+            at, way = todo.pop()
+            if at < TOKENS:
+                paths[at] = way
+                continue
+            left, right = sides[at - TOKENS]
+            todo += [(left, [*way, (at - TOKENS, -1)]), (right, [*way, (at - TOKENS, 1)])]
+    begin = np.zeros(TOKENS + 1, np.int64)
+    np.cumsum([len(way) for way in paths], out=begin[1:])
+    flat = [step for way in paths for step in way]
+    return begin, np.array([n for n, _ in flat], np.int32), np.array([t for _, t in flat], np.int8), lean
 
 
 def new_model(counts: np.ndarray, seed: int = 9) -> Model:
     rng = np.random.default_rng(seed)
-    of, logp = classes(counts)
+    of = classes(counts)
+    begin, node, turn, lean = trees(counts, of)
     share = np.bincount(of, counts + 1.0, minlength=CLASSES)
     c = np.log(np.maximum(share, 1) / share.sum())  # begins at the classes' own frequencies
-    return Model(of, logp, rng.normal(0, 0.3, (TOKENS + 1, DIM)).astype(np.float32), rng.normal(0, 0.5 / np.sqrt(DIM), (2 * WINDOW, DIM, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), c.astype(np.float32))
+    t = np.zeros((NODES, HIDDEN + 1), np.float32)
+    t[:, -1] = lean
+    return Model(of, begin, node, turn, rng.normal(0, 0.3, (TOKENS + 1, DIM)).astype(np.float32), rng.normal(0, 0.5 / np.sqrt(DIM), (2 * WINDOW, DIM, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), c.astype(np.float32), t)
 
 
-def class_logits(model: Model, folded: np.ndarray, around: np.ndarray) -> np.ndarray:
+def hidden_layer(model: Model, folded: np.ndarray, around: np.ndarray) -> np.ndarray:
     h = folded[0].take(around[0], axis=0)
     for p in range(1, 2 * WINDOW):
         h += folded[p].take(around[p], axis=0)
     h += model.b
-    np.maximum(h, 0, out=h)
-    z = h @ model.v
-    z += model.c
-    np.clip(z, -LIMIT, LIMIT, out=z)
-    return z
+    return np.maximum(h, 0, out=h)
+
+
+def ways(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in `tokens`, node, turn) of all the nodes that tokens pass, in their order."""
+    begin = model.begin[tokens]
+    size = model.begin[tokens + 1] - begin
+    end = np.cumsum(size)
+    row = np.repeat(np.arange(len(tokens)), size)
+    at = np.arange(len(row)) + np.repeat(begin - end + size, size)
+    return row, model.node[at], model.turn[at]
 
 
 def log_probabilities(model: Model, folded: np.ndarray, tokens: np.ndarray, around: np.ndarray, step: int = 2048) -> np.ndarray:
@@ -123,64 +175,118 @@ def log_probabilities(model: Model, folded: np.ndarray, tokens: np.ndarray, arou
     ones = np.ones(CLASSES, np.float32)
     for lo in range(0, len(tokens), step):
         own = tokens[lo : lo + step]
-        z = class_logits(model, folded, around[:, lo : lo + step])
+        h = hidden_layer(model, folded, around[:, lo : lo + step])
+        z = h @ model.v
+        z += model.c
+        np.clip(z, -LIMIT, LIMIT, out=z)
         at = z[np.arange(len(own)), model.of[own]]
         np.exp(z, out=z)
-        out[lo : lo + step] = at - np.log(z @ ones) + model.logp[own]
+        at = at - np.log(z @ ones)
+        row, node, turn = ways(model, own)
+        t = model.t.take(node, axis=0)
+        s = np.einsum("ij,ij->i", h.take(row, axis=0), t[:, :-1])
+        s += t[:, -1]
+        s *= turn
+        np.clip(s, -LIMIT, LIMIT, out=s)
+        # log of the sigmoid
+        out[lo : lo + step] = at - np.bincount(row, np.log1p(np.exp(-s)), minlength=len(own))
     return out
 
 
-def gradients(model: Model, target: np.ndarray, around: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-    """Mean loss, gradients of w, b, v, c, and of the window's token vectors (2 WINDOW, n, DIM)."""
+def gradients(model: Model, target: np.ndarray, around: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Mean loss, gradients of w, b, v, c, of the window's token vectors (2 WINDOW, n, DIM), and of the nodes passed, with these."""
     n = len(target)
-    x = model.e[around.T].reshape(n, -1)
+    x = model.e.take(around.T.ravel(), axis=0).reshape(n, -1)
     w = model.w.reshape(x.shape[1], -1)
-    pre = x @ w + model.b
+    pre = x @ w
+    pre += model.b
     h = np.maximum(pre, 0)
-    z = np.clip(h @ model.v + model.c, -LIMIT, LIMIT)
+    z = h @ model.v
+    z += model.c
+    np.clip(z, -LIMIT, LIMIT, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= 1 / (z @ np.ones(CLASSES, z.dtype))[:, None]
     of, row = model.of[target], np.arange(n)
-    loss = float(-(np.log(np.maximum(z[row, of], 1e-12)) + model.logp[target]).mean())
+    loss = -np.log(np.maximum(z[row, of], 1e-12)).sum()
     z[row, of] -= 1
-    z /= n
-    dh = (z @ model.v.T) * (pre > 0)
+    z *= z.dtype.type(1 / n)
+    dh = z @ model.v.T
+    at, node, turn = ways(model, target)
+    t = model.t.take(node, axis=0)
+    near = h.take(at, axis=0)
+    s = np.einsum("ij,ij->i", near, t[:, :-1])
+    s += t[:, -1]
+    s *= turn
+    np.clip(s, -LIMIT, LIMIT, out=s)
+    miss = np.exp(-s)
+    loss += np.log1p(miss).sum()
+    ds = -turn * (miss / (1 + miss)) / n
+    ds = ds.astype(t.dtype)
+    dt = np.empty_like(t)
+    np.multiply(near, ds[:, None], out=dt[:, :-1])
+    dt[:, -1] = ds
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        dh[at[first]] += _run_sums(t[:, :-1] * ds[:, None], first)
+    dh *= pre > 0
     grads = {"w": (x.T @ dh).reshape(model.w.shape), "b": dh.sum(0), "v": h.T @ z, "c": z.sum(0)}
-    return loss, grads, (dh @ w.T).reshape(n, 2 * WINDOW, DIM).transpose(1, 0, 2)
+    return float(loss) / n, grads, (dh @ w.T).reshape(n, 2 * WINDOW, DIM).transpose(1, 0, 2), dt, node
 
 
-def train_copy(model: Model, windows: np.ndarray, rate: float, seed: int, batch: int = 128) -> tuple[Model, np.ndarray]:
-    """A copy trained on (n, 2 WINDOW + 1) windows, the target last, and how often each token's vector was trained."""
-    own = Model(model.of, model.logp, *(getattr(model, k).copy() for k in ("e", "w", "b", "v", "c")))
-    sums = {k: np.full_like(getattr(own, k), 1e-4) for k in ("e", "w", "b", "v", "c")}
+def _run_sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows that begins at `begin`, the last one's to the end."""
+    total = np.cumsum(rows, axis=0)
+    out = total.take(np.append(begin[1:], len(rows)) - 1, axis=0)
+    out[1:] -= total.take(begin[1:] - 1, axis=0)
+    return out
+
+
+def _sparse_step(table: np.ndarray, past: np.ndarray, ids: np.ndarray, grads: np.ndarray, rate: float) -> None:
+    """Adagrad on the rows of a table that were used; ids: 16 bits."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids.take(order)
+    begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    ids = ids.take(begin)
+    g = _run_sums(grads.take(order, axis=0), begin)
+    own = past.take(ids, axis=0)
+    own += g * g
+    past[ids] = own
+    np.sqrt(own, out=own)
+    g *= np.float32(rate)
+    g /= own
+    table[ids] -= g
+
+
+def train_copy(model: Model, windows: np.ndarray, rate: float, seed: int, batch: int = BATCH) -> tuple[Model, np.ndarray, np.ndarray]:
+    """A copy trained on (n, 2 WINDOW + 1) windows, the target last, and how often each token's vector and each node was trained."""
+    own = Model(model.of, model.begin, model.node, model.turn, *(getattr(model, k).copy() for k in ("e", *_DENSE, "t")))
+    sums = {k: np.full_like(getattr(own, k), 1e-4) for k in ("e", *_DENSE, "t")}
     order = np.random.default_rng(seed).permutation(len(windows))
     for lo in range(0, len(order), batch):
-        part = windows[order[lo : lo + batch]].astype(np.int64)
-        around = np.ascontiguousarray(part[:, :-1].T)
-        _, grads, de = gradients(own, part[:, -1], around)
+        part = windows[order[lo : lo + batch]]
+        around = part[:, :-1].T
+        _, grads, de, dt, node = gradients(own, part[:, -1].astype(np.int64), around)
         for k, g in grads.items():
             sums[k] += g * g
             getattr(own, k)[...] -= (rate * g / np.sqrt(sums[k])).astype(np.float32)
-        flat = around.ravel()
-        order_ids = np.argsort(flat, kind="stable")
-        ids = flat[order_ids]
-        begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        ids = ids[begin]
-        g = np.add.reduceat(de.reshape(-1, DIM)[order_ids], begin, axis=0)
-        past = sums["e"][ids] + g * g
-        sums["e"][ids] = past
-        own.e[ids] -= rate * g / np.sqrt(past)
+        _sparse_step(own.e, sums["e"], around.ravel(), de.reshape(-1, DIM), rate)
+        if len(node):
+            _sparse_step(own.t, sums["t"], node.astype(np.uint16), dt, rate)
     seen = np.bincount(windows[:, :-1].ravel(), minlength=TOKENS + 1).astype(float)
-    return own, seen
+    passed = np.zeros(NODES)
+    often = np.bincount(windows[:, -1], minlength=TOKENS)
+    size = np.diff(own.begin)
+    np.add.at(passed, own.node, np.repeat(often, size).astype(float))
+    return own, seen, passed
 
 
 def _dense(model: Model) -> np.ndarray:
-    return np.concatenate([getattr(model, k).ravel() for k in ("w", "b", "v", "c")]).astype(np.float64)
+    return np.concatenate([getattr(model, k).ravel() for k in _DENSE]).astype(np.float64)
 
 
 def _set_dense(model: Model, flat: np.ndarray) -> None:
     at = 0
-    for k in ("w", "b", "v", "c"):
+    for k in _DENSE:
         x = getattr(model, k)
         x[...] = flat[at : at + x.size].reshape(x.shape)
         at += x.size
@@ -225,18 +331,22 @@ def _counts(gathered: DataFrame) -> np.ndarray:
     return out
 
 
-def _copies(held: Broadcast, rate: float, turn: int, n_block: int, share: int, shard: int):
+def _copies(held: Broadcast, rate: float, turn: int, share: int, shard: int):
     """Trains a copy on each shard of a task's windows; the sum of their rows times their weights, by block, and of the rest of the network as block -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense, e, seen, n, shards = 0.0, np.zeros((TOKENS + 1, DIM)), np.zeros(TOKENS + 1), 0, 0
+        dense, n, shards = 0.0, 0, 0
+        sums = {k: np.zeros_like(getattr(held.value, k), float) for k in ("e", "t")}
+        weights = {k: np.zeros(len(x)) for k, x in sums.items()}
 
         def add(windows: np.ndarray) -> None:
             nonlocal dense, n, shards
-            own, often = train_copy(held.value, windows, rate, shards * 1000 + turn)
+            own, seen, passed = train_copy(held.value, windows, rate, shards * 1000 + turn)
             dense = dense + _dense(own) * len(windows)
-            e[...] += own.e * often[:, None]
-            seen[...] += often
+            for k, often in (("e", seen), ("t", passed)):
+                hit = np.flatnonzero(often)
+                sums[k][hit] += getattr(own, k)[hit] * often[hit, None]
+                weights[k] += often
             n, shards = n + len(windows), shards + 1
 
         left: list[np.ndarray] = []
@@ -251,14 +361,19 @@ def _copies(held: Broadcast, rate: float, turn: int, n_block: int, share: int, s
             add(np.concatenate(left))
         if n:
             rows = [(-1, dense.astype(np.float32).tobytes(), np.array([n], np.float32).tobytes())]
-            for k in range(_BLOCKS):
-                at = slice(k * n_block, (k + 1) * n_block)
-                rows.append((k, e[at].astype(np.float32).tobytes(), seen[at].astype(np.float32).tobytes()))
+            for i, (k, x) in enumerate(sums.items()):
+                for j, at in enumerate(_block_slices(len(x))):
+                    rows.append((i * _BLOCKS + j, x[at].astype(np.float32).tobytes(), weights[k][at].astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], names=["block", "value", "weight"])
 
     return run
 
 
+def _block_slices(n: int) -> list[slice]:
+    size = -(-n // _BLOCKS)
+    return [slice(k * size, min((k + 1) * size, n)) for k in range(_BLOCKS)]
+
+
 def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     value = weight = 0
     for b in batches:
@@ -273,21 +388,21 @@ def train(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: int
     spark = docs.sparkSession
     slim = docs.select(F.col(text_col).alias("__text"))
     model = new_model(_counts(_gather(slim)))
-    n_block = -(-(TOKENS + 1) // _BLOCKS)
     for r in range(rounds):
         held = spark.sparkContext.broadcast(model)  # of fixed size
         step = rate * (1 - 0.7 * r / rounds)
 
         own = slim.where(F.pmod(F.xxhash64("__text"), F.lit(rounds)) == r)
-        sums = own.mapInArrow(_copies(held, step, r, n_block, share, shard), "block int, value binary, weight binary").groupBy("block").applyInArrow(_add, "block int, value binary, weight binary")
-        for row in sums.collect():  # _BLOCKS + 1 rows, whatever the input
+        sums = own.mapInArrow(_copies(held, step, r, share, shard), "block int, value binary, weight binary").groupBy("block").applyInArrow(_add, "block int, value binary, weight binary")
+        for row in sums.collect():  # 2 _BLOCKS + 1 rows, whatever the input
             value, weight = np.frombuffer(row["value"], np.float64), np.frombuffer(row["weight"], np.float64)
             if row["block"] < 0:
                 _set_dense(model, value / weight[0])
             else:
-                e = model.e[row["block"] * n_block : (row["block"] + 1) * n_block]
+                table = (model.e, model.t)[row["block"] // _BLOCKS]
+                rows = table[_block_slices(len(table))[row["block"] % _BLOCKS]]
                 hit = weight > 0
-                e[hit] = value.reshape(-1, DIM)[hit] / weight[hit, None]
+                rows[hit] = value.reshape(len(weight), -1)[hit] / weight[hit, None]
         held.unpersist()
     return model
 
