@@ -50,6 +50,7 @@ _BLOCKS = 32
 NODES = TOKENS - CLASSES
 #: Windows of one step of training.
 BATCH = 512
+RATE = 0.2
 _DENSE = ("w", "b", "v", "c")
 
 
@@ -383,7 +384,7 @@ def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([value.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())], names=["block", "value", "weight"])
 
 
-def train(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: int = SHARD, rate: float = 0.1, text_col: str = "text") -> Model:
+def train(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, shard: int = SHARD, rate: float = RATE, text_col: str = "text") -> Model:
     """A model of the whole corpus: see above. An empty corpus gives the network untrained."""
     spark = docs.sparkSession
     slim = docs.select(F.col(text_col).alias("__text"))
