@@ -39,7 +39,6 @@ MISS = 1e-3
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 32, 1024, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint64).astype(np.uint32)
-_NODE = T.StructType([T.StructField("ord", T.LongType()), T.StructField("th", T.BinaryType())])
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -105,7 +104,26 @@ def signatures(texts: pa.Array, shingle: int, hashes: int) -> tuple[list[bytes |
     return keys, signed
 
 
-def _sign(docs: DataFrame, shingle: int, hashes: int) -> DataFrame:
+def id_types(docs: DataFrame, id_col: str) -> tuple[str, str]:
+    """The types of an id as the operators carry it, and of its place in the order of ids."""
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, T.IntegralType):
+        return "long", "long"
+    name = kind.simpleString()
+    return name, f"struct<last: boolean, id: {name}>"
+
+
+def id_order(ids: Column, kind: str) -> Column:
+    """The place of an id of type `kind`: a null id comes after all others."""
+    return F.coalesce(ids, F.lit(2**63 - 1)) if kind == "long" else F.struct(ids.isNull().alias("last"), ids.alias("id"))
+
+
+def id_at(order: str, kind: str) -> Column:
+    """The id that has this place."""
+    return F.nullif(F.col(order), F.lit(2**63 - 1)) if kind == "long" else F.col(f"{order}.id")
+
+
+def _sign(docs: DataFrame, kind: str, shingle: int, hashes: int) -> DataFrame:
     """(__id, th, sig) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +131,7 @@ def _sign(docs: DataFrame, shingle: int, hashes: int) -> DataFrame:
             keys, signed = signatures(column(batch, "__text"), shingle, hashes)
             yield pa.RecordBatch.from_arrays([column(batch, "__id"), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], names=["__id", "th", "sig"])
 
-    return docs.mapInArrow(run, "__id long, th binary, sig binary")
+    return docs.mapInArrow(run, f"__id {kind}, th binary, sig binary")
 
 
 def _keyed_texts(docs: DataFrame) -> DataFrame:
@@ -125,7 +143,7 @@ def _keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "th binary, text string")
 
 
-def _bands(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
+def _bands(nodes: DataFrame, order: str, bands: int, rows: int) -> DataFrame:
     """(key, node) for each band of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +158,11 @@ def _bands(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
                         h = _text.mix(h ^ sig[:, b * rows + r])
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), column(part, "ord"), column(part, "th")], names=["key", "ord", "th"])
 
-    return nodes.select("ord", "th", "sig").mapInArrow(run, "key long, ord long, th binary")
+    return nodes.select("ord", "th", "sig").mapInArrow(run, f"key long, ord {order}, th binary")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, name: str, shingle: int, threshold: float, batch_hashes: int, miss: float) -> DataFrame:
-    """The pairs (a, b) of nodes that reach the threshold exactly."""
+def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, order: str, scratch: Scratch, name: str, shingle: int, threshold: float, batch_hashes: int, miss: float) -> DataFrame:
+    """The pairs (a, b) of nodes that reach the threshold, by 64-bit hashes of all their shingles."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +198,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scrat
                 keep.append(shared >= threshold * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    node = "struct<ord: long, th: binary>"
+    node = f"struct<ord: {order}, th: binary>"
     sig = nodes.select("th", "sig")
     both = pairs.join(sig.select(F.col("th").alias("th_a"), F.col("sig").alias("sig_a")), F.col("a.th") == F.col("th_a")).join(sig.select(F.col("th").alias("th_b"), F.col("sig").alias("sig_b")), F.col("b.th") == F.col("th_b"))
     likely = both.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, f"a {node}, b {node}")
@@ -188,8 +206,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scrat
     return scratch.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(exact, f"a {node}, b {node}"), name)
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(th, label) for each node of an edge (a, b); label: the least node of its component.
+def components(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, str]:
+    """(th, label) for each node of an edge (a, b), and the scratch table it is in; label: the least node of its component.
 
     Each round takes the least label among the neighbours and then the label's own label, so a
     chain of any length is halved. It ends when no label changes.
@@ -209,22 +227,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         labels = fresh.select("th", "label")
         if not changed:
             scratch.drop(f"{name}-links")
-            return labels
-
-
-def _order(id_col: str) -> Column:
-    """A null id comes after all others."""
-    return F.coalesce(F.col(id_col), F.lit(2**63 - 1))
+            return labels, f"{name}-{step}"
 
 
-def _groups(docs: DataFrame, scratch: Scratch, shingle: int, threshold: float, bands: int, rows: int, batch_hashes: int, miss: float) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, kind: str, order: str, scratch: Scratch, shingle: int, threshold: float, bands: int, rows: int, batch_hashes: int, miss: float) -> tuple[DataFrame, DataFrame]:
     """(signed rows: __id, th) and (th, label) of the nodes that are in a group with another node."""
-    signed = scratch.keep(_sign(docs, shingle, bands * rows), "signed")
-    nodes = scratch.keep(signed.where("th IS NOT NULL").groupBy("th").agg(F.min(_order("__id")).alias("ord"), F.first("sig").alias("sig")), "nodes")
+    labels_kept: list[str] = []
+    signed = scratch.keep(_sign(docs, kind, shingle, bands * rows), "signed")
+    nodes = scratch.keep(signed.where("th IS NOT NULL").groupBy("th").agg(F.min(id_order(F.col("__id"), kind)).alias("ord"), F.first("sig").alias("sig")), "nodes")
     bucket = Window.partitionBy("key")
     node = F.struct("ord", "th")
     members = scratch.keep(
-        _bands(nodes, bands, rows).select("key", node.alias("b"), F.min(node).over(bucket).alias("a"), F.count("*").over(bucket).alias("n")).where("n > 1").drop("n"),
+        _bands(nodes, order, bands, rows).select("key", node.alias("b"), F.min(node).over(bucket).alias("a"), F.count("*").over(bucket).alias("n")).where("n > 1").drop("n"),
         "members",
     )
     in_bucket = members.select(F.col("b.th").alias("th")).distinct()
@@ -233,8 +247,9 @@ def _groups(docs: DataFrame, scratch: Scratch, shingle: int, threshold: float, b
 
     led = scratch.keep(members.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count("*").alias("met")), "led")
     most = led.groupBy("b").agg(F.max_by("a", F.struct("met", F.col("a"))).alias("a")).select("a", "b")
-    edges = _verify(most, nodes, texts, scratch, "edges-1", shingle, threshold, batch_hashes, miss)
-    labels = components(edges, scratch, "labels-1")
+    edges = _verify(most, nodes, texts, order, scratch, "edges-1", shingle, threshold, batch_hashes, miss)
+    labels, table = components(edges, scratch, "labels-1")
+    labels_kept.append(table)
 
     def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends aren't in the same group yet."""
@@ -242,9 +257,10 @@ def _groups(docs: DataFrame, scratch: Scratch, shingle: int, threshold: float, b
         joined = pairs.join(at[0], F.col("a.th") == F.col("th_a"), "left").join(at[1], F.col("b.th") == F.col("th_b"), "left")
         return joined.where(F.coalesce("label_a", "a.th") != F.coalesce("label_b", "b.th")).select("a", "b")
 
-    more = _verify(crossing(led.select("a", "b").join(most, ["a", "b"], "left_anti"), labels), nodes, texts, scratch, "edges-2", shingle, threshold, batch_hashes, miss)
+    more = _verify(crossing(led.select("a", "b").join(most, ["a", "b"], "left_anti"), labels), nodes, texts, order, scratch, "edges-2", shingle, threshold, batch_hashes, miss)
     edges = edges.unionAll(more)
-    labels = components(edges, scratch, "labels-2")
+    labels, table = components(edges, scratch, "labels-2")
+    labels_kept.append(table)
 
     # buckets that still hold several groups: all pairs across groups that haven't been compared
     grouped = members.select("key", "b").join(labels.select(F.col("th").alias("to"), F.col("label.th").alias("label")), F.col("b.th") == F.col("to"), "left").select("key", "b", F.coalesce("label", "b.th").alias("label"))
@@ -252,10 +268,12 @@ def _groups(docs: DataFrame, scratch: Scratch, shingle: int, threshold: float, b
     mixed = scratch.keep(mixed, "mixed")
     other = mixed.select("key", F.col("b").alias("a"), F.col("label").alias("label_a"))
     across = mixed.join(other, "key").where(F.col("label") != F.col("label_a")).where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    last = _verify(across.join(led, ["a", "b"], "left_anti"), nodes, texts, scratch, "edges-3", shingle, threshold, batch_hashes, miss)
-    labels = components(edges.unionAll(last), scratch, "labels-3")
-    scratch.drop("texts", "led", "mixed", "members", "labels-1", "labels-2")
-    return signed.select("__id", "th"), labels.join(nodes.select("th", "ord"), "th").select("th", "ord", "label")
+    last = _verify(across.join(led, ["a", "b"], "left_anti"), nodes, texts, order, scratch, "edges-3", shingle, threshold, batch_hashes, miss)
+    labels, table = components(edges.unionAll(last), scratch, "labels-3")
+    labels_kept.append(table)
+    groups = scratch.keep(labels.join(nodes.select("th", "ord"), "th").select("th", "ord", "label"), "groups")
+    scratch.drop("texts", "led", "mixed", "members", "nodes", *(f"edges-{i}" for i in (1, 2, 3)), *labels_kept)
+    return signed.select("__id", "th"), groups
 
 
 def near_duplicates(
@@ -272,29 +290,35 @@ def near_duplicates(
     """(id, group_id, keep), one row for each row of `docs`; group_id: the least id of its group.
 
     Two texts are near duplicates if the Jaccard similarity of their sets of `shingle` words
-    reaches the threshold; a text of fewer words is one shingle. Groups are connected by such
-    pairs. One row of each group is kept: of its least id, and one of them if that is repeated.
+    reaches the threshold; a text of fewer words is one shingle. The sets are compared by 64-bit
+    hashes of their shingles. Groups are connected by such pairs. Ids may be of any type that can
+    be ordered. One row of each group is kept: of its least id, and one of them if that is repeated.
     A null or empty text, or one without words, is a group by itself and kept. A null id comes
     last in a group. Other columns are ignored; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    kind, order = id_types(docs, id_col)
+    slim = docs.select(F.col(id_col).cast(kind).alias("__id"), F.col(text_col).alias("__text"))
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    signed, groups = _groups(slim, scratch, shingle, threshold, bands, rows, batch_hashes, miss)
+    signed, groups = _groups(slim, kind, order, scratch, shingle, threshold, bands, rows, batch_hashes, miss)
     # rows without words get a place of their own, so they neither meet nor pile up in one task
     alone = F.when(F.col("th").isNull(), F.monotonically_increasing_id())
     same = Window.partitionBy("th", "alone")
     joined = signed.withColumn("alone", alone).join(groups, "th", "left")
-    ranked = joined.withColumn("at", F.row_number().over(same.orderBy(_order("__id")))).withColumn("least", F.min("__id").over(same))
+    ranked = joined.withColumn("at", F.row_number().over(same.orderBy(id_order(F.col("__id"), kind)))).withColumn("least", F.min("__id").over(same))
     whole = F.col("label").isNull()
-    group = F.when(whole, F.col("least")).otherwise(F.nullif(F.col("label.ord"), F.lit(2**63 - 1)))
-    return ranked.select(F.col("__id").alias(id_col), group.alias("group_id"), ((F.col("at") == 1) & (whole | (F.col("label.th") == F.col("th")))).alias("keep"))
+    group = F.when(whole, F.col("least")).otherwise(id_at("label.ord", kind))
+    found = ranked.select(F.col("__id").alias(id_col), group.alias("group_id"), ((F.col("at") == 1) & (whole | (F.col("label.th") == F.col("th")))).alias("keep"))
+    kept = scratch.keep(found, "found")
+    scratch.drop("signed", "groups")
+    return kept
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, batch_hashes: int = BATCH, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near duplicates; all columns stay. See near_duplicates()."""
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    kind, order = id_types(docs, id_col)
+    slim = docs.select(F.col(id_col).cast(kind).alias("__id"), F.col(text_col).alias("__text"))
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    _, groups = _groups(slim, scratch, shingle, threshold, bands, rows, batch_hashes, miss)
+    _, groups = _groups(slim, kind, order, scratch, shingle, threshold, bands, rows, batch_hashes, miss)
     at = docs.columns.index(text_col)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
@@ -305,10 +329,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: flo
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*names, "__th"])
 
     keyed = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("__th", T.BinaryType())]))
-    losers = groups.where(F.col("label.th") != F.col("th")).select(F.col("th").alias("__th"))
+    losers = scratch.keep(groups.where(F.col("label.th") != F.col("th")).select(F.col("th").alias("__th")), "losers")
+    scratch.drop("signed", "groups")
     left = keyed.join(losers, "__th", "left_anti").withColumn("__alone", F.when(F.col("__th").isNull(), F.monotonically_increasing_id()))
-    order = Window.partitionBy("__th", "__alone").orderBy(_order(names[docs.columns.index(id_col)]))
-    first = left.withColumn("__at", F.row_number().over(order)).where("__at = 1")
+    by = Window.partitionBy("__th", "__alone").orderBy(id_order(F.col(names[docs.columns.index(id_col)]).cast(kind), kind))
+    first = left.withColumn("__at", F.row_number().over(by)).where("__at = 1")
     return first.select(*names).toDF(*docs.columns)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from loamworks.llm._io import Scratch
 from loamworks.llm._text import WORD_SQL, column, lowered, mix, pieces, shingle_hashes, spans, utf8, word_hashes
-from loamworks.llm.near_dedup import text_keys
+from loamworks.llm.near_dedup import id_order, id_types, text_keys
 
 #: Words of the shortest passage that counts as repeated.
 LENGTH = 50
@@ -42,6 +42,10 @@ BLOCK = 1 << 18
 BASE = 400_000
 #: Rows that one task sorts, about.
 ROWS = 600_000
+#: Samples of the suffixes to a task's rows; a triple with CUT of them is cut at every CUT-th.
+SAMPLES, CUT = 64, 16
+#: Words of regions that one task numbers, about.
+NUMBERED = 4_000_000
 
 _MAX = np.uint64(2**64 - 1)
 _CHAR = 40
@@ -90,7 +94,7 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield lo, word_hashes(part, starts, ends), first
 
 
-def _keys(docs: DataFrame) -> DataFrame:
+def _keys(docs: DataFrame, kind: str) -> DataFrame:
     """(__id, th, n) of every row, without its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +105,7 @@ def _keys(docs: DataFrame) -> DataFrame:
                 counts += np.diff(first).tolist()
             yield pa.RecordBatch.from_arrays([column(batch, "__id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["__id", "th", "n"])
 
-    return docs.mapInArrow(run, "__id long, th binary, n long")
+    return docs.mapInArrow(run, f"__id {kind}, th binary, n long")
 
 
 def _grams(docs: DataFrame, length: int) -> DataFrame:
@@ -147,7 +151,7 @@ def _repeated(grams: DataFrame) -> DataFrame:
     return grams.mapInArrow(run, "t long, place int")
 
 
-def _regions(rows: DataFrame, length: int) -> DataFrame:
+def _regions(rows: DataFrame, order: str, length: int) -> DataFrame:
     """(ord, th, start, words) of the parts in reach of a repeated gram, from (ord, th, text, hits)."""
     gram = max(1, length // 2)
 
@@ -172,7 +176,7 @@ def _regions(rows: DataFrame, length: int) -> DataFrame:
                 at = pa.array(out[0])
                 yield pa.RecordBatch.from_arrays([column(batch, "ord").take(at), column(batch, "th").take(at), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["ord", "th", "start", "words"])
 
-    return rows.mapInArrow(run, "ord long, th binary, start long, words binary")
+    return rows.mapInArrow(run, f"ord {order}, th binary, start long, words binary")
 
 
 def _numbered(regions: DataFrame) -> DataFrame:
@@ -259,8 +263,12 @@ def _batches(columns: list[np.ndarray], names: list[str], size: int = 50_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + size]) for c in columns], names=names)
 
 
-def _named(blocks: DataFrame, n: int, scratch: Scratch, tag: str) -> tuple[DataFrame, int]:
-    """(p, v) with the name v >= 1 of the triple at each sampled place p, and how many names there are."""
+def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) -> tuple[DataFrame, int]:
+    """(p, v) with the name v >= 1 of the triple at each sampled place p, and how many names there are.
+
+    Equal triples may lie in several partitions: each tells its first and last one, as rows of v < 0,
+    so that a name goes on across the border.
+    """
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,15 +287,29 @@ def _named(blocks: DataFrame, n: int, scratch: Scratch, tag: str) -> tuple[DataF
             fresh = np.ones(len(hi), bool)
             fresh[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
             fresh[0] = last != (hi[0], lo[0])
+            if last is None:
+                yield tell((hi[0], lo[0]), -1)
             local = count + np.cumsum(fresh)
             count, last = int(local[-1]), (hi[-1], lo[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), part, np.int32)), pa.array(local), column(batch, "p")], names=["part", "v", "p"])
+        if last is not None:
+            yield tell(last, -3)
 
-    parts = max(1, -(-2 * n // 3 // ROWS))
-    ordered = blocks.select("b", "chars").mapInArrow(triples, "hi long, lo long, p long").repartitionByRange(max(parts, 1), "hi", "lo").sortWithinPartitions("hi", "lo")
+    def tell(triple: tuple[int, int], v: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(2, TaskContext.get().partitionId(), np.int32)), pa.array(np.array([v, v - 1])), pa.array(np.array(triple))], names=["part", "v", "p"])
+
+    parts = max(1, -(-2 * n // 3 // rows))
+    ordered = blocks.select("b", "chars").mapInArrow(triples, "hi long, lo long, p long").repartitionByRange(parts, "hi", "lo", "p").sortWithinPartitions("hi", "lo", "p")
     local = scratch.keep(ordered.mapInArrow(name, "part int, v long, p long"), f"names-{tag}")
-    base, total = _bases(local.groupBy("part").agg(F.max("v").alias("n")).collect(), "n")
-    return _based(local, base), total
+    ends: dict[int, dict[int, int]] = {}
+    for r in local.where("v < 0").collect():  # four rows a partition
+        ends.setdefault(r["part"], {})[r["v"]] = r["p"]
+    total, base, last = 0, {}, None
+    for r in sorted(local.groupBy("part").agg(F.max("v").alias("n")).collect(), key=lambda r: r["part"]):
+        own = ends[r["part"]]
+        base[r["part"]] = total - (last == (own[-1], own[-2]))
+        total, last = base[r["part"]] + r["n"], (own[-3], own[-4])
+    return _based(local.where("v > 0"), base), total
 
 
 def _based(local: DataFrame, base: dict[int, int]) -> DataFrame:
@@ -346,11 +368,59 @@ def merge_runs(run: np.ndarray, kind: np.ndarray, ra: np.ndarray, rb: np.ndarray
     return np.concatenate([sampled, others])[np.argsort(key, kind="stable")]
 
 
-def _merged(blocks: DataFrame, ranks: DataFrame, n: int, scratch: Scratch, tag: str, final: bool) -> DataFrame:
+def _pivots(blocks: DataFrame, ranks: DataFrame, n: int, rows: int) -> dict[tuple[int, int], dict[str, np.ndarray]]:
+    """For each triple that too many suffixes begin with, the sampled suffixes it is cut at, in order: p, kind, own, next.
+
+    own: the suffix's rank; next: that of the next suffix for kind 1, of the one after for kind 2.
+    What comes to the driver is about SAMPLES to a task's rows, of such triples only.
+    """
+    step = max(1, rows // SAMPLES)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, raw in zip(column(batch, "b").to_pylist(), column(batch, "chars").to_pylist(), strict=True):
+                at = _below(b, n)
+                p = at + b * BLOCK
+                at = at[(p % 3 != 0) & (mix(p.astype(np.uint64)) % np.uint64(step) == 0)]
+                hi, lo = _pack(np.frombuffer(raw, np.int64), at)
+                yield from _batches([hi, lo, at + b * BLOCK], ["hi", "lo", "p"])
+
+    taken = blocks.select("b", "chars").mapInArrow(some, "hi long, lo long, p long")
+    many = taken.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= CUT).select("hi", "lo").collect()
+    if not many:
+        return {}
+    spark = blocks.sparkSession
+    found = taken.join(F.broadcast(spark.createDataFrame(many, "hi long, lo long")), ["hi", "lo"]).collect()
+    places = sorted({q for r in found for q in (r["p"], r["p"] + (1 if r["p"] % 3 == 1 else 2))})
+    rank = {r["p"]: r["v"] for r in ranks.join(F.broadcast(spark.createDataFrame([(q,) for q in places], "p long")), "p").collect()}
+    out: dict[tuple[int, int], dict[str, np.ndarray]] = {}
+    for triple in {(r["hi"], r["lo"]) for r in found}:
+        own = sorted((rank[r["p"]], r["p"]) for r in found if (r["hi"], r["lo"]) == triple)[CUT // 2 :: CUT]
+        p = np.array([x[1] for x in own])
+        out[triple] = {"p": p, "kind": p % 3, "own": np.array([x[0] for x in own]), "next": np.array([rank.get(q + (1 if q % 3 == 1 else 2), 0) for q in p.tolist()])}
+    return out
+
+
+def cuts(hot: dict[tuple[int, int], dict[str, np.ndarray]], hi: np.ndarray, lo: np.ndarray, p: np.ndarray, ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
+    """How many of its triple's pivots a suffix doesn't come before; -1 for a triple that isn't cut. Ties go by the place."""
+    out = np.full(len(p), -1, np.int32)
+    for (a, b), cut in hot.items():
+        at = np.flatnonzero((hi == a) & (lo == b))
+        for k in range(0, len(at), 4096):
+            i = at[k : k + 4096]
+            # a sampled suffix by its rank; another by the ranks of what follows the characters it shares
+            theirs = np.where(p[i, None] % 3 == 0, cut["next"], cut["own"])
+            own = np.where((p[i, None] % 3 == 0) & (cut["kind"] == 2), rb[i, None], ra[i, None])
+            out[i] = ((theirs < own) | ((theirs == own) & (cut["p"] <= p[i, None]))).sum(axis=1)
+    return out
+
+
+def _merged(blocks: DataFrame, ranks: DataFrame, n: int, rows_: int, scratch: Scratch, tag: str, final: bool) -> DataFrame:
     """All suffixes in order: (part, v, p) with the place v in the partition.
 
     If `final`, instead (p,) of those whose prefix is repeated at an earlier place.
     """
+    hot = _pivots(blocks, ranks, n, rows_)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,67 +429,86 @@ def _merged(blocks: DataFrame, ranks: DataFrame, n: int, scratch: Scratch, tag:
                 chars = np.frombuffer(raw, np.int64)
                 rank = np.frombuffer(given, np.int64) if given else np.zeros(BLOCK + 2, np.int64)
                 at = _below(b, n)
-                names = ["hi", "lo", "p", "ra", "rb"]
                 if final:
                     own = np.frombuffer(prefix, np.int64)
                     at = at[own[at] != 0]  # fewer words than a passage needs
                 hi, lo = _pack(chars, at)
-                kind = (at + b * BLOCK) % 3
-                ra = np.where(kind == 0, rank[at + 1], rank[at])
-                rb = np.where(kind == 1, rank[at + 1], rank[at + 2])
-                cols = [hi, lo, at + b * BLOCK, ra, rb]
-                if final:
-                    cols.append(own[at])
-                    names = [*names, "prefix"]
-                yield from _batches(cols, names)
+                p = at + b * BLOCK
+                ra = np.where(p % 3 == 0, rank[at + 1], rank[at])
+                rb = np.where(p % 3 == 1, rank[at + 1], rank[at + 2])
+                cols = [hi, lo, p, ra, rb, *([cuts(hot, hi, lo, p, ra, rb)] if hot else []), *([own[at]] if final else [])]
+                yield from _batches(cols, wanted)
+
+    key = ["hi", "lo", *(["cut"] if hot else [])]
+    wanted = ["hi", "lo", "p", "ra", "rb", *(["cut"] if hot else []), *(["prefix"] if final else [])]
 
-    wanted = ["hi", "lo", "p", "ra", "rb", *(["prefix"] if final else [])]
+    def changes(c: dict[str, np.ndarray]) -> np.ndarray:
+        """Where another triple begins, or another part of one that is cut."""
+        return np.concatenate([[False], np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in key])])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
-        held: list[list[np.ndarray]] = []
+        held: list[dict[str, np.ndarray]] = []
         size = 0
 
-        def work(c: list[np.ndarray]) -> pa.RecordBatch:
+        def work(c: dict[str, np.ndarray]) -> pa.RecordBatch:
             nonlocal count
-            hi, lo, p, ra, rb = c[:5]
-            change = np.concatenate([[False], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
-            order = merge_runs(np.cumsum(change), p % 3, ra, rb)
-            p = p[order]
+            run = np.cumsum(changes(c))
+            order = merge_runs(run, c["p"] % 3, c["ra"], c["rb"])
+            p = c["p"][order]
             if not final:
                 v = count + 1 + np.arange(len(p))
                 count += len(p)
                 return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), part, np.int32)), pa.array(v), pa.array(p)], names=["part", "v", "p"])
-            prefix = c[5][order]
-            begin = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            prefix, run = c["prefix"][order], run[order]
+            fresh = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            fresh[1:] |= run[1:] != run[:-1]
+            begin = np.flatnonzero(fresh)
             first = np.minimum.reduceat(p, begin)
             later = p != np.repeat(first, np.diff(np.append(begin, len(p))))
-            return pa.RecordBatch.from_arrays([pa.array(p[later])], names=["p"])
+            found, of = [p[later]], [np.zeros(int(later.sum()), np.int64)]
+            if hot:  # the first and the last prefix of each part of a triple may go on in its neighbours
+                of_run = run[begin]
+                edge = np.concatenate([[True], of_run[1:] != of_run[:-1]])
+                edge |= np.append(edge[1:], True)
+                edge &= c["cut"][order][begin] >= 0
+                found.append(first[edge])
+                of.append(prefix[begin][edge])
+            of = np.concatenate(of)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(of, mask=of == 0)], names=["p", "prefix"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([column(batch, x).to_numpy() for x in wanted])
+            held.append({x: column(batch, x).to_numpy() for x in wanted})
             size += batch.num_rows
             if size >= 200_000:
-                c = [np.concatenate(x) for x in zip(*held, strict=True)]
+                c = {x: np.concatenate([h[x] for h in held]) for x in wanted}
                 # the last run of equal triples may go on in the next batch
-                keep = int(np.flatnonzero((c[0] != c[0][-1]) | (c[1] != c[1][-1]))[-1]) + 1 if (c[0][0], c[1][0]) != (c[0][-1], c[1][-1]) else 0
+                last = np.flatnonzero(changes(c))
+                keep = int(last[-1]) if len(last) else 0
                 if keep:
-                    yield work([x[:keep] for x in c])
-                held, size = [[x[keep:] for x in c]], len(c[0]) - keep
+                    yield work({x: v[:keep] for x, v in c.items()})
+                held, size = [{x: v[keep:] for x, v in c.items()}], len(c["p"]) - keep
         if size:
-            yield work([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield work({x: np.concatenate([h[x] for h in held]) for x in wanted})
 
     joined = blocks.join(_value_blocks(ranks, "ranks"), "b", "left")
-    fields = ", ".join(f"{x} long" for x in wanted)
-    ordered = joined.mapInArrow(rows, fields).repartitionByRange(max(1, -(-n // ROWS)), "hi", "lo").sortWithinPartitions("hi", "lo")
-    return scratch.keep(ordered.mapInArrow(merge, "p long" if final else "part int, v long, p long"), f"merged-{tag}")
-
-
-def _sample_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, scratch: Scratch) -> DataFrame:
+    fields = ", ".join(f"{x} {'int' if x == 'cut' else 'long'}" for x in wanted)
+    ordered = joined.mapInArrow(rows, fields).repartitionByRange(max(1, -(-n // rows_)), *key).sortWithinPartitions(*key)
+    kept = scratch.keep(ordered.mapInArrow(merge, "p long, prefix long" if final else "part int, v long, p long"), f"merged-{tag}")
+    if not final:
+        return kept
+    repeated = kept.where("prefix IS NULL").select("p")
+    if not hot:
+        return repeated
+    borders = kept.where("prefix IS NOT NULL").withColumn("first", F.min("p").over(Window.partitionBy("prefix")))
+    return repeated.unionAll(borders.where("p > first").select("p"))
+
+
+def _sample_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> DataFrame:
     """(p, v) with the rank of each sampled suffix; `covered`: words that a character stands for."""
-    names, distinct = _named(blocks, n, scratch, str(level))
+    names, distinct = _named(blocks, n, rows, scratch, str(level))
     n1, n2 = (n + 1) // 3, n // 3
     if distinct == n1 + n2 or 3 * covered >= length:
         return names
@@ -427,28 +516,28 @@ def _sample_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: i
     below = scratch.keep(_value_blocks(names.select(place.alias("p"), "v"), "chars"), f"text-{level + 1}")
     m = n1 + n2 + ((n1 + n2) % 3 == 1)
     scratch.drop(f"names-{level}")
-    ranks = _all_ranks(below, m, level + 1, 3 * covered, length, base, scratch)
+    ranks = _all_ranks(below, m, level + 1, 3 * covered, length, base, rows, scratch)
     back = F.when(F.col("p") < n1, 3 * F.col("p") + 1).otherwise(3 * (F.col("p") - n1) + 2)
     return ranks.where(F.col("p") < n1 + n2).select(back.alias("p"), "v")
 
 
-def _all_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, scratch: Scratch) -> DataFrame:
+def _all_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> DataFrame:
     """(p, v) with the rank of every suffix of a text of n characters, n % 3 != 1."""
     if n <= base:
         return scratch.keep(_base_ranks(blocks, n), f"base-{level}")
-    ranks = _sample_ranks(blocks, n, level, covered, length, base, scratch)
-    local = _merged(blocks, ranks, n, scratch, str(level), final=False)
+    ranks = _sample_ranks(blocks, n, level, covered, length, base, rows, scratch)
+    local = _merged(blocks, ranks, n, rows, scratch, str(level), final=False)
     scratch.drop(*(f"{x}-{y}" for x, y in (("names", level), ("merged", level + 1), ("text", level), ("base", level + 1))))
     starts, _ = _bases(local.groupBy("part").agg(F.max("v").alias("n")).collect(), "n")
     return _based(local, starts)
 
 
-def _flagged(regions: DataFrame, length: int, base: int, scratch: Scratch) -> DataFrame:
+def _flagged(regions: DataFrame, length: int, base: int, rows: int, scratch: Scratch) -> DataFrame:
     """(th, start) of every LENGTH-word run of the regions that has occurred before."""
     starts, n = _bases(regions.groupBy("part").agg(F.sum("size").alias("n")).collect(), "n")
     blocks = scratch.keep(_text_blocks(regions, starts, length), "text-0")
     n += n % 3 == 1  # one character 0 at the end
-    repeated = _merged(blocks, _sample_ranks(blocks, n, 0, 1, length, base, scratch), n, scratch, "0", final=True)
+    repeated = _merged(blocks, _sample_ranks(blocks, n, 0, 1, length, base, rows, scratch), n, rows, scratch, "0", final=True)
     scratch.drop("names-0", "merged-1", "base-1", "text-0")
 
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,10 +577,11 @@ def _union(found: DataFrame) -> DataFrame:
     return island.groupBy("th", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def _passages(docs: DataFrame, length: int, base: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _passages(docs: DataFrame, kinds: tuple[str, str], length: int, base: int, rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(keys: __id, th, n) of all rows, and (th, start, end) of what the first row of each text repeats."""
-    keys = scratch.keep(_keys(docs), "keys")
-    long = keys.where(F.col("n") >= length).withColumn("ord", F.coalesce("__id", F.lit(2**63 - 1)))
+    kind, order = kinds
+    keys = scratch.keep(_keys(docs, kind), "keys")
+    long = keys.where(F.col("n") >= length).withColumn("ord", id_order(F.col("__id"), kind))
     grams = _grams(docs.select("__text"), length).repartition("fp").sortWithinPartitions("fp")
     hits = scratch.keep(_repeated(grams), "hits")
     if not hits.limit(1).count():
@@ -507,13 +597,16 @@ def _passages(docs: DataFrame, length: int, base: int, scratch: Scratch) -> tupl
                 found += text_keys(words, begin)
             yield pa.RecordBatch.from_arrays([column(batch, "__id"), pa.array(found, pa.binary()), column(batch, "__text")], names=["__id", "th", "text"])
 
-    keyed = docs.mapInArrow(run, "__id long, th binary, text string").withColumn("ord", F.coalesce("__id", F.lit(2**63 - 1))).drop("__id")
-    regions = _regions(keyed.join(wanted, ["th", "ord"]).select("ord", "th", "text", "hits"), length).dropDuplicates(["th", "start"])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.mapInArrow(run, f"__id {kind}, th binary, text string").withColumn("ord", id_order(F.col("__id"), kind)).drop("__id")
+    regions = _regions(keyed.join(wanted, ["th", "ord"]).select("ord", "th", "text", "hits"), order, length).dropDuplicates(["th", "start"])
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // NUMBERED))
     ordered = regions.repartitionByRange(parts, "ord", "th", "start").sortWithinPartitions("ord", "th", "start")
     numbered = scratch.keep(_numbered(ordered), "regions")
     scratch.drop("hits")
-    return keys, scratch.keep(_union(_flagged(numbered, length, base, scratch)), "spans")
+    spans_ = scratch.keep(_union(_flagged(numbered, length, base, rows, scratch)), "spans")
+    scratch.drop("regions", "merged-0")
+    return keys, spans_
 
 
 def _head(th: str) -> Column:
@@ -525,22 +618,25 @@ def _head(th: str) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, base: int = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, base: int = BASE, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word): the parts of each text, in words, that `length`-word runs seen before make up.
 
     "Before" goes by the id, nulls last, and then by the place in the text. Of rows with the same
     words the first is the original, and each other row repeats all of itself, also if ids repeat.
-    Null and empty texts, and texts of fewer than `length` words, repeat nothing. Other columns are
-    ignored; an empty table gives an empty result.
+    Null and empty texts, and texts of fewer than `length` words, repeat nothing. Ids may be of any
+    type that can be ordered. Other columns are ignored; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    kinds = id_types(docs, id_col)
+    slim = docs.select(F.col(id_col).cast(kinds[0]).alias("__id"), F.col(text_col).alias("__text"))
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    keys, passages = _passages(slim, length, base, scratch)
-    order = Window.partitionBy("th").orderBy(F.coalesce("__id", F.lit(2**63 - 1)))
+    keys, passages = _passages(slim, kinds, length, base, rows, scratch)
+    order = Window.partitionBy("th").orderBy(id_order(F.col("__id"), kinds[0]))
     ranked = keys.where(F.col("n") >= length).withColumn("at", F.row_number().over(order))
     first = ranked.where("at = 1").join(passages, "th").select("__id", "start", "end")
     copies = ranked.where("at > 1").select("__id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
-    return first.unionAll(copies).select(F.col("__id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+    found = scratch.keep(first.unionAll(copies).select(F.col("__id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word")), "found")
+    scratch.drop("keys", "spans")
+    return found
 
 
 def cut_words(text: str, passages: list[tuple[int, int]]) -> str:
@@ -555,15 +651,17 @@ def cut_words(text: str, passages: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def drop_repeated(docs: DataFrame, length: int = LENGTH, base: int = BASE, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+def drop_repeated(docs: DataFrame, length: int = LENGTH, base: int = BASE, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """`docs` with the passages of repeated_passages() cut out of the texts; all columns stay.
 
     A row of which nothing but white space is left goes. `size_col`, if there is such a column,
     counts the characters of what is left of a text that was cut. Other rows stay as they are.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    kinds = id_types(docs, id_col)
+    slim = docs.select(F.col(id_col).cast(kinds[0]).alias("__id"), F.col(text_col).alias("__text"))
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    _, passages = _passages(slim, length, base, scratch)
+    _, passages = _passages(slim, kinds, length, base, rows, scratch)
+    scratch.drop("keys")
     names = [f"__c{i}" for i in range(len(docs.columns))]
     at, who = docs.columns.index(text_col), docs.columns.index(id_col)
     size = docs.columns.index(size_col) if size_col in docs.columns else None
@@ -580,7 +678,7 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, base: int = BASE, id_co
     keyed = plain.mapInArrow(key, T.StructType([*plain.schema.fields, T.StructField("__th", T.BinaryType()), T.StructField("__n", T.LongType())]))
     spans_of = passages.groupBy(F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     joined = keyed.join(spans_of, "__th", "left").withColumn("__alone", F.when(F.col("__n") < length, F.monotonically_increasing_id()))
-    order = Window.partitionBy("__th", "__alone").orderBy(F.coalesce(F.col(names[who]).cast("long"), F.lit(2**63 - 1)))
+    order = Window.partitionBy("__th", "__alone").orderBy(id_order(F.col(names[who]).cast(kinds[0]), kinds[0]))
     ranked = joined.withColumn("__at", F.row_number().over(order)).where("__at = 1 OR __n < " + str(int(length)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -366,6 +366,43 @@ def test_repeated_passages(spark, base):
     assert not plain_passages([left[k] for k in sorted(left) if k < 30], 30)
 
 
+def test_a_line_in_half_of_all_documents(spark):
+    """Tasks of 300 rows: the line's triples are cut into many, and the result is that of one walk."""
+    rng = np.random.default_rng(11)
+    line = " ".join(f"b{i}" for i in range(90))
+    texts = []
+    for k in range(120):
+        own = " ".join(f"o{i}" for i in rng.integers(0, 5000, 30))
+        texts.append(f"{own} {line} x{k}" if k % 2 else f"{own} y{k}")
+    texts += ["a a a " * 60, "q " * 200 + line]
+    df = spark.createDataFrame([(f"d{i:03}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(5)
+    cut = []
+    found = suffix_dedup._pivots
+
+    def seen(*args):
+        cut.append(found(*args))
+        return cut[-1]
+
+    suffix_dedup._pivots = seen
+    try:
+        got = sorted((int(r.doc_id[1:]), r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(df, 30, 10, 300).collect())
+    finally:
+        suffix_dedup._pivots = found
+    assert got == plain_passages(texts, 30)
+    assert cut[-1] and max(len(c["p"]) for c in cut[-1].values()) > 1
+
+
+def test_named_documents(spark):
+    a = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([("x", a), ("b", a + " eleven"), (None, a), ("c", None)], "doc_id string, text string")
+    got = {(r.doc_id, r.group_id, r.keep) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {("b", "b", True), ("x", "b", False), (None, "b", False), ("c", "c", True)}
+    assert {r.doc_id for r in near_dedup.drop_near_duplicates(df).collect()} == {"b", "c"}
+    cut = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(df, 8).collect()}
+    assert cut == {("x", 0, 10), (None, 0, 10)}
+    assert {r.doc_id for r in suffix_dedup.drop_repeated(df, 8).collect()} == {"b", "c"}
+
+
 def test_repeated_passages_odd(spark):
     got = {(r.doc_id, r.start_word) for r in suffix_dedup.repeated_passages(odd.table(spark), 10).collect()}
     assert {g[0] for g in got} == {1, 5}
