@@ -70,7 +70,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         elif args.action == "delete":
             jobs.delete(args.job_id)
         else:
-            print(f"{len(jobs.cleanup({}, args.max_age))} deleted")
+            print(f"{len(jobs.cleanup(max_age_days=args.max_age))} deleted")
     elif args.command == "upload":
         from loamworks.sources.hub import DatasetCard, FolderTransport, upload_jsonl
 

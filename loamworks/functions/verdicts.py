@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 
 from loamworks.functions.text import let, most_frequent, ngrams, stripped, token_count, words
 
-CREDENTIALS = r"(?i)\b(?:secret|token|password|api[-_]?key)\s*[=:]\s*\S+"
-#: Patterns of which none may occur, unless others are given.
-BLOCKED = (CREDENTIALS, r"(?i)\b(?:xxx|fixme|todo)\b", r"(?i)(?:traceback|exception|error)", "(?i)lorem ipsum", "(?i)" + r"\[placeholder\]")
+
+
+def _any(*words_: str) -> str:
+    return f"({'|'.join(words_)})"
+
+
+_KEYS = _any("api[_-]?key", *"password secret token".split())
+#: Patterns of which none may occur, unless others are given; the reasons quote them, so their wording is part of the interface.
+BLOCKED = tuple("(?i)" + p for p in (rf"\b{_KEYS}\s*[:=]\s*\S+", rf"\b{_any('todo', 'fixme', 'xxx')}\b", _any("error", "exception", "traceback"), "lorem ipsum", r"\[placeholder\]"))
+CREDENTIALS = BLOCKED[0]
 ASKING = tuple("are can could did do does how is should what when where which who why would".split())
 
 
@@ -159,6 +166,6 @@ class QASpecificFilter(Filter):
         return _first(
             (F.length(q) < self.min_question, "Question too short"),
             (F.length(a) < self.min_answer, "Answer too short"),
-            (~marked, "Question isn't interrogative"),
+            (~marked, "Question doesn't appear to be interrogative"),
             (F.contains(F.lower(a), asked) & (shared > 0.7), "Answer repeats too much of question"),
         )

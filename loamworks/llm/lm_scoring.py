@@ -36,6 +36,8 @@ TOKENS = 1 << 15
 EDGE = TOKENS
 WINDOW = 2
 DIM, HIDDEN = 12, 16
+#: Units of the hidden layer that the nodes of the trees look at, the first ones.
+TREE = 8
 CLASSES = 128
 #: Tokens that are a class of their own.
 ALONE = 96
@@ -49,8 +51,10 @@ SHARD = 40_000
 _BLOCKS = 32
 NODES = TOKENS - CLASSES
 #: Windows of one step of training.
-BATCH = 512
-RATE = 0.2
+BATCH = 1024
+RATE = 0.3
+#: Tokens scored together.
+STEP = 2048
 _DENSE = ("w", "b", "v", "c")
 
 
@@ -59,7 +63,7 @@ class Model:
     """of: (TOKENS,) class; begin, node, turn: the way to each token in its class's tree; e, w, b, v, c, t: the network.
 
     Token k passes the nodes node[begin[k] : begin[k + 1]] and turns right where `turn` is 1, left
-    where it is -1.  t: (NODES, HIDDEN + 1), the weights of each node, its own tendency last.
+    where it is -1.  t: (NODES, TREE + 1), the weights of each node, its own tendency last.
     """
 
     of: np.ndarray
@@ -148,7 +152,7 @@ def new_model(counts: np.ndarray, seed: int = 9) -> Model:
     begin, node, turn, lean = trees(counts, of)
     share = np.bincount(of, counts + 1.0, minlength=CLASSES)
     c = np.log(np.maximum(share, 1) / share.sum())  # begins at the classes' own frequencies
-    t = np.zeros((NODES, HIDDEN + 1), np.float32)
+    t = np.zeros((NODES, TREE + 1), np.float32)
     t[:, -1] = lean
     return Model(of, begin, node, turn, rng.normal(0, 0.3, (TOKENS + 1, DIM)).astype(np.float32), rng.normal(0, 0.5 / np.sqrt(DIM), (2 * WINDOW, DIM, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), c.astype(np.float32), t)
 
@@ -171,7 +175,7 @@ def ways(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return row, model.node[at], model.turn[at]
 
 
-def log_probabilities(model: Model, folded: np.ndarray, tokens: np.ndarray, around: np.ndarray, step: int = 2048) -> np.ndarray:
+def log_probabilities(model: Model, folded: np.ndarray, tokens: np.ndarray, around: np.ndarray, step: int = STEP) -> np.ndarray:
     out = np.empty(len(tokens))
     ones = np.ones(CLASSES, np.float32)
     for lo in range(0, len(tokens), step):
@@ -185,7 +189,7 @@ def log_probabilities(model: Model, folded: np.ndarray, tokens: np.ndarray, arou
         at = at - np.log(z @ ones)
         row, node, turn = ways(model, own)
         t = model.t.take(node, axis=0)
-        s = np.einsum("ij,ij->i", h.take(row, axis=0), t[:, :-1])
+        s = np.einsum("ij,ij->i", np.ascontiguousarray(h[:, :TREE]).take(row, axis=0), t[:, :-1])
         s += t[:, -1]
         s *= turn
         np.clip(s, -LIMIT, LIMIT, out=s)
@@ -214,7 +218,7 @@ def gradients(model: Model, target: np.ndarray, around: np.ndarray) -> tuple[flo
     dh = z @ model.v.T
     at, node, turn = ways(model, target)
     t = model.t.take(node, axis=0)
-    near = h.take(at, axis=0)
+    near = np.ascontiguousarray(h[:, :TREE]).take(at, axis=0)
     s = np.einsum("ij,ij->i", near, t[:, :-1])
     s += t[:, -1]
     s *= turn
@@ -228,7 +232,7 @@ def gradients(model: Model, target: np.ndarray, around: np.ndarray) -> tuple[flo
     dt[:, -1] = ds
     if len(at):
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        dh[at[first]] += _run_sums(t[:, :-1] * ds[:, None], first)
+        dh[at[first], :TREE] += _run_sums(t[:, :-1] * ds[:, None], first)
     dh *= pre > 0
     grads = {"w": (x.T @ dh).reshape(model.w.shape), "b": dh.sum(0), "v": h.T @ z, "c": z.sum(0)}
     return float(loss) / n, grads, (dh @ w.T).reshape(n, 2 * WINDOW, DIM).transpose(1, 0, 2), dt, node
@@ -243,25 +247,24 @@ def _run_sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _sparse_step(table: np.ndarray, past: np.ndarray, ids: np.ndarray, grads: np.ndarray, rate: float) -> None:
-    """Adagrad on the rows of a table that were used; ids: 16 bits."""
+    """Adagrad on the rows of a table that were used, with one step size a row; ids: 16 bits."""
     order = np.argsort(ids, kind="stable")
     ids = ids.take(order)
     begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     ids = ids.take(begin)
     g = _run_sums(grads.take(order, axis=0), begin)
-    own = past.take(ids, axis=0)
-    own += g * g
+    own = past.take(ids)
+    own += np.einsum("ij,ij->i", g, g) * np.float32(1 / g.shape[1])
     past[ids] = own
-    np.sqrt(own, out=own)
-    g *= np.float32(rate)
-    g /= own
+    g *= (np.float32(rate) / np.sqrt(own))[:, None]
     table[ids] -= g
 
 
 def train_copy(model: Model, windows: np.ndarray, rate: float, seed: int, batch: int = BATCH) -> tuple[Model, np.ndarray, np.ndarray]:
     """A copy trained on (n, 2 WINDOW + 1) windows, the target last, and how often each token's vector and each node was trained."""
     own = Model(model.of, model.begin, model.node, model.turn, *(getattr(model, k).copy() for k in ("e", *_DENSE, "t")))
-    sums = {k: np.full_like(getattr(own, k), 1e-4) for k in ("e", *_DENSE, "t")}
+    sums = {k: np.full_like(getattr(own, k), 1e-4) for k in _DENSE}
+    sums |= {k: np.full(len(getattr(own, k)), 1e-4, np.float32) for k in ("e", "t")}
     order = np.random.default_rng(seed).permutation(len(windows))
     for lo in range(0, len(order), batch):
         part = windows[order[lo : lo + batch]]

@@ -42,7 +42,7 @@ BLOCK = 1 << 18
 BASE = 400_000
 #: Rows that one task sorts, about.
 ROWS = 600_000
-#: Samples of the suffixes to a task's rows; a triple with CUT of them is cut at every CUT-th.
+#: Samples of the suffixes to a task's rows; a triple with very many is cut at every CUT-th of its own.
 SAMPLES, CUT = 64, 16
 #: Words of regions that one task numbers, about.
 NUMBERED = 4_000_000
@@ -263,11 +263,11 @@ def _batches(columns: list[np.ndarray], names: list[str], size: int = 50_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + size]) for c in columns], names=names)
 
 
-def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) -> tuple[DataFrame, int]:
-    """(p, v) with the name v >= 1 of the triple at each sampled place p, and how many names there are.
+def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) -> tuple[DataFrame, int, list[tuple[int, int]]]:
+    """(p, v) with the name v >= 1 of the triple at each sampled place p, how many names there are, and the triples at very many places.
 
     Equal triples may lie in several partitions: each tells its first and last one, as rows of v < 0,
-    so that a name goes on across the border.
+    so that a name goes on across the border, and those with an eighth of a task's rows or more.
     """
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,6 +280,7 @@ def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) ->
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, last = TaskContext.get().partitionId(), 0, None
+        run, told = 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -290,26 +291,38 @@ def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) ->
             if last is None:
                 yield tell((hi[0], lo[0]), -1)
             local = count + np.cumsum(fresh)
+            # ends of runs of equal triples, the last one's open
+            ends = np.append(np.flatnonzero(fresh), len(hi))
+            size = np.diff(np.concatenate([[-run], ends]))
+            for i in np.flatnonzero(size[:-1] >= most):
+                where = max(int(ends[i]) - 1, 0)
+                yield tell((hi[where], lo[where]) if ends[i] else last, -5 - 2 * told)
+                told += 1
+            run = int(size[-1])
             count, last = int(local[-1]), (hi[-1], lo[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), part, np.int32)), pa.array(local), column(batch, "p")], names=["part", "v", "p"])
         if last is not None:
             yield tell(last, -3)
+            if run >= most:
+                yield tell(last, -5 - 2 * told)
 
     def tell(triple: tuple[int, int], v: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(2, TaskContext.get().partitionId(), np.int32)), pa.array(np.array([v, v - 1])), pa.array(np.array(triple))], names=["part", "v", "p"])
 
+    most = max(2, rows // 8)
     parts = max(1, -(-2 * n // 3 // rows))
-    ordered = blocks.select("b", "chars").mapInArrow(triples, "hi long, lo long, p long").repartitionByRange(parts, "hi", "lo", "p").sortWithinPartitions("hi", "lo", "p")
+    ordered = blocks.select("b", "chars").mapInArrow(triples, "hi long, lo long, p long").repartitionByRange(parts, "hi", "lo", "p").sortWithinPartitions("hi", "lo")
     local = scratch.keep(ordered.mapInArrow(name, "part int, v long, p long"), f"names-{tag}")
     ends: dict[int, dict[int, int]] = {}
-    for r in local.where("v < 0").collect():  # four rows a partition
+    for r in local.where("v < 0").collect():  # 20 rows a partition at most
         ends.setdefault(r["part"], {})[r["v"]] = r["p"]
+    many = sorted({(own[v], own[v - 1]) for own in ends.values() for v in own if v <= -5 and v % 2})
     total, base, last = 0, {}, None
     for r in sorted(local.groupBy("part").agg(F.max("v").alias("n")).collect(), key=lambda r: r["part"]):
         own = ends[r["part"]]
         base[r["part"]] = total - (last == (own[-1], own[-2]))
         total, last = base[r["part"]] + r["n"], (own[-3], own[-4])
-    return _based(local.where("v > 0"), base), total
+    return _based(local.where("v > 0"), base), total, many
 
 
 def _based(local: DataFrame, base: dict[int, int]) -> DataFrame:
@@ -368,12 +381,14 @@ def merge_runs(run: np.ndarray, kind: np.ndarray, ra: np.ndarray, rb: np.ndarray
     return np.concatenate([sampled, others])[np.argsort(key, kind="stable")]
 
 
-def _pivots(blocks: DataFrame, ranks: DataFrame, n: int, rows: int) -> dict[tuple[int, int], dict[str, np.ndarray]]:
+def _pivots(blocks: DataFrame, ranks: DataFrame, n: int, rows: int, many: list[tuple[int, int]]) -> dict[tuple[int, int], dict[str, np.ndarray]]:
     """For each triple that too many suffixes begin with, the sampled suffixes it is cut at, in order: p, kind, own, next.
 
     own: the suffix's rank; next: that of the next suffix for kind 1, of the one after for kind 2.
     What comes to the driver is about SAMPLES to a task's rows, of such triples only.
     """
+    if not many:
+        return {}
     step = max(1, rows // SAMPLES)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,21 +398,19 @@ def _pivots(blocks: DataFrame, ranks: DataFrame, n: int, rows: int) -> dict[tupl
                 p = at + b * BLOCK
                 at = at[(p % 3 != 0) & (mix(p.astype(np.uint64)) % np.uint64(step) == 0)]
                 hi, lo = _pack(np.frombuffer(raw, np.int64), at)
-                yield from _batches([hi, lo, at + b * BLOCK], ["hi", "lo", "p"])
+                hot = np.logical_or.reduce([(hi == x) & (lo == y) for x, y in many])
+                yield from _batches([hi[hot], lo[hot], at[hot] + b * BLOCK], ["hi", "lo", "p"])
 
-    taken = blocks.select("b", "chars").mapInArrow(some, "hi long, lo long, p long")
-    many = taken.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= CUT).select("hi", "lo").collect()
-    if not many:
-        return {}
     spark = blocks.sparkSession
-    found = taken.join(F.broadcast(spark.createDataFrame(many, "hi long, lo long")), ["hi", "lo"]).collect()
+    found = blocks.select("b", "chars").mapInArrow(some, "hi long, lo long, p long").collect()
     places = sorted({q for r in found for q in (r["p"], r["p"] + (1 if r["p"] % 3 == 1 else 2))})
     rank = {r["p"]: r["v"] for r in ranks.join(F.broadcast(spark.createDataFrame([(q,) for q in places], "p long")), "p").collect()}
     out: dict[tuple[int, int], dict[str, np.ndarray]] = {}
     for triple in {(r["hi"], r["lo"]) for r in found}:
         own = sorted((rank[r["p"]], r["p"]) for r in found if (r["hi"], r["lo"]) == triple)[CUT // 2 :: CUT]
-        p = np.array([x[1] for x in own])
-        out[triple] = {"p": p, "kind": p % 3, "own": np.array([x[0] for x in own]), "next": np.array([rank.get(q + (1 if q % 3 == 1 else 2), 0) for q in p.tolist()])}
+        if own:
+            p = np.array([x[1] for x in own])
+            out[triple] = {"p": p, "kind": p % 3, "own": np.array([x[0] for x in own]), "next": np.array([rank.get(q + (1 if q % 3 == 1 else 2), 0) for q in p.tolist()])}
     return out
 
 
@@ -415,12 +428,12 @@ def cuts(hot: dict[tuple[int, int], dict[str, np.ndarray]], hi: np.ndarray, lo:
     return out
 
 
-def _merged(blocks: DataFrame, ranks: DataFrame, n: int, rows_: int, scratch: Scratch, tag: str, final: bool) -> DataFrame:
+def _merged(blocks: DataFrame, ranks: DataFrame, n: int, rows_: int, many: list[tuple[int, int]], scratch: Scratch, tag: str, final: bool) -> DataFrame:
     """All suffixes in order: (part, v, p) with the place v in the partition.
 
     If `final`, instead (p,) of those whose prefix is repeated at an earlier place.
     """
-    hot = _pivots(blocks, ranks, n, rows_)
+    hot = _pivots(blocks, ranks, n, rows_, many)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -506,27 +519,27 @@ def _merged(blocks: DataFrame, ranks: DataFrame, n: int, rows_: int, scratch: Sc
     return repeated.unionAll(borders.where("p > first").select("p"))
 
 
-def _sample_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> DataFrame:
-    """(p, v) with the rank of each sampled suffix; `covered`: words that a character stands for."""
-    names, distinct = _named(blocks, n, rows, scratch, str(level))
+def _sample_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(p, v) with the rank of each sampled suffix, and the triples at very many places; `covered`: words that a character stands for."""
+    names, distinct, many = _named(blocks, n, rows, scratch, str(level))
     n1, n2 = (n + 1) // 3, n // 3
     if distinct == n1 + n2 or 3 * covered >= length:
-        return names
+        return names, many
     place = F.when(F.col("p") % 3 == 1, F.floor((F.col("p") - 1) / 3)).otherwise(n1 + F.floor((F.col("p") - 2) / 3))
     below = scratch.keep(_value_blocks(names.select(place.alias("p"), "v"), "chars"), f"text-{level + 1}")
     m = n1 + n2 + ((n1 + n2) % 3 == 1)
     scratch.drop(f"names-{level}")
     ranks = _all_ranks(below, m, level + 1, 3 * covered, length, base, rows, scratch)
     back = F.when(F.col("p") < n1, 3 * F.col("p") + 1).otherwise(3 * (F.col("p") - n1) + 2)
-    return ranks.where(F.col("p") < n1 + n2).select(back.alias("p"), "v")
+    return ranks.where(F.col("p") < n1 + n2).select(back.alias("p"), "v"), many
 
 
 def _all_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> DataFrame:
     """(p, v) with the rank of every suffix of a text of n characters, n % 3 != 1."""
     if n <= base:
         return scratch.keep(_base_ranks(blocks, n), f"base-{level}")
-    ranks = _sample_ranks(blocks, n, level, covered, length, base, rows, scratch)
-    local = _merged(blocks, ranks, n, rows, scratch, str(level), final=False)
+    ranks, many = _sample_ranks(blocks, n, level, covered, length, base, rows, scratch)
+    local = _merged(blocks, ranks, n, rows, many, scratch, str(level), final=False)
     scratch.drop(*(f"{x}-{y}" for x, y in (("names", level), ("merged", level + 1), ("text", level), ("base", level + 1))))
     starts, _ = _bases(local.groupBy("part").agg(F.max("v").alias("n")).collect(), "n")
     return _based(local, starts)
@@ -537,7 +550,8 @@ def _flagged(regions: DataFrame, length: int, base: int, rows: int, scratch: Scr
     starts, n = _bases(regions.groupBy("part").agg(F.sum("size").alias("n")).collect(), "n")
     blocks = scratch.keep(_text_blocks(regions, starts, length), "text-0")
     n += n % 3 == 1  # one character 0 at the end
-    repeated = _merged(blocks, _sample_ranks(blocks, n, 0, 1, length, base, rows, scratch), n, rows, scratch, "0", final=True)
+    ranks, many = _sample_ranks(blocks, n, 0, 1, length, base, rows, scratch)
+    repeated = _merged(blocks, ranks, n, rows, many, scratch, "0", final=True)
     scratch.drop("names-0", "merged-1", "base-1", "text-0")
 
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 from loamworks.functions.text import stripped, words
 from loamworks.operators.extraction import ask
 
-SYNONYMS = {
-    "answer": ("reply", "response"), "begin": ("start", "open"), "big": ("large", "sizeable"), "choose": ("pick", "select"),
-    "end": ("finish", "close"), "error": ("mistake", "fault"), "fast": ("quick", "rapid"), "good": ("fine", "sound"),
-    "help": ("assist", "aid"), "important": ("weighty", "central"), "make": ("build", "form"), "need": ("require", "want"),
-    "part": ("piece", "section"), "show": ("display", "present"), "use": ("apply", "employ"),
-}
+_TABLE = """
+important: crucial vital essential significant
+good: excellent great fine positive
+bad: poor negative unfavorable adverse
+big: large substantial significant major
+small: little minor slight modest
+fast: quick rapid swift speedy
+slow: gradual unhurried leisurely sluggish
+help: assist aid support facilitate
+use: utilize employ apply leverage
+show: demonstrate display indicate reveal
+make: create produce generate develop
+get: obtain acquire receive gain
+think: believe consider assume suppose
+know: understand recognize realize comprehend
+need: require necessitate demand want
+"""
+SYNONYMS = {k: tuple(v.split()) for k, v in (line.split(": ") for line in _TABLE.strip().splitlines())}
 #: From a prompt to a reply.
 Model = Callable[[str], str]
 STYLES = {"formal": "in formal language", "casual": "in casual language", "detailed": "in more detail", "brief": "as briefly as possible", "step_by_step": "as steps in order"}
@@ -29,7 +41,9 @@ def replace_synonyms(text: Column, key: Column, seed: int = 0, share: float = 0.
     def one(word: Column, at: Column) -> Column:
         bare = F.trim(F.lower(word), F.lit(".,!?;:"))
         other = F.try_element_at(table, bare)
-        h = F.pmod(F.xxhash64(F.lit(seed), key, at), F.lit(1_000_000))
+        # the first 15 hexadecimal digits of a SHA-256 hash
+        digits = F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), at.cast("string")), 256)
+        h = F.pmod(F.conv(F.left(digits, F.lit(15)), 16, 10).cast("long"), F.lit(1_000_000))
         pick = F.get(other, F.pmod(F.floor(h / 7), F.size(other)).cast("int"))
         cased = F.when(F.left(word, F.lit(1)).rlike(r"^\p{Lu}"), F.concat(F.upper(F.left(pick, F.lit(1))), F.substring(pick, 2, 10_000))).otherwise(pick)
         tail = F.regexp_extract(word, r"([.,!?;:])$", 1)
@@ -49,7 +63,7 @@ class Augmenter:
 def synonym_augmenter(field: str = "output", variations: int = 2, share: float = 0.2, seed: int = 0, pos: str = "pos") -> Augmenter:
     def make(items: DataFrame) -> DataFrame:
         each = items.withColumn("__v", F.explode(F.sequence(F.lit(1), F.lit(variations))))
-        new = replace_synonyms(F.col(field), F.struct(pos, "__v"), seed, share)
+        new = replace_synonyms(F.col(field), F.concat_ws(":", F.col(pos).cast("string"), F.col("__v").cast("string")), seed, share)
         return each.withColumn("__new", new).where(F.col("__new") != F.col(field)).withColumn(field, F.col("__new")).withColumn("_augmentation", F.lit("synonym")).drop("__new", "__v")
 
     return Augmenter("synonym", make)

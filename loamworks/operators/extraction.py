@@ -144,24 +144,26 @@ def custom_extractor(name: str, template: str, parser: Callable[[str], Sequence[
     return Extractor(name, "", "", lambda x: x, template=template, parser=parser, **options)
 
 
-def ask(llm: Callable[[str], str], retries: int = 0, delay: float = 0.0, threads: int = 1, per_second: float | None = None) -> Callable[[Column], Column]:
-    """Column function: struct<reply, error> of each prompt; errors are data, tried again `retries` times."""
+def ask(llm: Callable[[str], str], retries: int = 0, delay: float = 0.0, threads: int = 1, per_second: float | None = None, tasks: int = 1) -> Callable[[Column], Column]:
+    """Column function: struct<reply, error> of each prompt; errors are data, tried again `retries` times.
+
+    `per_second` limits the calls of all of `tasks` tasks that run at a time: each makes its share.
+    """
 
     @F.pandas_udf("struct<reply: string, error: string>")
     def run(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import time
         from concurrent.futures import ThreadPoolExecutor
 
-        due = [0.0]
+        from loamworks.operators.parallel import Turns
+
+        turns = Turns(per_second, tasks)
 
         def one(prompt: str | None) -> tuple[str | None, str | None]:
             if prompt is None:
                 return None, None
             for attempt in range(retries + 1):
-                if per_second:
-                    now = time.monotonic()
-                    due[0] = max(due[0], now) + 1 / per_second
-                    time.sleep(max(0.0, due[0] - 1 / per_second - now))
+                time.sleep(turns.next())
                 try:
                     return llm(prompt) or "", None
                 except Exception as e:  # noqa: BLE001 - whatever a client raises is the row's error

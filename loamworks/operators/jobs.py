@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loamworks.functions.text import short_hash
 
 STATUS = "job_id string, doc_id string, status string, error string, updated_at timestamp, result string"
+#: Status of the row that says how many documents a job has.
+TOTAL = "total"
 
 
 def doc_id(source: Column, content: Column) -> Column:
@@ -34,16 +36,27 @@ class Jobs:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def table(self, job: str | None = None) -> DataFrame:
-        """The latest status of each document."""
+    def _rows(self) -> DataFrame:
         fs, path = self._files()
         if not fs.exists(path(self.path)):
             return self.spark.createDataFrame([], STATUS)
-        rows = self.spark.read.schema(STATUS).parquet(self.path)
+        return self.spark.read.schema(STATUS).parquet(self.path)
+
+    def table(self, job: str | None = None) -> DataFrame:
+        """The latest status of each document."""
+        rows = self._rows().where(F.col("status") != TOTAL)
         rows = rows if job is None else rows.where(F.col("job_id") == job)
         at = F.row_number().over(Window.partitionBy("job_id", "doc_id").orderBy(F.desc("updated_at"), "status"))
         return rows.withColumn("__at", at).where("__at = 1").drop("__at")
 
+    def start(self, job: str, total: int) -> None:
+        """Notes how many documents the job has, without which it never counts as complete."""
+        self.append(job, self.spark.range(1).select(F.lit("").alias("doc_id"), F.lit(TOTAL).alias("status"), F.lit(None).cast("string").alias("error"), F.lit(str(total)).alias("result")))
+
+    def totals(self) -> DataFrame:
+        """(job_id, total) of the jobs that have been started, as last noted."""
+        return self._rows().where(F.col("status") == TOTAL).groupBy("job_id").agg(F.max_by(F.col("result").cast("long"), "updated_at").alias("total"))
+
     def append(self, job: str, rows: DataFrame) -> None:
         """(doc_id, status, error, result) of a batch: statuses and results become visible together."""
         rows.select(F.lit(job).alias("job_id"), "doc_id", "status", "error", F.current_timestamp().alias("updated_at"), "result").write.mode("append").partitionBy("job_id").parquet(self.path)
@@ -62,17 +75,23 @@ class Jobs:
         return self.table(job)
 
     def list(self) -> DataFrame:
-        """(job_id, done, failed, updated_at), the latest first."""
-        return summary(self.table()).orderBy(F.desc("updated_at"), "job_id")
+        """(job_id, done, failed, success_rate, updated_at, total), the latest first; total is null for a job that wasn't started."""
+        return summary(self.table()).join(self.totals(), "job_id", "left").orderBy(F.desc("updated_at"), "job_id")
 
     def delete(self, job: str) -> None:
         fs, path = self._files()
         fs.delete(path(f"{self.path}/job_id={job}"), True)
 
-    def cleanup(self, totals: dict[str, int], max_age_days: float = 7) -> list[str]:
-        """Deletes jobs that are complete (as many rows as `totals` says) and older than the limit; returns their ids."""
+    def cleanup(self, totals: dict[str, int] | None = None, max_age_days: float = 7) -> list[str]:
+        """Deletes jobs that are complete and older than the limit; returns their ids.
+
+        A job is complete with as many done and failed documents as `totals`, or else start(), says;
+        one whose total is unknown stays.
+        """
+        known = totals or {}
         old = self.list().where(F.col("updated_at") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(max_age_days * 86400.0))).collect()
-        gone = [r["job_id"] for r in old if r["done"] + r["failed"] >= totals.get(r["job_id"], 0)]
+        of = {r["job_id"]: known.get(r["job_id"], r["total"]) for r in old}
+        gone = [r["job_id"] for r in old if of[r["job_id"]] is not None and r["done"] + r["failed"] >= of[r["job_id"]]]
         for j in gone:
             self.delete(j)
         return gone

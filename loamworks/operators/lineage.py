@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamworks.functions.text import base_name, normalised, short_hash, words
+from loamworks.functions.text import base_name, let, normalised, short_hash, words
 
 _HEADERS = (re.compile(r"^([#]{1,6})\s+(.+)$", re.M), re.compile(r"^(.+)\n[=-]{2,}$", re.M), re.compile(r"^([0-9]+(?:[.][0-9]+)*[.]?)\s+([A-Z].*)$", re.M))
 
@@ -47,12 +47,17 @@ def citation(location: Column) -> Column:
 def find_text(content: Column, text: Column, start: Column | int = 0) -> Column:
     """struct<char_start, char_end, fuzzy> in the normalised content, or null: the whole text, else its first five words."""
     start = F.lit(start) if isinstance(start, int) else start
-    space, wanted = normalised(content), normalised(text)
-    whole = F.nullif(F.locate_col(wanted, space, start + 1) if hasattr(F, "locate_col") else F.position(wanted, space, start + 1), F.lit(0))
-    head = F.array_join(F.slice(words(F.lower(text)), 1, 5), " ")
-    part = F.nullif(F.position(head, space, start + 1), F.lit(0))
-    at = F.coalesce(whole, F.when(head != "", part)) - 1
-    return F.when(at.isNotNull(), F.struct(at.alias("char_start"), (at + F.length(text)).alias("char_end"), whole.isNull().alias("fuzzy")))
+
+
+    def of(v: Column) -> Column:
+        space = v["space"]
+        wanted, head = F.array_join(v["own"], " "), F.array_join(F.slice(v["own"], 1, 5), " ")
+        whole = F.nullif(F.position(wanted, space, start + 1), F.lit(0))
+        part = F.nullif(F.position(head, space, start + 1), F.lit(0))
+        return let(F.struct(whole.alias("whole"), (F.coalesce(whole, F.when(head != "", part)) - 1).alias("at")), lambda f: F.when(f["at"].isNotNull(), F.struct(f["at"].alias("char_start"), (f["at"] + F.length(text)).alias("char_end"), f["whole"].isNull().alias("fuzzy"))))
+
+    # both texts are normalised once
+    return let(F.struct(normalised(content).alias("space"), words(F.lower(text)).alias("own")), of)
 
 
 def section_headers(content: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import asyncio
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -13,19 +14,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def apply(fn: Callable[[Any], Any], returns: str = "string", threads: int = 1, per_second: float | None = None) -> Callable[[Column], Column]:
-    """struct<result, error, duration_ms> of each value; an async function is awaited, `threads` at a time."""
+class Turns:
+    """Spreads calls evenly: `next` says how long to wait for the next turn. Threads may share it."""
+
+    def __init__(self, per_second: float | None, tasks: int = 1) -> None:
+        self.gap = max(1, tasks) / per_second if per_second else 0.0
+        self.due, self.lock = 0.0, threading.Lock()
+
+    def next(self) -> float:
+        if not self.gap:
+            return 0.0
+        with self.lock:
+            now = time.monotonic()
+            at = max(self.due, now)
+            self.due = at + self.gap
+        return at - now
+
+
+def apply(fn: Callable[[Any], Any], returns: str = "string", threads: int = 1, per_second: float | None = None, tasks: int = 1) -> Callable[[Column], Column]:
+    """struct<result, error, duration_ms> of each value; an async function is awaited, `threads` at a time.
+
+    `per_second` limits the calls of all of `tasks` tasks that run at a time: each makes its share.
+    """
 
     @F.pandas_udf(f"struct<result: {returns}, error: string, duration_ms: double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        due = [0.0]
-
-        def wait() -> None:
-            if per_second:
-                now = time.monotonic()
-                at = max(due[0], now)
-                due[0] = at + 1 / per_second
-                time.sleep(at - now)
+        turns = Turns(per_second, tasks)
 
         def one(x: Any) -> tuple:
             began = time.monotonic()
@@ -39,6 +53,7 @@ def apply(fn: Callable[[Any], Any], returns: str = "string", threads: int = 1, p
 
             async def single(x: Any) -> tuple:
                 async with gate:
+                    await asyncio.sleep(turns.next())
                     began = time.monotonic()
                     try:
                         return await fn(x), None, (time.monotonic() - began) * 1000
@@ -54,7 +69,7 @@ def apply(fn: Callable[[Any], Any], returns: str = "string", threads: int = 1, p
                 else:
                     jobs = []
                     for x in part.tolist():
-                        wait()
+                        time.sleep(turns.next())
                         jobs.append(pool.submit(one, x))
                     rows = [j.result() for j in jobs]
                 yield pd.DataFrame(rows, columns=["result", "error", "duration_ms"])

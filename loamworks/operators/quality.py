@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamworks.functions.text import jaccard, normalised, short_hash, words
+from loamworks.functions.text import jaccard, let, normalised, short_hash, words
 from loamworks.functions.verdicts import ContentFilter, Filter, LengthFilter, QASpecificFilter, RepetitionFilter, TokenLengthFilter, field_text
+from loamworks.sources.scratch import written
 
 
 class DuplicateFilter:
@@ -84,6 +85,7 @@ def near_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     Prefix filter: two sets this alike share a word among the rarest floor((1 - t) n) + 1 of each.
     """
     sets = docs.select("pos", F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != "")).alias("w")).where(F.size("w") > 0)
+    sets = written(sets)  # read four times
     long = sets.select("pos", F.size("w").alias("n"), F.explode("w").alias("word"))
     often = long.groupBy("word").agg(F.count("*").alias("df"))
     ranked = long.join(often, "word").withColumn("at", F.row_number().over(Window.partitionBy("pos").orderBy("df", "word")))
@@ -134,7 +136,11 @@ class QualityScorer:
         self.threshold = threshold
 
     def column(self) -> Column:
-        found = [f.verdict() for f in self.filters]
+        # each verdict is worked out once, though it is used four times
+        return let(F.struct(*[f.verdict().alias(f"v{i}") for i, f in enumerate(self.filters)]), self._of)
+
+    def _of(self, verdicts: Column) -> Column:
+        found = [verdicts[f"v{i}"] for i in range(len(self.filters))]
         ones = [F.when(v["passed"], 1.0).otherwise(0.0) for v in found]
         overall = reduce(lambda a, b: a + b, ones) / len(ones)
         reasons = F.filter(F.array(*[F.when(~v["passed"], F.concat(F.lit(f"{f.name}: "), v["reason"])) for f, v in zip(self.filters, found, strict=True)]), lambda r: r.isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from loamworks.operators.dataset import Dataset
 from loamworks.plans import views
 from loamworks.plans.views import CONVS, DOCS, ITEMS, PAIRS, sql_norm, sql_words
 from loamworks.sources import loaders
+from loamworks.sources.scratch import shared_folder
 from loamworks.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +88,7 @@ _ASKING = " OR ".join(f"starts_with(q, '{w}')" for w in "are can could did do do
 @query(
     rf"""WITH {PAIRS}, p AS (SELECT pos, input, output, regexp_replace(regexp_replace(lower(input), '^\s+', ''), '\s+$', '') AS q FROM pairs),
 s AS (SELECT *, list_distinct({sql_words('q')}) AS qw, list_distinct({sql_words('lower(output)')}) AS aw FROM p),
-r AS (SELECT pos, CASE WHEN length(input) < 10 THEN 'Question too short' WHEN length(output) < 20 THEN 'Answer too short' WHEN NOT (ends_with(q, '?') OR {_ASKING}) THEN 'Question isn''t interrogative'
+r AS (SELECT pos, CASE WHEN length(input) < 10 THEN 'Question too short' WHEN length(output) < 20 THEN 'Answer too short' WHEN NOT (ends_with(q, '?') OR {_ASKING}) THEN 'Question doesn''t appear to be interrogative'
  WHEN contains(lower(output), q) AND len(list_intersect(qw, aw))::DOUBLE / greatest(len(aw), 1) > 0.7::DOUBLE THEN 'Answer repeats too much of question' ELSE '' END AS reason FROM s)
 SELECT pos, reason = '' AS passed, reason FROM r"""
 )
@@ -447,13 +449,13 @@ def q_char_to_line(spark, d):
 
 
 @query(
-    f"""WITH f AS (SELECT doc_id, {sql_norm('text')} AS space, {sql_norm('substr(text, 101, 60)')} AS wanted, array_to_string(({sql_words('lower(substr(text, 101, 60))')})[1:5], ' ') AS head, length(substr(text, 101, 60)) AS n FROM documents WHERE length(text) > 100),
+    f"""WITH f AS (SELECT doc_id, {sql_norm('text')} AS space, {sql_norm('substr(text, length(text) // 3 + 1, 60)')} AS wanted, array_to_string(({sql_words('lower(substr(text, length(text) // 3 + 1, 60))')})[1:5], ' ') AS head, length(substr(text, length(text) // 3 + 1, 60)) AS n FROM documents),
 g AS (SELECT doc_id, n, nullif(strpos(space, wanted), 0) AS whole, CASE WHEN head <> '' THEN nullif(strpos(space, head), 0) END AS part FROM f)
 SELECT doc_id, (coalesce(whole, part) - 1)::INT AS char_start, (coalesce(whole, part) - 1 + n)::INT AS char_end, whole IS NULL AS fuzzy FROM g WHERE coalesce(whole, part) IS NOT NULL"""
 )
 def q_find_text(spark, d):
-    t = views.table(spark, d, "documents").where(F.length("text") > 100)
-    found = t.select("doc_id", lineage.find_text(F.col("text"), F.substring("text", 101, 60)).alias("f")).where("f IS NOT NULL")
+    part = F.substring("text", F.floor(F.length("text") / 3).cast("int") + 1, F.lit(60))
+    found = views.table(spark, d, "documents").select("doc_id", lineage.find_text(F.col("text"), part).alias("f")).where("f IS NOT NULL")
     return found.select("doc_id", "f.char_start", "f.char_end", "f.fuzzy")
 
 
@@ -506,7 +508,12 @@ def q_job_id(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q_pending_antijoin(spark, d):
-    return views.table(spark, d, "documents").join(views.table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
+    """What a job of all documents has still to do, where those with a label are done."""
+    job = jobs.Jobs(spark, f"{shared_folder(spark)}/loamworks/jobs-{uuid.uuid4().hex}")
+    done = views.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("result"))
+    job.append("job", done)
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return job.pending("job", docs).select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
 @query("SELECT 'job' AS job_id, count(*) FILTER (quality = 1) AS done, count(*) FILTER (quality = 0) AS failed, round(count(*) FILTER (quality = 1)::DOUBLE / count(*), 6) AS success_rate FROM labels")
@@ -518,9 +525,18 @@ def q_job_summary(spark, d):
 # ---- augmentation ----
 
 
-@query()
+_SYNONYMS = ", ".join(f"('{k}', {list(v)})" for k, v in augmentation.SYNONYMS.items())
+
+
+@query(
+    f"""WITH {PAIRS}, syn(bare, other) AS (VALUES {_SYNONYMS}), w AS (SELECT pos, output, v, {sql_words('output')} AS w FROM pairs, range(1, 3) AS r(v)),
+e AS (SELECT pos, output, v, i, w[i + 1] AS word FROM (SELECT *, unnest(range(len(w))) AS i FROM w)),
+h AS (SELECT *, ('0x' || left(sha256('0:' || pos || ':' || v || ':' || i), 15))::BIGINT % 1000000 AS h FROM e),
+p AS (SELECT h.*, other[(h // 7) % len(other) + 1] AS pick FROM h LEFT JOIN syn ON trim(lower(word), '.,!?;:') = bare),
+n AS (SELECT pos, output, v, string_agg(CASE WHEN pick IS NOT NULL AND h < 200000 THEN CASE WHEN regexp_matches(word, '^\\p{{Lu}}') THEN upper(pick[1]) || pick[2:] ELSE pick END || regexp_extract(word, '([.,!?;:])$', 1) ELSE word END, ' ' ORDER BY i) AS made FROM p GROUP BY pos, output, v)
+SELECT pos, made AS output, 'synonym' AS _augmentation FROM n WHERE made <> output"""
+)
 def q_synonym_augment(spark, d):
-    """Chosen by Spark's own hash: tested for determinism and against a statement of the rule."""
     return augmentation.synonym_augmenter().make(views.pairs(spark, d)).select("pos", "output", "_augmentation")
 
 

@@ -86,6 +86,7 @@ class Processor:
             from loamworks.operators.jobs import job_id
 
             job = job_id(docs, "extract", c.model).first()["job_id"]
+            jobs.start(job, docs.select("doc_id").distinct().count())
             pending = jobs.pending(job, docs, c.retry_failed)
         else:
             pending = docs

@@ -117,9 +117,9 @@ def test_extract(spark):
 
 
 def test_augmentation(spark):
-    df = spark.createDataFrame([(i, "what is it?", "This is a good and important answer, use it to help") for i in range(10)], "pos bigint, input string, output string")
+    df = spark.createDataFrame([(i, "what is it?", "This is a good and important need, use it to help") for i in range(10)], "pos bigint, input string, output string")
     a = augmentation.synonym_augmenter(share=1.0, variations=1).make(df)
-    assert a.count() == 10 and all(r.output != "x" and "good" not in r.output and "answer," not in r.output for r in a.collect())
+    assert a.count() == 10 and all(r.output != "x" and "good" not in r.output and "need," not in r.output for r in a.collect())
     assert sorted(a.collect()) == sorted(a.collect())
     llm = lambda p: "1. One way\n2) Other way\n3: Third" if "numbered" in p else "Changed text"
     assert augmentation.question_augmenter(llm).make(df).count() == 30
@@ -185,3 +185,53 @@ def test_parallel(spark):
     assert all("results for" in r.r.error for r in bad.collect())
     s = parallel.Stages().add("double", lambda x: x * 2, "bigint").add("big", lambda x: x > 4, is_filter=True)
     assert sorted(r.value for r in s.process(df).collect()) == [6, 8, 10]
+
+
+def test_cleanup_keeps_what_is_not_complete(spark, tmp_path):
+    j = jobs.Jobs(spark, f"file://{tmp_path}/jobs")
+    row = lambda i: spark.createDataFrame([(i, "done", None, None)], "doc_id string, status string, error string, result string")
+    j.append("unknown", row("a"))
+    j.start("half", 2)
+    j.append("half", row("a"))
+    j.start("whole", 1)
+    j.append("whole", row("a"))
+    assert {r.job_id: r.total for r in j.list().collect()} == {"unknown": None, "half": 2, "whole": 1}
+    assert j.table("half").count() == 1
+    assert j.cleanup(max_age_days=-1) == ["whole"]
+    assert {r.job_id for r in j.list().collect()} == {"unknown", "half"}
+
+
+async def _double(x):
+    return str(x * 2)
+
+
+def test_rate_limits(spark):
+    """Five calls at 20 a second take four gaps of 50 ms, of coroutines as of functions, and a task's share is its part."""
+    import time
+
+    one = spark.range(5).coalesce(1)
+    for fn, tasks, least in ((_double, 1, 0.2), (lambda x: str(x * 2), 1, 0.2), (_double, 3, 0.6)):
+        began = time.monotonic()
+        got = one.select(parallel.apply(fn, threads=5, per_second=20, tasks=tasks)("id").alias("a")).collect()
+        assert time.monotonic() - began >= least
+        assert [r.a.result for r in got] == ["0", "2", "4", "6", "8"]
+    turns = parallel.Turns(100)
+    with __import__("concurrent.futures").futures.ThreadPoolExecutor(8) as pool:
+        waits = sorted(pool.map(lambda _: turns.next(), range(20)))
+    assert waits[-1] > 0.15 and len(set(waits)) == 20
+
+
+def test_entry_survives_a_missing_package():
+    """Without tiktoken the queries of the operators that need it are left out, and the others are there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['tiktoken'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; assert 'q_chunk' in e.queries() and len(e.oracle_sql()) > 50"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
+
+
+def test_public_names():
+    import loamworks
+
+    assert all(callable(getattr(loamworks, n)) for n in loamworks.__all__)
