@@ -232,17 +232,23 @@ def gradients(model: Model, target: np.ndarray, around: np.ndarray) -> tuple[flo
     dt[:, -1] = ds
     if len(at):
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        dh[at[first], :TREE] += _run_sums(t[:, :-1] * ds[:, None], first)
+        dh[at[first], :TREE] += np.add.reduceat(t[:, :-1] * ds[:, None], first, axis=0)
     dh *= pre > 0
-    grads = {"w": (x.T @ dh).reshape(model.w.shape), "b": dh.sum(0), "v": h.T @ z, "c": z.sum(0)}
+    grads = {"w": (x.T @ dh).reshape(model.w.shape), "b": dh.sum(0), "v": h.T @ z, "c": np.ones(n, z.dtype) @ z}
     return float(loss) / n, grads, (dh @ w.T).reshape(n, 2 * WINDOW, DIM).transpose(1, 0, 2), dt, node
 
 
 def _run_sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The sum of each run of rows that begins at `begin`, the last one's to the end."""
-    total = np.cumsum(rows, axis=0)
-    out = total.take(np.append(begin[1:], len(rows)) - 1, axis=0)
-    out[1:] -= total.take(begin[1:] - 1, axis=0)
+    even = rows.shape[1] // 2 * 2
+    last = np.append(begin[1:], len(rows)) - 1
+    upto = np.empty((len(begin), rows.shape[1]), rows.dtype)
+    # two columns are added up at a time, as one complex number
+    upto[:, :even] = np.cumsum(rows[:, :even].view(np.result_type(rows.dtype, np.complex64)), axis=0).take(last, axis=0).view(rows.dtype)
+    if even < rows.shape[1]:
+        upto[:, even] = np.cumsum(rows[:, even]).take(last)
+    out = upto.copy()
+    out[1:] -= upto[:-1]
     return out
 
 
@@ -257,7 +263,10 @@ def _sparse_step(table: np.ndarray, past: np.ndarray, ids: np.ndarray, grads: np
     own += np.einsum("ij,ij->i", g, g) * np.float32(1 / g.shape[1])
     past[ids] = own
     g *= (np.float32(rate) / np.sqrt(own))[:, None]
-    table[ids] -= g
+    fresh = table.take(ids, axis=0)
+    fresh -= g
+    whole = f"V{table.itemsize * table.shape[1]}"  # a row as one item is copied faster
+    table.view(whole).ravel()[ids] = fresh.view(whole).ravel()
 
 
 def train_copy(model: Model, windows: np.ndarray, rate: float, seed: int, batch: int = BATCH) -> tuple[Model, np.ndarray, np.ndarray]:
@@ -277,10 +286,10 @@ def train_copy(model: Model, windows: np.ndarray, rate: float, seed: int, batch:
         if len(node):
             _sparse_step(own.t, sums["t"], node.astype(np.uint16), dt, rate)
     seen = np.bincount(windows[:, :-1].ravel(), minlength=TOKENS + 1).astype(float)
-    passed = np.zeros(NODES)
     often = np.bincount(windows[:, -1], minlength=TOKENS)
-    size = np.diff(own.begin)
-    np.add.at(passed, own.node, np.repeat(often, size).astype(float))
+    hit = np.flatnonzero(often)
+    row, node, _ = ways(own, hit)
+    passed = np.bincount(node, often[hit[row]], minlength=NODES)
     return own, seen, passed
 
 
@@ -348,8 +357,7 @@ def _copies(held: Broadcast, rate: float, turn: int, share: int, shard: int):
             own, seen, passed = train_copy(held.value, windows, rate, shards * 1000 + turn)
             dense = dense + _dense(own) * len(windows)
             for k, often in (("e", seen), ("t", passed)):
-                hit = np.flatnonzero(often)
-                sums[k][hit] += getattr(own, k)[hit] * often[hit, None]
+                sums[k] += getattr(own, k) * often[:, None]
                 weights[k] += often
             n, shards = n + len(windows), shards + 1
 
