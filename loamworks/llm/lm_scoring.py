@@ -210,11 +210,11 @@ def gradients(model: Model, target: np.ndarray, around: np.ndarray) -> tuple[flo
     z += model.c
     np.clip(z, -LIMIT, LIMIT, out=z)
     np.exp(z, out=z)
-    z *= 1 / (z @ np.ones(CLASSES, z.dtype))[:, None]
+    share = 1 / (z @ np.ones(CLASSES, z.dtype))
     of, row = model.of[target], np.arange(n)
-    loss = -np.log(np.maximum(z[row, of], 1e-12)).sum()
-    z[row, of] -= 1
-    z *= z.dtype.type(1 / n)
+    loss = -np.log(np.maximum(z[row, of] * share, 1e-12)).sum()
+    z *= (share / n)[:, None]
+    z[row, of] -= z.dtype.type(1 / n)
     dh = z @ model.v.T
     at, node, turn = ways(model, target)
     t = model.t.take(node, axis=0)
