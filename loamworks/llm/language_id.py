@@ -5,7 +5,7 @@ direction, and a softmax over both states gives each position its probabilities;
 all positions of a text is the text's.  Both carry their states over the whole text.
 
 Texts are read in stretches of STRETCH bytes, so that thousands of stretches of many texts step
-together.  A stretch begins with the state that WARM bytes of its neighbour leave behind; once all
+together, longest first, so that no step reads padding.  A stretch begins with the state that WARM bytes of its neighbour leave behind; once all
 are read, each that should have begun with another state - by more than TOLERANCE from the one its
 neighbour ended with - is read again from that one, until there is none.  The states are then those
 of one walk over the whole text, however long the network remembers.
@@ -37,7 +37,9 @@ STEPS, BATCH = 300, 192
 #: Segments of one row that it is trained on at most, evenly spread over the text.
 PER_TEXT = 64
 #: Stretches that step together; bytes of one, and of its neighbour that it starts from.
-TOGETHER, STRETCH, WARM = 2048, 256, 96
+TOGETHER, STRETCH, WARM = 2048, 1024, 96
+#: Positions labelled at a time, so that their probabilities stay in the processor's cache.
+BLOCK = 16384
 #: Most of a state that one byte leaves: what was read long ago fades.
 HELD = 0.9
 #: By how much a state may differ from the one that one walk over the text would have.
@@ -77,34 +79,31 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = SEGMENT) -> tu
     return x, owner, begin, n
 
 
-def states(model: Model, x: np.ndarray, keep: list | None = None, begin: np.ndarray | None = None, ahead: np.ndarray | None = None) -> np.ndarray:
-    """(T, 2, H, B) states: [t, 0] after reading bytes 0..t, [t, 1] after reading bytes T-1..t.
+def states(model: Model, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """(T, 2, H, B) states: [t, 0] after reading bytes 0..t, [t, 1] after reading bytes T-1..t; for training.
 
-    A padding byte leaves the state as it is. `keep` gets what the way back needs. `begin`: the
-    (2, H, B) states before the first byte read, else zeros. `ahead`: other bytes for the second
-    direction.
+    A padding byte leaves the state as it is. `keep` gets what the way back needs.
     """
     steps, n = x.shape
-    ahead = x if ahead is None else ahead
     hidden = model.u.shape[2]
     out = np.empty((steps, 2, hidden, n), np.float32)
     tables = [np.ascontiguousarray(t.T) for t in model.w]
-    h = np.zeros((2, hidden, n), np.float32) if begin is None else begin.astype(np.float32)
+    h = np.zeros((2, hidden, n), np.float32)
     g = np.empty((2, 3 * hidden, n), np.float32)
-    padded = [v.max(axis=1, initial=0) == 256 for v in (x, ahead)]
+    padded = x.max(axis=1, initial=0) == 256
     for t in range(steps):
         back = steps - 1 - t
         np.take(tables[0], x[t], axis=1, out=g[0], mode="clip")
-        np.take(tables[1], ahead[back], axis=1, out=g[1], mode="clip")
+        np.take(tables[1], x[back], axis=1, out=g[1], mode="clip")
         r = np.matmul(model.u, h)
         gates = g[:, : 2 * hidden] + r[:, : 2 * hidden]
         raw = gates.copy() if keep is not None else None
         np.clip(gates, 0, 1, out=gates)
         gates[:, hidden:] *= HELD
-        if padded[0][t]:
+        if padded[t]:
             gates[0, hidden:, x[t] == 256] = 1
-        if padded[1][back]:
-            gates[1, hidden:, ahead[back] == 256] = 1
+        if padded[back]:
+            gates[1, hidden:, x[back] == 256] = 1
         part = r[:, 2 * hidden :]
         cand = part * gates[:, :hidden]
         cand += g[:, 2 * hidden :]
@@ -236,15 +235,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(n, L) pooled probabilities, bytes of each text, and runs of equal labels as (owner, start, length, label)."""
     data, offsets = utf8(texts)
-    n, size = len(texts), np.diff(offsets)
-    pooled = np.zeros((n, len(model.languages)))
-    labels = np.empty(len(data), np.int32)
-    ends = np.cumsum(-(-size // STRETCH))
-    lo = 0
-    while lo < n:  # whole texts, about TOGETHER stretches at a time; one enormous text has more
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOGETHER, side="right")))
-        pooled[lo:hi] = _walk(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], labels[offsets[lo] : offsets[hi]])
-        lo = hi
+    size = np.diff(offsets)
+    pooled, labels = _walk(model, data, offsets)
     pooled /= np.maximum(size, 1)[:, None]
     edge = np.zeros(len(labels), bool)
     edge[1:] = labels[1:] != labels[:-1]
@@ -255,57 +247,117 @@ def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[
     return pooled, size, (owner, start - offsets[owner], length, labels[start] if len(start) else np.zeros(0, np.int32))
 
 
-def _walk(model: Model, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """(n, L) sums of the probabilities of each text's positions; fills `labels`."""
+def _read(w: np.ndarray, u: np.ndarray, x: np.ndarray, rows: list[int], h: np.ndarray, steps: range, out: np.ndarray | None = None) -> None:
+    """Take the (n, H) states `h` of one direction through bytes, in place.
+
+    Step t reads x[rows[t] : rows[t + 1]] into as many of the first states; `out` gets the states
+    after each byte. `w`: (3, 257, H) and `u`: (3, H, H), see `_walk`.
+    """
+    n, hidden = h.shape
+    g, r = np.empty((3, n, hidden), np.float32), np.empty((3, n, hidden), np.float32)
+    for t in steps:
+        a, b = rows[t], rows[t + 1]
+        k = b - a
+        at, state, gates = x[a:b], h[:k], r[:2, :k]
+        np.matmul(state, u, out=r[:, :k])
+        for j in (0, 1, 2):
+            w[j].take(at, axis=0, out=g[j, :k], mode="clip")
+        gates += g[:2, :k]
+        z, cand = r[1, :k], r[2, :k]
+        np.clip(gates[0], 0, 1, out=gates[0])
+        np.clip(z, 0, HELD, out=z)
+        cand *= gates[0]
+        cand += g[2, :k]
+        np.clip(cand, -1, 1, out=cand)
+        state -= cand
+        state *= z
+        state += cand
+        if out is not None:
+            out[a:b] = state
+
+
+def _packed(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(bytes, their places in `data`, where each step begins): step by step those of all stretches, longest first, that have one."""
+    count = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+    rows = [0, *np.cumsum(count).tolist()]
+    place = np.empty(rows[-1], np.int64)
+    for t in range(len(rows) - 1):
+        np.add(first[: rows[t + 1] - rows[t]], t, out=place[rows[t] : rows[t + 1]])
+    return data[place].astype(np.int64), place, rows
+
+
+def _walk(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, L) sums of the probabilities of each text's positions, and the label of every byte."""
     size = np.diff(offsets)
+    languages, hidden = len(model.languages), model.u.shape[2]
     count = -(-size // STRETCH)
     owner = np.repeat(np.arange(len(size)), count)
     begin = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
     used = np.minimum(size[owner] - begin, STRETCH)
     first = offsets[owner] + begin
-    n, hidden = len(owner), model.u.shape[2]
-    sums = np.zeros((n, len(model.languages)))
-    if not n:
-        return np.zeros((len(size), len(model.languages)))
+    n = len(owner)
+    labels = np.empty(len(data), np.int32)
+    sums = np.zeros((n, languages))
     has_left = begin > 0
-    has_right = np.append(owner[1:] == owner[:-1], False)
-    # by segment: what each direction begins with and ends with
-    start, end = np.zeros((2, hidden, n), np.float32), np.zeros((2, hidden, n), np.float32)
-
-    def take(at: np.ndarray, length: int, fits: np.ndarray) -> np.ndarray:
-        """(length, len(at)) bytes from `at` on; padding where they don't fit."""
-        place = at[None, :] + np.arange(length)[:, None]
-        x = data[np.clip(place, 0, len(data) - 1)].astype(np.int64)
-        x[np.arange(length)[:, None] >= fits[None, :]] = 256
-        return x
-
-    inner = np.flatnonzero(has_left | has_right)
-    for a in range(0, len(inner), TOGETHER):
-        s = inner[a : a + TOGETHER]
-        before = take(first[s] - WARM, WARM, np.where(has_left[s], WARM, 0))
-        after = take(first[s] + STRETCH, WARM, np.where(has_right[s], np.minimum(WARM, used[np.minimum(s + 1, n - 1)]), 0))
-        h = states(model, before, ahead=after)
-        start[0][:, s], start[1][:, s] = h[-1, 0], h[0, 1]
+    has_right = np.append(owner[1:] == owner[:-1], False)[:n]
+    # by direction, then gate or candidate: tables by byte and recurrent weights, those of the update gate times HELD
+    w = model.w.reshape(2, 257, 3, hidden).transpose(0, 2, 1, 3).astype(np.float32)
+    u = model.u.reshape(2, 3, hidden, hidden).transpose(0, 1, 3, 2).astype(np.float32)
+    w[:, 1] *= HELD
+    u[:, 1] *= HELD
+    w, u = np.ascontiguousarray(w), np.ascontiguousarray(u)
+    # by stretch: what each direction begins with and ends with
+    start, end = np.zeros((2, n, hidden), np.float32), np.zeros((2, n, hidden), np.float32)
+    for d, beside in ((0, np.flatnonzero(has_left) - 1), (1, np.flatnonzero(has_right) + 1)):
+        near = np.minimum(used[beside], WARM)
+        beside = beside[np.argsort(-near, kind="stable")]
+        for a in range(0, len(beside), TOGETHER):
+            s = beside[a : a + TOGETHER]
+            length = np.minimum(used[s], WARM)
+            x, _, rows = _packed(data, first[s] if d else first[s] + used[s] - length, length)
+            h = np.zeros((len(s), hidden), np.float32)
+            _read(w[d], u[d], x, rows, h, range(len(rows) - 1)[:: -1 if d else 1])
+            start[d, s - 1 if d else s + 1] = h
+    room = np.empty((2, min(TOGETHER * STRETCH, len(data)), hidden), np.float32)
     todo = np.arange(n)
     while len(todo):
+        todo = todo[np.argsort(-used[todo], kind="stable")]  # equal lengths step together
         for a in range(0, len(todo), TOGETHER):
             s = todo[a : a + TOGETHER]
-            x = take(first[s], STRETCH, used[s])
-            h = states(model, x, begin=start[:, :, s])
-            end[0][:, s], end[1][:, s] = h[-1, 0], h[0, 1]
-            p = position_probabilities(model, h)
-            best = p.argmax(axis=1)
-            real = x < 256
-            p *= real[:, None, :]
-            sums[s] = p.sum(axis=0, dtype=np.float64).T
-            place = first[s][None, :] + np.arange(STRETCH)[:, None]
-            labels[place[real]] = best[real]
+            x, place, rows = _packed(data, first[s], used[s])
+            out = room[:, : len(x)]
+            for d in (0, 1):
+                h = start[d, s]
+                _read(w[d], u[d], x, rows, h, range(len(rows) - 1)[:: -1 if d else 1], out[d])
+                end[d, s] = h
+            sums[s] = _label_positions(model, out, rows, place, labels, len(s))
         should = np.zeros_like(start)
-        should[0][:, has_left] = end[0][:, np.flatnonzero(has_left) - 1]
-        should[1][:, has_right] = end[1][:, np.flatnonzero(has_right) + 1]
-        todo = np.flatnonzero((np.abs(should - start) > TOLERANCE).any(axis=(0, 1)))
-        start[:, :, todo] = should[:, :, todo]
-    return np.stack([np.bincount(owner, sums[:, k], minlength=len(size)) for k in range(sums.shape[1])], axis=1)
+        should[0, has_left] = end[0, np.flatnonzero(has_left) - 1]
+        should[1, has_right] = end[1, np.flatnonzero(has_right) + 1]
+        todo = np.flatnonzero((np.abs(should - start) > TOLERANCE).any(axis=(0, 2)))
+        start[:, todo] = should[:, todo]
+    return np.stack([np.bincount(owner, sums[:, k], minlength=len(size)) for k in range(languages)], axis=1, dtype=np.float64), labels
+
+
+def _label_positions(model: Model, out: np.ndarray, rows: list[int], place: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """(n, L) sums of the probabilities of each stretch's positions; fills `labels` at `place`."""
+    sums = np.zeros((len(model.languages), n))
+    t = 0
+    while t < len(rows) - 1:
+        last = t + 1
+        while last < len(rows) - 1 and rows[last + 1] - rows[t] <= BLOCK:
+            last += 1
+        a, b = rows[t], rows[last]
+        p = position_probabilities(model, out[:, a:b].transpose(0, 2, 1)[None])[0]
+        top = p.max(axis=0)
+        best = np.empty(b - a, np.int32)
+        for k in range(len(p) - 1, -1, -1):  # the first by name in a tie
+            np.copyto(best, k, where=p[k] == top)
+        labels[place[a:b]] = best
+        for i in range(t, last):
+            sums[:, : rows[i + 1] - rows[i]] += p[:, rows[i] - a : rows[i + 1] - a]
+        t = last
+    return sums.T
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import odd
+import pandas as pd
 import pyarrow as pa
 import pytest
 from conftest import rows_of
@@ -179,6 +180,32 @@ def test_language_states_go_through_the_whole_text(spark):
     assert np.allclose(few, _plain_network(m, mixed[:1500]).mean(axis=0), atol=5e-3)
 
 
+def test_language_stretches_of_any_length():
+    rng = np.random.default_rng(3)
+    m = language_id.new_model(["a", "b", "c"], 8, rng)
+    edge = language_id.STRETCH
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (edge + 1, 0, 1, edge, 2 * edge + 7, edge - 1, 2 * edge + language_id.WARM, edge + 40)] + ["x" * (edge - 1) + "日本é"]
+    p, size, (owner, start, length, of) = language_id.label(m, pa.array(texts))
+    assert size.tolist() == [len(t.encode()) for t in texts]
+    for i, text in enumerate(texts):
+        if text:
+            plain = _plain_network(m, text)
+            top = np.sort(plain, axis=1)
+            got = np.repeat(of[owner == i], length[owner == i])
+            assert np.allclose(p[i], plain.mean(axis=0), atol=1e-3) and (got == plain.argmax(axis=1))[top[:, -1] - top[:, -2] > 0.02].all()
+
+
+def test_language_bytes_are_read_about_once(monkeypatch):
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    m = language_id.fit(docs.text.tolist(), docs.lang.tolist(), steps=60)
+    read = []
+    both, one = language_id.states, language_id._read
+    monkeypatch.setattr(language_id, "states", lambda m, x, *a, **k: read.append(2 * x.size) or both(m, x, *a, **k))
+    monkeypatch.setattr(language_id, "_read", lambda w, u, x, *a: read.append(x.size) or one(w, u, x, *a))
+    size = language_id.label(m, pa.array(docs.text.tolist()))[1]
+    assert 2 * size.sum() <= sum(read) < 2.5 * size.sum()
+
+
 def test_many_languages(spark):
     names = [f"l{i:03}" for i in range(150)]
     m = language_id.fit([f"{n} " * 10 for n in names], names, steps=2)
