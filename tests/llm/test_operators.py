@@ -353,6 +353,15 @@ def test_near_duplicates_odd(spark):
     assert near_dedup.near_duplicates(odd.empty(spark)).count() == 0 and near_dedup.drop_near_duplicates(odd.empty(spark)).count() == 0
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    rows = []
+    for i in range(3000):  # 30 of 50 shingles are shared
+        base = [f"w{i}x{j}" for j in range(42)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:32] + [f"v{i}x{j}" for j in range(10)]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.where("NOT keep").count() >= 2997 and got.where("group_id <> doc_id - doc_id % 2").count() <= 3
+
+
 # ---- repeated passages ----
 
 
