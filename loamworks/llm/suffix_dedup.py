@@ -13,6 +13,8 @@ The union of such runs is what a document repeats.
    the ranks that come back place the remaining suffixes among the sampled ones.
    A name of level l stands for 3^(l+1) words, and only the order of LENGTH-word prefixes matters
    here, so the recursion ends at the level whose names are that long.
+   Spark's rows are arrays of suffixes: of one block and one task when they are dealt to the tasks
+   by bounds drawn from a sample, and of one whole task once they are sorted.
 4. Neighbours in the suffix array are compared on their LENGTH-word prefix.  In each run of equal
    prefixes the first occurrence stays, and the others are repeated.
 
@@ -21,7 +23,8 @@ Places are counted in words, as defined in _text.py.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -202,8 +205,30 @@ def _bases(counts: list, n_key: str) -> tuple[dict[int, int], int]:
     return base, total
 
 
-def _text_blocks(regions: DataFrame, base: dict[int, int], length: int) -> DataFrame:
-    """(b, chars, prefix): BLOCK characters and two more, and the prefix hashes of the block's places."""
+def _blobs(of: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each value of `of`, with what belongs to it of each column, as bytes."""
+    order = np.argsort(of.astype(np.uint16) if len(of) and of.max() < 1 << 16 else of, kind="stable")
+    of = of[order]
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    edge = np.append(begin, len(of))
+    packed = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((edge * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])]) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(of[begin].astype(np.int64)), *packed], names=names)
+
+
+def _flat(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
+    """The values of all rows of a column of _blobs()."""
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+
+def _sample(chars: np.ndarray, b: int, n: int, step: int) -> bytes:
+    """(hi, lo, p) of every `step`-th suffix or so of a block; they tell where to cut the order of suffixes into tasks."""
+    at = _below(b, n)
+    at = at[mix((at + b * BLOCK).astype(np.uint64)) % np.uint64(step) == 0]
+    return np.stack([*_pack(chars, at), at + b * BLOCK], axis=1).tobytes()
+
+
+def _text_blocks(regions: DataFrame, base: dict[int, int], n: int, length: int, step: int) -> DataFrame:
+    """(b, chars, prefix, sample): BLOCK characters and two more, and the prefix hashes of the block's places."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,26 +251,48 @@ def _text_blocks(regions: DataFrame, base: dict[int, int], length: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["b", "at", "chars", "prefix"])
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
+        b = key[0].as_py()
         chars, prefix = np.zeros(BLOCK + 2, np.int64), np.zeros(BLOCK + 2, np.uint64)
         for at, c, p in zip(table["at"].to_pylist(), table["chars"].to_pylist(), table["prefix"].to_pylist(), strict=True):
             chars[at : at + len(c) // 8] = np.frombuffer(c, np.int64)
             prefix[at : at + len(p) // 8] = np.frombuffer(p, np.uint64)
-        return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "chars": pa.array([chars.tobytes()], pa.binary()), "prefix": pa.array([prefix.tobytes()], pa.binary())})
+        return pa.table({"b": pa.array([b], pa.int64()), "chars": pa.array([chars.tobytes()], pa.binary()), "prefix": pa.array([prefix.tobytes()], pa.binary()), "sample": pa.array([_sample(chars, b, n, step)], pa.binary())})
 
-    return regions.mapInArrow(emit, "b long, at long, chars binary, prefix binary").groupBy("b").applyInArrow(build, "b long, chars binary, prefix binary")
+    return regions.mapInArrow(emit, "b long, at long, chars binary, prefix binary").groupBy("b").applyInArrow(build, "b long, chars binary, prefix binary, sample binary")
 
 
-def _value_blocks(rows: DataFrame, name: str) -> DataFrame:
-    """(b, name): BLOCK values and two more, 0 where there is none, from rows (p, v)."""
+class Values(NamedTuple):
+    """Rows that hold many places and their values each, and what reads (p, v) from a batch of them."""
+
+    rows: DataFrame
+    read: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+    def moved(self, to: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Values:
+        read = self.read
+        return Values(self.rows, lambda batch: (to(p, v) for p, v in read(batch)))
+
+
+def _value_blocks(values: Values, name: str, n: int = 0, step: int = 0) -> DataFrame:
+    """(b, name): BLOCK values and two more, 0 where there is none; with `step` also a sample, if they are a text of n characters."""
+    read = values.read
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, v in read(batch):
+                b = p // BLOCK
+                halo = np.flatnonzero((p - b * BLOCK < 2) & (p >= BLOCK))
+                b = np.concatenate([b, b[halo] - 1])
+                at = np.concatenate([p, p[halo]]) - b * BLOCK
+                yield _blobs(b, [at.astype(np.int32), np.concatenate([v, v[halo]])], ["b", "at", "v"])
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(BLOCK + 2, np.int64)
-        out[table["p"].to_numpy() - key[0].as_py() * BLOCK] = table["v"].to_numpy()
-        return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), name: pa.array([out.tobytes()], pa.binary())})
+        out[_flat(table, "at", np.int32)] = _flat(table, "v")
+        b = key[0].as_py()
+        more = {"sample": pa.array([_sample(out, b, n, step)], pa.binary())} if step else {}
+        return pa.table({"b": pa.array([b], pa.int64()), name: pa.array([out.tobytes()], pa.binary()), **more})
 
-    own = (F.col("p") / BLOCK).cast("long")
-    halo = F.when((F.col("p") % BLOCK < 2) & (F.col("p") >= BLOCK), F.array(own, own - 1)).otherwise(F.array(own))
-    return rows.select(F.explode(halo).alias("b"), "p", "v").groupBy("b").applyInArrow(build, f"b long, {name} binary")
+    return values.rows.mapInArrow(emit, "b long, at binary, v binary").groupBy("b").applyInArrow(build, f"b long, {name} binary" + ", sample binary" * bool(step))
 
 
 def _pack(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,12 +310,44 @@ def _batches(columns: list[np.ndarray], names: list[str], size: int = 50_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + size]) for c in columns], names=names)
 
 
-def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) -> tuple[DataFrame, int, list[tuple[int, int]]]:
-    """(p, v) with the name v >= 1 of the triple at each sampled place p, how many names there are, and the triples at very many places.
+def _step(rows: int) -> int:
+    return max(1, rows // SAMPLES)
+
+
+def _samples(blocks: DataFrame) -> np.ndarray:
+    """(hi, lo, p) of the blocks' samples; SAMPLES to a task's rows come to the driver."""
+    return np.frombuffer(b"".join(r["sample"] for r in blocks.select("sample").collect()), np.int64).reshape(-1, 3)
+
+
+def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """`parts` - 1 of the sampled keys, in order, with about as many keys between them."""
+    if not len(keys):
+        return keys
+    keys = keys[np.lexsort(keys.T[::-1])]
+    return keys[np.arange(1, parts) * len(keys) // parts]
+
 
-    Equal triples may lie in several partitions: each tells its first and last one, as rows of v < 0,
-    so that a name goes on across the border, and those with an eighth of a task's rows or more.
+def range_of(bounds: np.ndarray, hi: np.ndarray, lo: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """How many of the bounds each key doesn't come before."""
+    low, high = (np.searchsorted(bounds[:, 0], hi, side=s) for s in ("left", "right"))
+    while (active := np.flatnonzero(low < high)).size:
+        middle = (low[active] + high[active]) // 2
+        b, c = bounds[middle, 1], bounds[middle, 2]
+        before = (lo[active] < b) | ((lo[active] == b) & (third[active] < c))
+        high[active[before]] = middle[before]
+        low[active[~before]] = middle[~before] + 1
+    return low
+
+
+def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) -> tuple[Values, int, list[tuple[int, int]]]:
+    """The name v >= 1 of the triple at each sampled place p, how many names there are, and the triples at very many places.
+
+    Equal triples may lie in several tasks: each tells its first and last one, so that a name goes
+    on across the border, and those with an eighth of a task's rows or more.
     """
+    keys = _samples(blocks)
+    bounds = _bounds(keys[keys[:, 2] % 3 != 0], max(1, -(-2 * n // 3 // rows)))
+    most = max(2, rows // 8)
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,64 +355,46 @@ def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) ->
                 at = _below(b, n)
                 at = at[(at + b * BLOCK) % 3 != 0]
                 hi, lo = _pack(np.frombuffer(raw, np.int64), at)
-                yield from _batches([hi, lo, at + b * BLOCK], ["hi", "lo", "p"])
+                p = at + b * BLOCK
+                yield _blobs(range_of(bounds, hi, lo, p), [hi, lo, p], ["part", "hi", "lo", "p"])
+
+    def name(key: tuple, table: pa.Table) -> pa.Table:
+        hi, lo = _flat(table, "hi"), _flat(table, "lo")
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        fresh = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+        begin = np.flatnonzero(fresh)
+        at = begin[np.diff(np.append(begin, len(hi))) >= most]  # 8 at most, as the rest has no room
+        told = [pa.array([np.stack([hi[x], lo[x]], axis=1).tobytes()], pa.binary()) for x in (np.array([0, -1]), at)]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([len(begin)], pa.int64()), *told, pa.array([_flat(table, "p")[order].tobytes()], pa.binary()), pa.array([fresh.tobytes()], pa.binary())], names=["part", "n", "ends", "many", "p", "fresh"])
+
+    told = blocks.select("b", "chars").mapInArrow(triples, "part long, hi binary, lo binary, p binary").groupBy("part").applyInArrow(name, "part long, n long, ends binary, many binary, p binary, fresh binary")
+    local = scratch.keep(told, f"names-{tag}")
+    many: set[tuple[int, int]] = set()
+    total, base, last = 0, {}, None
+    for r in sorted(local.select("part", "n", "ends", "many").collect(), key=lambda r: r["part"]):
+        first, end = map(tuple, np.frombuffer(r["ends"], np.int64).reshape(2, 2).tolist())
+        many |= set(map(tuple, np.frombuffer(r["many"], np.int64).reshape(-1, 2).tolist()))
+        base[r["part"]] = total - (last == first)
+        total, last = base[r["part"]] + r["n"], end
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count, last = TaskContext.get().partitionId(), 0, None
-        run, told = 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hi, lo = column(batch, "hi").to_numpy(), column(batch, "lo").to_numpy()
-            fresh = np.ones(len(hi), bool)
-            fresh[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-            fresh[0] = last != (hi[0], lo[0])
-            if last is None:
-                yield tell((hi[0], lo[0]), -1)
-            local = count + np.cumsum(fresh)
-            # ends of runs of equal triples, the last one's open
-            ends = np.append(np.flatnonzero(fresh), len(hi))
-            size = np.diff(np.concatenate([[-run], ends]))
-            for i in np.flatnonzero(size[:-1] >= most):
-                where = max(int(ends[i]) - 1, 0)
-                yield tell((hi[where], lo[where]) if ends[i] else last, -5 - 2 * told)
-                told += 1
-            run = int(size[-1])
-            count, last = int(local[-1]), (hi[-1], lo[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), part, np.int32)), pa.array(local), column(batch, "p")], names=["part", "v", "p"])
-        if last is not None:
-            yield tell(last, -3)
-            if run >= most:
-                yield tell(last, -5 - 2 * told)
-
-    def tell(triple: tuple[int, int], v: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(2, TaskContext.get().partitionId(), np.int32)), pa.array(np.array([v, v - 1])), pa.array(np.array(triple))], names=["part", "v", "p"])
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part, p, fresh in zip(column(batch, "part").to_pylist(), column(batch, "p").to_pylist(), column(batch, "fresh").to_pylist(), strict=True):
+            yield np.frombuffer(p, np.int64), base[part] + np.cumsum(np.frombuffer(fresh, np.uint8), dtype=np.int64)
 
-    most = max(2, rows // 8)
-    parts = max(1, -(-2 * n // 3 // rows))
-    ordered = blocks.select("b", "chars").mapInArrow(triples, "hi long, lo long, p long").repartitionByRange(parts, "hi", "lo", "p").sortWithinPartitions("hi", "lo")
-    local = scratch.keep(ordered.mapInArrow(name, "part int, v long, p long"), f"names-{tag}")
-    ends: dict[int, dict[int, int]] = {}
-    for r in local.where("v < 0").collect():  # 20 rows a partition at most
-        ends.setdefault(r["part"], {})[r["v"]] = r["p"]
-    many = sorted({(own[v], own[v - 1]) for own in ends.values() for v in own if v <= -5 and v % 2})
-    total, base, last = 0, {}, None
-    for r in sorted(local.groupBy("part").agg(F.max("v").alias("n")).collect(), key=lambda r: r["part"]):
-        own = ends[r["part"]]
-        base[r["part"]] = total - (last == (own[-1], own[-2]))
-        total, last = base[r["part"]] + r["n"], (own[-3], own[-4])
-    return _based(local.where("v > 0"), base), total, many
+    return Values(local.select("part", "p", "fresh"), read), total, sorted(many)
 
 
-def _based(local: DataFrame, base: dict[int, int]) -> DataFrame:
-    """(p, v) with v counted over all partitions."""
+def _ranked(local: DataFrame) -> Values:
+    """The ranks, from 1, of places that lie in order in (part, n, p)."""
+    starts, _ = _bases(local.select("part", "n").collect(), "n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            add = np.array([base[x] for x in column(batch, "part").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "p"), pa.array(column(batch, "v").to_numpy() + add)], names=["p", "v"])
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part, raw in zip(column(batch, "part").to_pylist(), column(batch, "p").to_pylist(), strict=True):
+            p = np.frombuffer(raw, np.int64)
+            yield p, np.arange(starts[part] + 1, starts[part] + 1 + len(p))
 
-    return local.mapInArrow(run, "p long, v long")
+    return Values(local.select("part", "p"), read)
 
 
 def sort_suffixes(text: np.ndarray) -> np.ndarray:
@@ -353,9 +414,10 @@ def _base_ranks(blocks: DataFrame, n: int) -> DataFrame:
         text = np.zeros((n + BLOCK - 1) // BLOCK * BLOCK, np.int64)
         for b, raw in zip(table["b"].to_pylist(), table["chars"].to_pylist(), strict=True):
             text[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(raw, np.int64)[:BLOCK]
-        return pa.table({"p": np.arange(n), "v": sort_suffixes(text[:n])})
+        order = np.argsort(sort_suffixes(text[:n]), kind="stable")
+        return pa.table({"part": pa.array([0], pa.int64()), "n": pa.array([n], pa.int64()), "p": pa.array([order.tobytes()], pa.binary())})
 
-    return blocks.select(F.lit(0).alias("one"), "b", "chars").groupBy("one").applyInArrow(run, "p long, v long")
+    return blocks.select(F.lit(0).alias("one"), "b", "chars").groupBy("one").applyInArrow(run, "part long, n long, p binary")
 
 
 def merge_runs(run: np.ndarray, kind: np.ndarray, ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
@@ -381,7 +443,7 @@ def merge_runs(run: np.ndarray, kind: np.ndarray, ra: np.ndarray, rb: np.ndarray
     return np.concatenate([sampled, others])[np.argsort(key, kind="stable")]
 
 
-def _pivots(blocks: DataFrame, ranks: DataFrame, n: int, rows: int, many: list[tuple[int, int]]) -> dict[tuple[int, int], dict[str, np.ndarray]]:
+def _pivots(blocks: DataFrame, ranks: Values, n: int, rows: int, many: list[tuple[int, int]]) -> dict[tuple[int, int], dict[str, np.ndarray]]:
     """For each triple that too many suffixes begin with, the sampled suffixes it is cut at, in order: p, kind, own, next.
 
     own: the suffix's rank; next: that of the next suffix for kind 1, of the one after for kind 2.
@@ -389,7 +451,7 @@ def _pivots(blocks: DataFrame, ranks: DataFrame, n: int, rows: int, many: list[t
     """
     if not many:
         return {}
-    step = max(1, rows // SAMPLES)
+    step = _step(rows)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,10 +463,18 @@ def _pivots(blocks: DataFrame, ranks: DataFrame, n: int, rows: int, many: list[t
                 hot = np.logical_or.reduce([(hi == x) & (lo == y) for x, y in many])
                 yield from _batches([hi[hot], lo[hot], at[hot] + b * BLOCK], ["hi", "lo", "p"])
 
-    spark = blocks.sparkSession
     found = blocks.select("b", "chars").mapInArrow(some, "hi long, lo long, p long").collect()
     places = sorted({q for r in found for q in (r["p"], r["p"] + (1 if r["p"] % 3 == 1 else 2))})
-    rank = {r["p"]: r["v"] for r in ranks.join(F.broadcast(spark.createDataFrame([(q,) for q in places], "p long")), "p").collect()}
+    wanted = np.array(places, np.int64)
+    read = ranks.read
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, v in read(batch):
+                own = np.isin(p, wanted)
+                yield from _batches([p[own], v[own]], ["p", "v"])
+
+    rank = {r["p"]: r["v"] for r in ranks.rows.mapInArrow(asked, "p long, v long").collect()}
     out: dict[tuple[int, int], dict[str, np.ndarray]] = {}
     for triple in {(r["hi"], r["lo"]) for r in found}:
         own = sorted((rank[r["p"]], r["p"]) for r in found if (r["hi"], r["lo"]) == triple)[CUT // 2 :: CUT]
@@ -428,12 +498,19 @@ def cuts(hot: dict[tuple[int, int], dict[str, np.ndarray]], hi: np.ndarray, lo:
     return out
 
 
-def _merged(blocks: DataFrame, ranks: DataFrame, n: int, rows_: int, many: list[tuple[int, int]], scratch: Scratch, tag: str, final: bool) -> DataFrame:
-    """All suffixes in order: (part, v, p) with the place v in the partition.
+def _merged(blocks: DataFrame, ranks: Values, n: int, rows_: int, many: list[tuple[int, int]], scratch: Scratch, tag: str, final: bool) -> DataFrame:
+    """All suffixes in order: (part, n, p), where p has the places of the part's n suffixes.
 
-    If `final`, instead (p,) of those whose prefix is repeated at an earlier place.
+    If `final`, instead (b, p): in each block the places whose prefix is repeated at an earlier place.
     """
     hot = _pivots(blocks, ranks, n, rows_, many)
+    keys = _samples(blocks).copy()
+    keys[:, 2] = -1
+    for (x, y), cut in hot.items():  # the pivots are as many suffixes apart, so the sample is dealt to the parts between them
+        own = np.flatnonzero((keys[:, 0] == x) & (keys[:, 1] == y))
+        keys[own, 2] = np.arange(len(own)) * (len(cut["p"]) + 1) // max(1, len(own))
+    bounds = _bounds(keys, max(1, -(-n // rows_)))
+    wanted = ["hi", "lo", "p", "ra", "rb", *(["cut"] if hot else []), *(["prefix"] if final else [])]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -449,107 +526,97 @@ def _merged(blocks: DataFrame, ranks: DataFrame, n: int, rows_: int, many: list[
                 p = at + b * BLOCK
                 ra = np.where(p % 3 == 0, rank[at + 1], rank[at])
                 rb = np.where(p % 3 == 1, rank[at + 1], rank[at + 2])
-                cols = [hi, lo, p, ra, rb, *([cuts(hot, hi, lo, p, ra, rb)] if hot else []), *([own[at]] if final else [])]
-                yield from _batches(cols, wanted)
-
-    key = ["hi", "lo", *(["cut"] if hot else [])]
-    wanted = ["hi", "lo", "p", "ra", "rb", *(["cut"] if hot else []), *(["prefix"] if final else [])]
+                cut = cuts(hot, hi, lo, p, ra, rb)
+                yield _blobs(range_of(bounds, hi, lo, cut), [hi, lo, p, ra, rb, *([cut] if hot else []), *([own[at]] if final else [])], ["part", *wanted])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        c = {x: _flat(table, x, np.int32 if x == "cut" else np.int64) for x in wanted}
+        by = [c[x] for x in ("hi", "lo", "cut") if x in c]
+        order = np.lexsort(by[::-1])
+        by = [x[order] for x in by]
+        run = np.cumsum(np.concatenate([[False], np.logical_or.reduce([x[1:] != x[:-1] for x in by])]))
+        order = order[merge_runs(run, c["p"][order] % 3, c["ra"][order], c["rb"][order])]
+        p = c["p"][order]
+        if not final:
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(p)], pa.int64()), "p": pa.array([p.tobytes()], pa.binary())})
+        prefix = c["prefix"][order]  # the merge keeps the runs where they are
+        fresh = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (run[1:] != run[:-1])])
+        begin = np.flatnonzero(fresh)
+        first = np.minimum.reduceat(p, begin)
+        later = p[p != np.repeat(first, np.diff(np.append(begin, len(p))))]
+        edges = np.zeros((0, 2), np.int64)
+        if hot:  # the first and the last prefix of each part of a triple may go on in its neighbours
+            of_run = run[begin]
+            edge = np.concatenate([[True], of_run[1:] != of_run[:-1]])
+            edge |= np.append(edge[1:], True)
+            edge &= c["cut"][order][begin] >= 0
+            edges = np.stack([first[edge], prefix[begin][edge]], axis=1)
+        return pa.table({"p": pa.array([later.tobytes()], pa.binary()), "edges": pa.array([edges.tobytes()], pa.binary())})
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in column(batch, "p").to_pylist():
+                p = np.frombuffer(raw, np.int64)
+                yield _blobs(p // BLOCK, [p], ["b", "p"])
 
-    def changes(c: dict[str, np.ndarray]) -> np.ndarray:
-        """Where another triple begins, or another part of one that is cut."""
-        return np.concatenate([[False], np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in key])])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count = TaskContext.get().partitionId(), 0
-        held: list[dict[str, np.ndarray]] = []
-        size = 0
-
-        def work(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-            nonlocal count
-            run = np.cumsum(changes(c))
-            order = merge_runs(run, c["p"] % 3, c["ra"], c["rb"])
-            p = c["p"][order]
-            if not final:
-                v = count + 1 + np.arange(len(p))
-                count += len(p)
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), part, np.int32)), pa.array(v), pa.array(p)], names=["part", "v", "p"])
-            prefix, run = c["prefix"][order], run[order]
-            fresh = np.concatenate([[True], prefix[1:] != prefix[:-1]])
-            fresh[1:] |= run[1:] != run[:-1]
-            begin = np.flatnonzero(fresh)
-            first = np.minimum.reduceat(p, begin)
-            later = p != np.repeat(first, np.diff(np.append(begin, len(p))))
-            found, of = [p[later]], [np.zeros(int(later.sum()), np.int64)]
-            if hot:  # the first and the last prefix of each part of a triple may go on in its neighbours
-                of_run = run[begin]
-                edge = np.concatenate([[True], of_run[1:] != of_run[:-1]])
-                edge |= np.append(edge[1:], True)
-                edge &= c["cut"][order][begin] >= 0
-                found.append(first[edge])
-                of.append(prefix[begin][edge])
-            of = np.concatenate(of)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(of, mask=of == 0)], names=["p", "prefix"])
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _flat(batch, "edges").reshape(-1, 2)
+            yield from _batches([x[:, 0], x[:, 1]], ["p", "prefix"])
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append({x: column(batch, x).to_numpy() for x in wanted})
-            size += batch.num_rows
-            if size >= 200_000:
-                c = {x: np.concatenate([h[x] for h in held]) for x in wanted}
-                # the last run of equal triples may go on in the next batch
-                last = np.flatnonzero(changes(c))
-                keep = int(last[-1]) if len(last) else 0
-                if keep:
-                    yield work({x: v[:keep] for x, v in c.items()})
-                held, size = [{x: v[keep:] for x, v in c.items()}], len(c["p"]) - keep
-        if size:
-            yield work({x: np.concatenate([h[x] for h in held]) for x in wanted})
-
-    joined = blocks.join(_value_blocks(ranks, "ranks"), "b", "left")
-    fields = ", ".join(f"{x} {'int' if x == 'cut' else 'long'}" for x in wanted)
-    ordered = joined.mapInArrow(rows, fields).repartitionByRange(max(1, -(-n // rows_)), *key).sortWithinPartitions(*key)
-    kept = scratch.keep(ordered.mapInArrow(merge, "p long, prefix long" if final else "part int, v long, p long"), f"merged-{tag}")
+            p = column(batch, "p").to_numpy()
+            yield _blobs(p // BLOCK, [p], ["b", "p"])
+
+    joined = blocks.drop("sample").join(_value_blocks(ranks, "ranks"), "b", "left")
+    dealt = joined.mapInArrow(rows, "part long, " + ", ".join(f"{x} binary" for x in wanted)).groupBy("part")
+    kept = scratch.keep(dealt.applyInArrow(merge, "p binary, edges binary" if final else "part long, n long, p binary"), f"merged-{tag}")
     if not final:
         return kept
-    repeated = kept.where("prefix IS NULL").select("p")
+    repeated = kept.select("p").mapInArrow(spread, "b long, p binary")
     if not hot:
         return repeated
-    borders = kept.where("prefix IS NOT NULL").withColumn("first", F.min("p").over(Window.partitionBy("prefix")))
-    return repeated.unionAll(borders.where("p > first").select("p"))
+    borders = kept.select("edges").mapInArrow(edges, "p long, prefix long").withColumn("first", F.min("p").over(Window.partitionBy("prefix")))
+    return repeated.unionAll(borders.where("p > first").select("p").mapInArrow(gather, "b long, p binary"))
 
 
-def _sample_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """(p, v) with the rank of each sampled suffix, and the triples at very many places; `covered`: words that a character stands for."""
+def _sample_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> tuple[Values, list[tuple[int, int]]]:
+    """The rank of each sampled suffix, and the triples at very many places; `covered`: words that a character stands for."""
     names, distinct, many = _named(blocks, n, rows, scratch, str(level))
     n1, n2 = (n + 1) // 3, n // 3
     if distinct == n1 + n2 or 3 * covered >= length:
         return names, many
-    place = F.when(F.col("p") % 3 == 1, F.floor((F.col("p") - 1) / 3)).otherwise(n1 + F.floor((F.col("p") - 2) / 3))
-    below = scratch.keep(_value_blocks(names.select(place.alias("p"), "v"), "chars"), f"text-{level + 1}")
+
+    def place(p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(p % 3 == 1, p // 3, n1 + p // 3), v
+
+    def back(p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = p < n1 + n2
+        p = p[own]
+        return np.where(p < n1, 3 * p + 1, 3 * (p - n1) + 2), v[own]
+
     m = n1 + n2 + ((n1 + n2) % 3 == 1)
+    below = scratch.keep(_value_blocks(names.moved(place), "chars", m, _step(rows)), f"text-{level + 1}")
     scratch.drop(f"names-{level}")
-    ranks = _all_ranks(below, m, level + 1, 3 * covered, length, base, rows, scratch)
-    back = F.when(F.col("p") < n1, 3 * F.col("p") + 1).otherwise(3 * (F.col("p") - n1) + 2)
-    return ranks.where(F.col("p") < n1 + n2).select(back.alias("p"), "v"), many
+    return _all_ranks(below, m, level + 1, 3 * covered, length, base, rows, scratch).moved(back), many
 
 
-def _all_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> DataFrame:
-    """(p, v) with the rank of every suffix of a text of n characters, n % 3 != 1."""
+def _all_ranks(blocks: DataFrame, n: int, level: int, covered: int, length: int, base: int, rows: int, scratch: Scratch) -> Values:
+    """The rank of every suffix of a text of n characters, n % 3 != 1."""
     if n <= base:
-        return scratch.keep(_base_ranks(blocks, n), f"base-{level}")
+        return _ranked(scratch.keep(_base_ranks(blocks, n), f"base-{level}"))
     ranks, many = _sample_ranks(blocks, n, level, covered, length, base, rows, scratch)
     local = _merged(blocks, ranks, n, rows, many, scratch, str(level), final=False)
     scratch.drop(*(f"{x}-{y}" for x, y in (("names", level), ("merged", level + 1), ("text", level), ("base", level + 1))))
-    starts, _ = _bases(local.groupBy("part").agg(F.max("v").alias("n")).collect(), "n")
-    return _based(local, starts)
+    return _ranked(local)
 
 
 def _flagged(regions: DataFrame, length: int, base: int, rows: int, scratch: Scratch) -> DataFrame:
-    """(th, start) of every LENGTH-word run of the regions that has occurred before."""
+    """(th, start, end) of what every LENGTH-word run of the regions makes up that has occurred before."""
     starts, n = _bases(regions.groupBy("part").agg(F.sum("size").alias("n")).collect(), "n")
-    blocks = scratch.keep(_text_blocks(regions, starts, length), "text-0")
     n += n % 3 == 1  # one character 0 at the end
+    blocks = scratch.keep(_text_blocks(regions, starts, n, length, _step(rows)), "text-0")
     ranks, many = _sample_ranks(blocks, n, 0, 1, length, base, rows, scratch)
     repeated = _merged(blocks, ranks, n, rows, many, scratch, "0", final=True)
     scratch.drop("names-0", "merged-1", "base-1", "text-0")
@@ -566,7 +633,7 @@ def _flagged(regions: DataFrame, length: int, base: int, rows: int, scratch: Scr
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.combine_chunks().sort_by("begin")
-        p = np.sort(left["p"].to_numpy())
+        p = np.sort(_flat(left, "p"))
         begin = right["begin"].to_numpy()
         if not len(p) or not len(begin):
             return pa.table({"th": pa.array([], pa.binary()), "start": pa.array([], pa.int64()), "end": pa.array([], pa.int64())})
@@ -579,8 +646,7 @@ def _flagged(regions: DataFrame, length: int, base: int, rows: int, scratch: Scr
         return pa.table({"th": right["th"].take(pa.array(at[head])), "start": place[head], "end": place[tail] + length})
 
     homes = regions.select("part", "off", "size", "th", "start").mapInArrow(where, "b long, begin long, th binary, start long")
-    flagged = repeated.withColumn("b", F.floor(F.col("p") / BLOCK))
-    return flagged.groupBy("b").cogroup(homes.groupBy("b")).applyInArrow(locate, "th binary, start long, end long")
+    return repeated.groupBy("b").cogroup(homes.groupBy("b")).applyInArrow(locate, "th binary, start long, end long")
 
 
 def _union(found: DataFrame) -> DataFrame:

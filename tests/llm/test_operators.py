@@ -428,6 +428,40 @@ def test_a_line_in_half_of_all_documents(spark):
     assert cut[-1] and max(len(c["p"]) for c in cut[-1].values()) > 1
 
 
+def test_suffixes_move_in_blocks(spark, sf, monkeypatch):
+    """What the sorts write is a row for each task, not one for each suffix; and that is still the whole result."""
+    keep, sizes = suffix_dedup.Scratch.keep, {}
+
+    def counted(self, df, name):
+        kept = keep(self, df, name)
+        sizes[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "keep", counted)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = suffix_dedup.repeated_passages(docs, base=2000, rows=5000).collect()
+    monkeypatch.undo()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, suffix_dedup.repeated_passages(docs).collect())) and len(got) > 50
+    sorts = {k: v for k, v in sizes.items() if k.startswith(("names", "merged", "base"))}
+    assert len(sorts) >= 6 and max(sorts.values()) > 1 and sum(sorts.values()) < 300
+
+
+def test_values_of_blocks_and_keys_of_tasks(spark):
+    rng = np.random.default_rng(5)
+    n = 2 * suffix_dedup.BLOCK + 9
+    order, half = rng.permutation(n), n // 2
+    df = spark.createDataFrame([(0, half, order[:half].tobytes()), (1, n - half, order[half:].tobytes())], "part long, n long, p binary")
+    want = np.zeros(3 * suffix_dedup.BLOCK + 2, np.int64)
+    want[order] = np.arange(1, n + 1)
+    blocks = {r.b: np.frombuffer(r.v, np.int64) for r in suffix_dedup._value_blocks(suffix_dedup._ranked(df), "v").collect()}
+    assert sorted(blocks) == [0, 1, 2]
+    for b, v in blocks.items():
+        assert (v == want[b * suffix_dedup.BLOCK : (b + 1) * suffix_dedup.BLOCK + 2]).all()
+    keys = rng.integers(0, 4, (500, 3))
+    bounds = suffix_dedup._bounds(keys, 9)
+    assert suffix_dedup.range_of(bounds, *keys.T).tolist() == [sum(tuple(b) <= tuple(k) for b in bounds.tolist()) for k in keys.tolist()]
+
+
 def test_named_documents(spark):
     a = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([("x", a), ("b", a + " eleven"), (None, a), ("c", None)], "doc_id string, text string")
