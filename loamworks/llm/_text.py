@@ -196,3 +196,18 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int, short: bool) ->
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def blobs(of: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each value of `of`, with what belongs to it of each column, as bytes."""
+    order = np.argsort(of.astype(np.uint16) if len(of) and of.max() < 1 << 16 else of, kind="stable")
+    of = of[order]
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    edge = np.append(begin, len(of))
+    packed = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((edge * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])]) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(of[begin].astype(np.int64)), *packed], names=names)
+
+
+def flat(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
+    """The values of all rows of a column of blobs()."""
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)

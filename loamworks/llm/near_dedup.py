@@ -12,6 +12,9 @@ Only pairs that could still join two groups are compared: first each node with t
 it meets most often, then with its other leaders in other groups, then all pairs across groups of
 a bucket.  Pairs inside a group can't change it, so a group of thousands costs thousands of
 comparisons, not millions, and no bucket or list of partners is capped.
+
+Buckets and posterior can miss a pair. So last, an exact prefix filter over the shingles of all nodes
+finds every pair across groups that can still reach the threshold, and these are verified too.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 
 from loamworks.llm import _text
 from loamworks.llm._io import Scratch
-from loamworks.llm._text import WORD_SQL, column, lowered, pieces, shingle_hashes, spans, utf8, word_hashes
+from loamworks.llm._text import WORD_SQL, blobs, column, flat, lowered, pieces, shingle_hashes, spans, utf8, word_hashes
 
 SHINGLE = 3
 THRESHOLD = 0.6
@@ -36,6 +39,8 @@ BANDS, ROWS = 64, 4
 #: Hashes compared before the posterior is looked at again.
 BATCH = 32
 MISS = 1e-6
+#: Characters whose shingles one task counts, and shingles that are dealt to the tasks at a time.
+CHARS, DEALT = 4_000_000, 500_000
 
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 32, 1024, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -74,6 +79,15 @@ def text_keys(words: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return keys
 
 
+def text_head(th: str) -> Column:
+    """The first 8 bytes as a number, the lowest first, as numpy reads them."""
+    word = F.hex(th)
+    swapped = F.concat(*(F.substring(word, 15 - 2 * i, 2) for i in range(8)))
+    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
+    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
 def signatures(texts: pa.Array, shingle: int, hashes: int) -> tuple[list[bytes | None], list[bytes | None]]:
     """(key, signature) of each text; both None for a text without words. hashes = 0: no signatures."""
     keys: list[bytes | None] = []
@@ -163,7 +177,7 @@ def _bands(nodes: DataFrame, order: str, bands: int, rows: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, order: str, scratch: Scratch, name: str, shingle: int, threshold: float, batch_hashes: int, miss: float) -> DataFrame:
-    """The pairs (a, b) of nodes that reach the threshold, by 64-bit hashes of all their shingles."""
+    """The pairs (a, b) of nodes that reach the threshold, by 64-bit hashes of all their shingles. miss = 0: none is dropped before, and no signatures are read."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,13 +214,129 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, order: str, sc
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     node = f"struct<ord: {order}, th: binary>"
-    sig = nodes.select("th", "sig")
-    both = pairs.join(sig.select(F.col("th").alias("th_a"), F.col("sig").alias("sig_a")), F.col("a.th") == F.col("th_a")).join(sig.select(F.col("th").alias("th_b"), F.col("sig").alias("sig_b")), F.col("b.th") == F.col("th_b"))
-    likely = both.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, f"a {node}, b {node}")
+    if not miss:
+        likely = pairs.select("a", "b")
+    else:
+        sig = nodes.select("th", "sig")
+        both = pairs.join(sig.select(F.col("th").alias("th_a"), F.col("sig").alias("sig_a")), F.col("a.th") == F.col("th_a")).join(sig.select(F.col("th").alias("th_b"), F.col("sig").alias("sig_b")), F.col("b.th") == F.col("th_b"))
+        likely = both.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, f"a {node}, b {node}")
     full = likely.join(texts.select(F.col("th").alias("th_b"), F.col("text").alias("text_b")), F.col("b.th") == F.col("th_b")).join(texts.select(F.col("th").alias("th_a"), F.col("text").alias("text_a")), F.col("a.th") == F.col("th_a"))
     return scratch.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(exact, f"a {node}, b {node}"), name)
 
 
+def _unmet(docs: DataFrame, nodes: DataFrame, labels: DataFrame, shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of nodes in different groups that can reach the threshold.
+
+    Two sets of n and m that do share at least threshold * max(n, m) shingles, so in any order of
+    all shingles a shared one is among the first n - threshold * n + 1 of the one, and so of the
+    other. The order is by the number of texts a shingle is in: those of one text come first and are
+    shared by none. A pair's first common place bounds what can be common from there on.
+    Shingles go by 48 bits here, which only adds pairs: of a text's n, d fell together with another
+    of its own, and as many fewer must be common, so the prefix is as long as without that.
+    """
+    spark = docs.sparkSession
+    chars = docs.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS))
+
+    def part(x: np.ndarray) -> np.ndarray:
+        return (_text.mix(x.astype(np.uint64)) >> np.uint64(20)) % np.uint64(parts)
+
+    def halves(h: np.ndarray) -> list[np.ndarray]:
+        return [(h >> 16).astype(np.uint32), (h & 0xFFFF).astype(np.uint16)]
+
+    def whole(table: pa.Table) -> np.ndarray:
+        return flat(table, "high", np.uint32).astype(np.int64) << 16 | flat(table, "low", np.uint16)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            data, offsets = utf8(lowered(column(batch, "__text")))
+            for lo, hi in pieces(offsets):
+                own, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                starts, ends, first = spans(own, off)
+                words = word_hashes(own, starts, ends)
+                h, begin = shingle_hashes(words, first, shingle, short=True)
+                if not len(h):
+                    continue
+                text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+                h = h[np.lexsort((h, text))]  # the order by text is as it was
+                other = np.concatenate([[True], text[1:] != text[:-1]])
+                n = np.bincount(text[other | (h != np.roll(h, 1))], minlength=len(begin) - 1).astype(np.int32)
+                h = (h >> np.uint64(16)).view(np.int64)
+                fresh = other | (h != np.roll(h, 1))
+                h, text = h[fresh], text[fresh]
+                d = n - np.bincount(text, minlength=len(begin) - 1).astype(np.int32)
+                t = np.frombuffer(b"".join(k[:8] if k else bytes(8) for k in text_keys(words, first)), np.int64)
+                held.append([h, t[text], n[text], d[text]])
+                if sum(len(x[0]) for x in held) >= DEALT:
+                    x = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    held = []
+                    yield blobs(part(x[0]), [*halves(x[0]), *x[1:]], ["part", "high", "low", "t", "n", "d"])
+        if held:
+            x = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield blobs(part(x[0]), [*halves(x[0]), *x[1:]], ["part", "high", "low", "t", "n", "d"])
+
+    def shared(key: tuple, table: pa.Table) -> pa.Table:
+        h, t = whole(table), flat(table, "t")
+        order = np.lexsort((t, h))
+        h, t = h[order], t[order]
+        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])  # copies of a text are one
+        h, t, order = h[fresh], t[fresh], order[fresh]
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.diff(np.append(begin, len(h)))
+        count = np.repeat(count, count)
+        own = count > 1
+        h, t, order = h[own], t[own], order[own]
+        more = [np.minimum(count[own], 0xFFFF).astype(np.uint16), *(flat(table, x, np.int32)[order] for x in ("n", "d"))]
+        return pa.Table.from_batches([blobs(part(t), [*halves(h), t, *more], ["part", "high", "low", "t", "count", "n", "d"])])
+
+    def prefixes(key: tuple, table: pa.Table) -> pa.Table:
+        h, t, n, d = whole(table), flat(table, "t"), flat(table, "n", np.int32), flat(table, "d", np.int32)
+        order = np.lexsort((h, flat(table, "count", np.uint16), t))
+        h, t, n, d = h[order], t[order], n[order], d[order]
+        fresh = np.concatenate([[True], t[1:] != t[:-1]])
+        begin, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        alone = n[begin] - d[begin] - np.diff(np.append(begin, len(t)))
+        at = np.arange(len(t)) - begin[of] + alone[of]
+        own = at < (n - np.ceil(threshold * n - 1e-6) + 1)
+        found = blobs(of[own], [h[own], at[own].astype(np.int32)], ["i", "h", "at"])
+        i = begin[column(found, "i").to_numpy()]
+        return pa.table({"t": t[i], "n": n[i], "h": column(found, "h"), "at": column(found, "at")})
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                size = [len(x) // 8 for x in column(batch, "h").to_pylist()]
+                h = flat(batch, "h")
+                yield blobs(part(h), [h, flat(batch, "at", np.int32), *(np.repeat(column(batch, c).to_numpy(), size) for c in ("t", "n", "g"))], ["part", "h", "at", "t", "n", "g"])
+
+    def crossing(key: tuple, table: pa.Table) -> pa.Table:
+        c = {x: flat(table, x, np.int32 if x in ("at", "n") else np.int64) for x in ("h", "t", "g", "n", "at")}
+        order = np.argsort(c["h"], kind="stable")
+        h, g = c["h"][order], c["g"][order]
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        several = np.minimum.reduceat(g, begin) != np.maximum.reduceat(g, begin)
+        own = order[np.repeat(several, np.diff(np.append(begin, len(h))))]
+        return pa.table({x: v[own] for x, v in c.items()})
+
+    counted = docs.select("__text").mapInArrow(dealt, "part long, high binary, low binary, t binary, n binary, d binary").groupBy("part").applyInArrow(shared, "part long, high binary, low binary, t binary, count binary, n binary, d binary")
+    first = counted.groupBy("part").applyInArrow(prefixes, "t long, n int, h binary, at binary")
+    own = nodes.select("th", text_head("th").alias("t"))
+    grouped = own.join(labels.select("th", F.col("label.th").alias("l")), "th", "left").select("t", F.when(F.col("l").isNull(), F.col("t")).otherwise(text_head("l")).alias("g"))
+    met = first.join(grouped, "t").mapInArrow(spread, "part long, h binary, at binary, t binary, n binary, g binary").groupBy("part").applyInArrow(crossing, "h long, t long, g long, n int, at int")
+    met = scratch.keep(met, "met")
+    a, b = (met.select("h", *(F.col(x).alias(f"{x}_{s}") for x in ("t", "g", "n", "at"))) for s in "ab")
+    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6
+    pairs = a.join(b, "h").where((F.col("t_a") < F.col("t_b")) & (F.col("g_a") != F.col("g_b")) & sizes).groupBy("t_a", "t_b", "n_a", "n_b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    likely = pairs.where(most >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    for s in "ab":
+        likely = likely.join(nodes.select(text_head("th").alias(f"t_{s}"), F.struct("ord", "th").alias(s)), f"t_{s}")
+    unmet = scratch.keep(likely.select("a", "b"), "unmet")
+    scratch.drop("met")
+    return unmet
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, str]:
     """(th, label) for each node of an edge (a, b), and the scratch table it is in; label: the least node of its component.
 
@@ -272,9 +402,22 @@ def _groups(docs: DataFrame, kind: str, order: str, scratch: Scratch, shingle: i
     last = _verify(across.join(led, ["a", "b"], "left_anti"), nodes, texts, order, scratch, "edges-3", shingle, threshold, batch_hashes, miss)
     labels, table = components(edges.unionAll(last), scratch, "labels-3")
     labels_kept.append(table)
+    # what no bucket brought together, and what the posterior dropped; the signatures go first, as this takes their room
+    edges = edges.unionAll(last)
+    signed = scratch.keep(signed.select("__id", "th"), "rows")
+    nodes = scratch.keep(nodes.select("th", "ord"), "places")
+    scratch.drop("signed", "nodes", "texts", "led", "mixed", "members", *labels_kept[:-1])
+    unmet = _unmet(docs, nodes, labels, shingle, threshold, scratch)
+    if unmet.limit(1).count():
+        ends = unmet.select(F.col("a.th").alias("th")).unionAll(unmet.select(F.col("b.th"))).distinct()
+        their = scratch.keep(_keyed_texts(docs.select("__text").where("__text IS NOT NULL")).join(ends, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "texts-4")
+        missed = _verify(unmet, nodes, their, order, scratch, "edges-4", shingle, threshold, batch_hashes, 0)
+        if missed.limit(1).count():
+            labels, table = components(edges.unionAll(missed), scratch, "labels-4")
+            labels_kept.append(table)
     groups = scratch.keep(labels.join(nodes.select("th", "ord"), "th").select("th", "ord", "label"), "groups")
-    scratch.drop("texts", "led", "mixed", "members", "nodes", *(f"edges-{i}" for i in (1, 2, 3)), *labels_kept)
-    return signed.select("__id", "th"), groups
+    scratch.drop("texts-4", "places", "unmet", *(f"edges-{i}" for i in (1, 2, 3, 4)), *labels_kept)
+    return signed, groups
 
 
 def near_duplicates(
@@ -310,7 +453,7 @@ def near_duplicates(
     group = F.when(whole, F.col("least")).otherwise(id_at("label.ord", kind))
     found = ranked.select(F.col("__id").alias(id_col), group.alias("group_id"), ((F.col("at") == 1) & (whole | (F.col("label.th") == F.col("th")))).alias("keep"))
     kept = scratch.keep(found, "found")
-    scratch.drop("signed", "groups")
+    scratch.drop("rows", "groups")
     return kept
 
 
@@ -331,7 +474,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: flo
 
     keyed = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("__th", T.BinaryType())]))
     losers = scratch.keep(groups.where(F.col("label.th") != F.col("th")).select(F.col("th").alias("__th")), "losers")
-    scratch.drop("signed", "groups")
+    scratch.drop("rows", "groups")
     left = keyed.join(losers, "__th", "left_anti").withColumn("__alone", F.when(F.col("__th").isNull(), F.monotonically_increasing_id()))
     by = Window.partitionBy("__th", "__alone").orderBy(id_order(F.col(names[docs.columns.index(id_col)]).cast(kind), kind))
     first = left.withColumn("__at", F.row_number().over(by)).where("__at = 1")

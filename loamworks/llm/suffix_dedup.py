@@ -29,13 +29,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamworks.llm._io import Scratch
-from loamworks.llm._text import WORD_SQL, column, lowered, mix, pieces, shingle_hashes, spans, utf8, word_hashes
-from loamworks.llm.near_dedup import id_order, id_types, text_keys
+from loamworks.llm._text import WORD_SQL, blobs, column, flat, lowered, mix, pieces, shingle_hashes, spans, utf8, word_hashes
+from loamworks.llm.near_dedup import id_order, id_types, text_head, text_keys
 
 #: Words of the shortest passage that counts as repeated.
 LENGTH = 50
@@ -205,21 +205,6 @@ def _bases(counts: list, n_key: str) -> tuple[dict[int, int], int]:
     return base, total
 
 
-def _blobs(of: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """A row for each value of `of`, with what belongs to it of each column, as bytes."""
-    order = np.argsort(of.astype(np.uint16) if len(of) and of.max() < 1 << 16 else of, kind="stable")
-    of = of[order]
-    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    edge = np.append(begin, len(of))
-    packed = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((edge * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])]) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(of[begin].astype(np.int64)), *packed], names=names)
-
-
-def _flat(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
-    """The values of all rows of a column of _blobs()."""
-    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
-
-
 def _sample(chars: np.ndarray, b: int, n: int, step: int) -> bytes:
     """(hi, lo, p) of every `step`-th suffix or so of a block; they tell where to cut the order of suffixes into tasks."""
     at = _below(b, n)
@@ -283,11 +268,11 @@ def _value_blocks(values: Values, name: str, n: int = 0, step: int = 0) -> DataF
                 halo = np.flatnonzero((p - b * BLOCK < 2) & (p >= BLOCK))
                 b = np.concatenate([b, b[halo] - 1])
                 at = np.concatenate([p, p[halo]]) - b * BLOCK
-                yield _blobs(b, [at.astype(np.int32), np.concatenate([v, v[halo]])], ["b", "at", "v"])
+                yield blobs(b, [at.astype(np.int32), np.concatenate([v, v[halo]])], ["b", "at", "v"])
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(BLOCK + 2, np.int64)
-        out[_flat(table, "at", np.int32)] = _flat(table, "v")
+        out[flat(table, "at", np.int32)] = flat(table, "v")
         b = key[0].as_py()
         more = {"sample": pa.array([_sample(out, b, n, step)], pa.binary())} if step else {}
         return pa.table({"b": pa.array([b], pa.int64()), name: pa.array([out.tobytes()], pa.binary()), **more})
@@ -356,17 +341,17 @@ def _named(blocks: DataFrame, n: int, rows: int, scratch: Scratch, tag: str) ->
                 at = at[(at + b * BLOCK) % 3 != 0]
                 hi, lo = _pack(np.frombuffer(raw, np.int64), at)
                 p = at + b * BLOCK
-                yield _blobs(range_of(bounds, hi, lo, p), [hi, lo, p], ["part", "hi", "lo", "p"])
+                yield blobs(range_of(bounds, hi, lo, p), [hi, lo, p], ["part", "hi", "lo", "p"])
 
     def name(key: tuple, table: pa.Table) -> pa.Table:
-        hi, lo = _flat(table, "hi"), _flat(table, "lo")
+        hi, lo = flat(table, "hi"), flat(table, "lo")
         order = np.lexsort((lo, hi))
         hi, lo = hi[order], lo[order]
         fresh = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
         begin = np.flatnonzero(fresh)
         at = begin[np.diff(np.append(begin, len(hi))) >= most]  # 8 at most, as the rest has no room
         told = [pa.array([np.stack([hi[x], lo[x]], axis=1).tobytes()], pa.binary()) for x in (np.array([0, -1]), at)]
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([len(begin)], pa.int64()), *told, pa.array([_flat(table, "p")[order].tobytes()], pa.binary()), pa.array([fresh.tobytes()], pa.binary())], names=["part", "n", "ends", "many", "p", "fresh"])
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([len(begin)], pa.int64()), *told, pa.array([flat(table, "p")[order].tobytes()], pa.binary()), pa.array([fresh.tobytes()], pa.binary())], names=["part", "n", "ends", "many", "p", "fresh"])
 
     told = blocks.select("b", "chars").mapInArrow(triples, "part long, hi binary, lo binary, p binary").groupBy("part").applyInArrow(name, "part long, n long, ends binary, many binary, p binary, fresh binary")
     local = scratch.keep(told, f"names-{tag}")
@@ -527,10 +512,10 @@ def _merged(blocks: DataFrame, ranks: Values, n: int, rows_: int, many: list[tup
                 ra = np.where(p % 3 == 0, rank[at + 1], rank[at])
                 rb = np.where(p % 3 == 1, rank[at + 1], rank[at + 2])
                 cut = cuts(hot, hi, lo, p, ra, rb)
-                yield _blobs(range_of(bounds, hi, lo, cut), [hi, lo, p, ra, rb, *([cut] if hot else []), *([own[at]] if final else [])], ["part", *wanted])
+                yield blobs(range_of(bounds, hi, lo, cut), [hi, lo, p, ra, rb, *([cut] if hot else []), *([own[at]] if final else [])], ["part", *wanted])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        c = {x: _flat(table, x, np.int32 if x == "cut" else np.int64) for x in wanted}
+        c = {x: flat(table, x, np.int32 if x == "cut" else np.int64) for x in wanted}
         by = [c[x] for x in ("hi", "lo", "cut") if x in c]
         order = np.lexsort(by[::-1])
         by = [x[order] for x in by]
@@ -557,17 +542,17 @@ def _merged(blocks: DataFrame, ranks: Values, n: int, rows_: int, many: list[tup
         for batch in batches:
             for raw in column(batch, "p").to_pylist():
                 p = np.frombuffer(raw, np.int64)
-                yield _blobs(p // BLOCK, [p], ["b", "p"])
+                yield blobs(p // BLOCK, [p], ["b", "p"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _flat(batch, "edges").reshape(-1, 2)
+            x = flat(batch, "edges").reshape(-1, 2)
             yield from _batches([x[:, 0], x[:, 1]], ["p", "prefix"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = column(batch, "p").to_numpy()
-            yield _blobs(p // BLOCK, [p], ["b", "p"])
+            yield blobs(p // BLOCK, [p], ["b", "p"])
 
     joined = blocks.drop("sample").join(_value_blocks(ranks, "ranks"), "b", "left")
     dealt = joined.mapInArrow(rows, "part long, " + ", ".join(f"{x} binary" for x in wanted)).groupBy("part")
@@ -633,7 +618,7 @@ def _flagged(regions: DataFrame, length: int, base: int, rows: int, scratch: Scr
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.combine_chunks().sort_by("begin")
-        p = np.sort(_flat(left, "p"))
+        p = np.sort(flat(left, "p"))
         begin = right["begin"].to_numpy()
         if not len(p) or not len(begin):
             return pa.table({"th": pa.array([], pa.binary()), "start": pa.array([], pa.int64()), "end": pa.array([], pa.int64())})
@@ -668,7 +653,7 @@ def _passages(docs: DataFrame, kinds: tuple[str, str], length: int, base: int, r
         return keys, docs.sparkSession.createDataFrame([], "th binary, start long, end long")
     first = long.groupBy("th").agg(F.min("ord").alias("ord"))
     places = hits.groupBy("t").agg(F.collect_set("place").alias("hits"))
-    wanted = first.withColumn("t", _head("th")).join(places, "t").select("th", "ord", "hits")
+    wanted = first.withColumn("t", text_head("th")).join(places, "t").select("th", "ord", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -689,15 +674,6 @@ def _passages(docs: DataFrame, kinds: tuple[str, str], length: int, base: int, r
     return keys, spans_
 
 
-def _head(th: str) -> Column:
-    """The first 8 bytes as a number, the lowest first, as in _grams()."""
-    word = F.hex(th)
-    swapped = F.concat(*(F.substring(word, 15 - 2 * i, 2) for i in range(8)))
-    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
-    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
 def repeated_passages(docs: DataFrame, length: int = LENGTH, base: int = BASE, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word): the parts of each text, in words, that `length`-word runs seen before make up.
 

@@ -362,6 +362,19 @@ def test_pairs_at_the_threshold_are_found(spark):
     assert got.where("NOT keep").count() >= 2997 and got.where("group_id <> doc_id - doc_id % 2").count() <= 3
 
 
+@pytest.mark.parametrize("bands", [1, near_dedup.BANDS])
+def test_no_pair_at_the_threshold_is_lost(spark, bands):
+    """Of each four texts the first is at 0.6 to the second and third (30 of 50 shingles) and below to the fourth (29 of 51); one band of buckets finds few of these pairs."""
+    rows, want = [], {}
+    for i in range(1500):
+        base = [f"w{i}x{j}" for j in range(42)]
+        rows += [(4 * i, " ".join(base)), (4 * i + 1, " ".join(base[:32] + [f"v{i}x{j}" for j in range(10)])), (4 * i + 2, " ".join([f"u{i}x{j}" for j in range(10)] + base[10:]))]
+        rows.append((4 * i + 3, " ".join(base[:31] + [f"t{i}x{j}" for j in range(11)])))
+        want |= {4 * i + k: 4 * i for k in range(3)} | {4 * i + 3: 4 * i + 3}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bands=bands)
+    assert {r.doc_id: r.group_id for r in got.collect()} == want
+
+
 # ---- repeated passages ----
 
 
