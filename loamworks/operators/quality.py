@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamworks.functions.text import jaccard, let, normalised, short_hash, words
+from loamworks.functions.text import let, normalised, short_hash, words
 from loamworks.functions.verdicts import ContentFilter, Filter, LengthFilter, QASpecificFilter, RepetitionFilter, TokenLengthFilter, field_text
+from loamworks.operators.alike import Alike
 from loamworks.sources.scratch import written
 
 
@@ -69,10 +70,10 @@ class DuplicateFilter:
         return items.join(found, self.pos).withColumn("duplicate", F.struct((F.col("reason") == "").alias("passed"), "reason")).drop("reason")
 
     def _scalable(self, items: DataFrame) -> DataFrame:
-        norm = items.select(F.col(self.pos).alias("pos"), normalised(field_text(self.field)).alias("norm"))
-        first = norm.groupBy(F.sha2("norm", 256).alias("key")).agg(F.min("pos").alias("pos"), F.min_by("norm", "pos").alias("norm"))
-        pairs = near_pairs(first.select("pos", "norm"), self.threshold)
-        dropped = greedy(pairs)
+        alike = Alike(items.select(F.col(self.pos).alias("pos"), normalised(field_text(self.field)).alias("norm")), self.threshold)
+        # the first row of each text; the others repeat it exactly
+        first = written(alike.groups.withColumn("first", F.min("pos").over(Window.partitionBy("text_key"))).where("pos = first").drop("first"))
+        dropped = greedy(alike.pairs(first))
         kept = first.select(F.col("pos").alias("kept_pos")).join(dropped.select(F.col("b").alias("kept_pos"), F.lit(True).alias("near")), "kept_pos", "left")
         reason = F.when(F.col("kept_pos").isNull(), "Exact duplicate").when(F.col("near"), "Near-duplicate").otherwise("")
         marked = items.join(kept, F.col(self.pos) == F.col("kept_pos"), "left").withColumn("duplicate", F.struct((reason == "").alias("passed"), reason.alias("reason")))
@@ -80,23 +81,9 @@ class DuplicateFilter:
 
 
 def near_pairs(docs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b of (pos, norm) whose Jaccard of words exceeds the threshold.
-
-    Prefix filter: two sets this alike share a word among the rarest floor((1 - t) n) + 1 of each.
-    """
-    sets = docs.select("pos", F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != "")).alias("w")).where(F.size("w") > 0)
-    sets = written(sets)  # read four times
-    long = sets.select("pos", F.size("w").alias("n"), F.explode("w").alias("word"))
-    often = long.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = long.join(often, "word").withColumn("at", F.row_number().over(Window.partitionBy("pos").orderBy("df", "word")))
-    # a hair more than the formula, as products of floats may fall below a whole number
-    prefix = ranked.where(F.col("at") <= F.floor((1 - F.lit(threshold)) * F.col("n") + 1e-9) + 1).select("pos", "n", "word")
-    other = prefix.select(F.col("pos").alias("b"), F.col("n").alias("nb"), "word")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") > F.lit(threshold) * F.greatest("na", "nb"))
-    candidates = prefix.select(F.col("pos").alias("a"), F.col("n").alias("na"), "word").join(other, "word").where(fits).select("a", "b").distinct()
-    at = [sets.select(F.col("pos").alias(s), F.col("w").alias(f"w{s}")) for s in "ab"]
-    scored = candidates.join(at[0], "a").join(at[1], "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity"))
-    return scored.where(F.col("similarity") > threshold)
+    """(a, b, similarity) of all pairs a < b of (pos, norm) whose Jaccard of words exceeds the threshold."""
+    alike = Alike(docs, threshold)
+    return alike.pairs(alike.groups)
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -105,8 +92,6 @@ def greedy(pairs: DataFrame) -> DataFrame:
     Each round decides every row whose earlier partners are all decided, so it takes as many rounds
     as the longest chain; pairs are few, and each round is written to cut the lineage.
     """
-    from loamworks.sources.scratch import written
-
     edges = written(pairs.select("a", "b"))
     state = written(edges.select(F.col("a").alias("x")).unionAll(edges.select("b")).distinct().select("x", F.lit(None).cast("boolean").alias("goes")))
     while True:

@@ -25,7 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df`, written once and read from there."""
-    path = f"{shared_folder(df.sparkSession)}/loamworks/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df`, written once and read from there; the shuffle files that made it are deleted, as nothing needs them again."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/loamworks/{uuid.uuid4().hex}"
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
