@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +18,9 @@ from loamworks.sources.scratch import written
 class DuplicateFilter:
     """Rows that repeat an earlier one, exactly or nearly; `pos` gives the order.
 
-    mode "sequential" compares each row with the last 100 kept ones, in one task and in order.
-    mode "scalable" compares it with all earlier rows, in parallel: exact repeats by hash, near ones
-    by a prefix filter, and a row goes if it repeats a row that is itself kept.
+    mode "sequential" compares each row with the last 100 kept ones, in order.
+    mode "scalable" compares it with all earlier rows, and a row goes if it repeats a row that is itself kept.
+    Both find exact repeats by hash and near ones by a prefix filter, in parallel.
     """
 
     name = "duplicate"
@@ -37,36 +35,25 @@ class DuplicateFilter:
         return self._sequential(items) if self.mode == "sequential" else self._scalable(items)
 
     def _sequential(self, items: DataFrame) -> DataFrame:
-        threshold = self.threshold
-        keyed = items.select(self.pos, normalised(field_text(self.field)).alias("norm"))
-
-        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: set[str] = set()
-            recent: deque[set[str]] = deque(maxlen=100)
-            for batch in batches:
-                reasons = []
-                for norm in batch["norm"]:
-                    key = hashlib.sha256(norm.encode()).hexdigest()[:16]
-                    if key in seen:
-                        reasons.append("Exact duplicate")
-                        continue
-                    own, why = set(norm.split(" ")) - {""}, ""
-                    for other in recent:
-                        both = len(own & other)
-                        sim = both / (len(own) + len(other) - both) if own and other else 0.0
-                        if sim > threshold:
-                            why = f"Near-duplicate (similarity: {sim:.2f})"
-                            break
-                    if not why:
-                        seen.add(key)
-                        recent.append(own)
-                    reasons.append(why)
-                yield pd.DataFrame({self_pos: batch[self_pos], "reason": reasons})
-
-        self_pos = self.pos
-        kind = items.schema[self.pos].dataType.simpleString()
-        # one task by nature: each verdict needs those of all rows before it
-        found = keyed.repartition(1).sortWithinPartitions(self.pos).mapInPandas(fold, f"`{self.pos}` {kind}, reason string")
+        """All near pairs are found in parallel; the fold in order only gets hashes, and nothing of a row that repeats no other."""
+        alike = Alike(items.select(F.col(self.pos).alias("pos"), normalised(field_text(self.field)).alias("norm")), self.threshold)
+        partner = F.struct("other", "similarity")
+        ends = [alike.links.select(F.col(a).alias("rep"), F.col(b).alias("other"), "similarity") for a, b in ("xy", "yx")]
+        ends = ends[0].union(ends[1])
+        linked = ends.select("rep").distinct().withColumn("linked", F.lit(True))
+        # rows with no partner are kept for sure; a partner that more than 100 of them part from a row isn't among the last 100 kept
+        sure = F.count_if(~F.col("many") & F.col("linked").isNull()).over(Window.orderBy("pos"))
+        every = written(alike.groups.join(linked, "rep", "left").withColumn("sure", sure))
+        first = every.where("linked AND pos = rep").select("rep", "sure", "many")
+        ends = ends.join(first, "rep").join(first.toDF("other", "other_sure", "other_many"), "other")
+        ends = ends.where(F.col("many") | F.col("other_many") | ((F.col("rep") > F.col("other")) & (F.col("sure") - F.col("other_sure") <= 100)))
+        near = ends.groupBy("rep").agg(F.collect_list(partner).alias("near"))
+        some = F.col("many") | F.col("linked").isNotNull()
+        kind = every.schema["pos"].dataType.simpleString()
+        keyed = every.join(near, "rep", "left").select("pos", *[F.when(some, F.col(c)).alias(c) for c in ("text_key", "rep", "n")], "near")
+        # one task by nature, as each verdict needs those of all rows before it
+        found = keyed.repartition(1).sortWithinPartitions("pos").mapInArrow(in_order(self.threshold), f"pos {kind}, reason string")
+        found = written(found).withColumnRenamed("pos", self.pos)
         return items.join(found, self.pos).withColumn("duplicate", F.struct((F.col("reason") == "").alias("passed"), "reason")).drop("reason")
 
     def _scalable(self, items: DataFrame) -> DataFrame:
@@ -80,6 +67,38 @@ class DuplicateFilter:
         return marked.drop("kept_pos", "near")
 
 
+def in_order(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Verdicts on rows (pos, text_key, rep, n, near) in order, against the last 100 kept ones; a null text_key repeats no other row."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        last: dict = {}  # how many were kept before the last kept row of a representative
+        kept = 0
+        for batch in batches:
+            reasons = []
+            for key, rep, n, near in zip(*(batch.column(c).to_pylist() for c in ("text_key", "rep", "n", "near")), strict=True):
+                if key is None:
+                    kept += 1
+                    reasons.append("")
+                    continue
+                if key in seen:
+                    reasons.append("Exact duplicate")
+                    continue
+                others = [(rep, 1.0)] if n and threshold < 1 else []
+                others += [(x["other"], x["similarity"]) for x in near or ()]
+                recent = [(last[o], similarity) for o, similarity in others if last.get(o, -101) >= kept - 100]
+                if recent:
+                    reasons.append(f"Near-duplicate (similarity: {min(recent)[1]:.2f})")
+                    continue
+                seen.add(key)
+                last[rep] = kept
+                kept += 1
+                reasons.append("")
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(reasons, pa.string())], ["pos", "reason"])
+
+    return fold
+
+
 def near_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs a < b of (pos, norm) whose Jaccard of words exceeds the threshold."""
     alike = Alike(docs, threshold)

@@ -40,3 +40,23 @@ def test_few_are_compared(spark, monkeypatch):
     monkeypatch.setattr(alike, "candidates", lambda *x: compared.append(found(*x)) or compared[-1])
     assert quality.near_pairs(spark.createDataFrame(list(enumerate(texts)), "pos bigint, norm string"), 0.9).count() >= 300 * 299 // 2
     assert compared[0].count() < 2000  # of 404 550
+
+
+def test_in_order_gets_no_text(spark, monkeypatch):
+    """The one task of the sequential filter reads hashes, and nothing of rows that repeat no other; the window is of kept rows."""
+    from test_quality import plain_duplicates
+
+    own = lambda i: " ".join(f"v{i}x{k}" for k in range(40))
+    changed = lambda i: own(i).replace(f"v{i}x7", "other")
+    texts = [own(0), own(1), *[own(1)] * 50, *map(own, range(2, 101)), changed(0), changed(1), changed(90), own(0), changed(1), "", ""]
+    read = []
+
+    def kept_of(threshold, made=quality.in_order):
+        read.append(threshold)
+        return made(threshold)
+
+    monkeypatch.setattr(quality, "in_order", kept_of)
+    items = spark.createDataFrame(list(enumerate(texts)), "pos bigint, output string")
+    got = [r.reason for r in quality.DuplicateFilter().mark(items).select("pos", "duplicate.reason").orderBy("pos").collect()]
+    assert [r[:4] for r in got] == [w[:4] for w in plain_duplicates(texts)]
+    assert read == [0.9]
