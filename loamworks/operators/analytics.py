@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from loamworks.functions.text import base_name, normalised, token_count, words
 
@@ -92,7 +93,10 @@ def top_bigrams(items: DataFrame, n: int = 50, field: str = "output", pos: str =
     tailed = items.select(F.col(pos).alias("pos"), w.alias("w")).where(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     found = tailed.select("pos", F.posexplode(pairs).alias("at", "bigram"))
-    counted = found.groupBy("bigram").agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first"))
+    # (pos, at) as one number where it can be, as structs are aggregated by sorting all of the pairs
+    whole = isinstance(items.schema[pos].dataType, IntegralType)
+    first = F.col("pos").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("at") if whole else F.struct("pos", "at")
+    counted = found.groupBy("bigram").agg(F.count("*").alias("n"), F.min(first).alias("first"))
     return counted.orderBy(F.desc("n"), "first").limit(n).select("bigram", "n")
 
 

@@ -235,3 +235,14 @@ def test_public_names():
     import loamworks
 
     assert all(callable(getattr(loamworks, n)) for n in loamworks.__all__)
+
+
+def test_bigrams_are_counted_by_hash(spark, capsys):
+    """Not by sorting all pairs; ties of a text go by place, also if pos is far from 0."""
+    from loamworks.operators import analytics
+
+    items = spark.createDataFrame([(-3, "c d c e"), (2**62, "a b"), (5, "d c f")], "pos bigint, output string")
+    top = analytics.top_bigrams(items)
+    assert [tuple(r) for r in top.collect()] == [("d c", 2), ("c d", 1), ("c e", 1), ("c f", 1), ("a b", 1)]
+    top.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
