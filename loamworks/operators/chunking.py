@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,17 @@ def chunk_text(text: str, size: int, overlap: int = 0) -> list[str]:
     return found
 
 
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """`texts` in runs of at most so many bytes, or of one text: a batch of Spark's is as large as its rows are long."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts) or not at:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def chunk(text: Column, size: int = 3000, overlap: int = 0) -> Column:
     """array<string>; null for null."""
     if size < 1 or overlap < 0 or overlap >= max(1, size // 2):
@@ -38,7 +51,8 @@ def chunk(text: Column, size: int = 3000, overlap: int = 0) -> Column:
     @F.arrow_udf("array<string>")
     def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield pa.array([None if t is None else chunk_text(t, size, overlap) for t in part.to_pylist()], pa.list_(pa.string()))
+            for few in slices(part):
+                yield pa.array([None if t is None else chunk_text(t, size, overlap) for t in few.to_pylist()], pa.list_(pa.string()))
 
     return cut(text)
 

@@ -246,3 +246,15 @@ def test_bigrams_are_counted_by_hash(spark, capsys):
     assert [tuple(r) for r in top.collect()] == [("d c", 2), ("c d", 1), ("c e", 1), ("c f", 1), ("a b", 1)]
     top.explain()
     assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_chunks_take_few_texts_at_once():
+    import pyarrow as pa
+
+    from loamworks.operators import chunking
+
+    texts = ["x" * 10, None, "", "y" * 30, "z" * 3, "é" * 4]
+    for part in (pa.array(texts), pa.array(["", *texts])[1:], pa.array([None, None], pa.string()), pa.array([], pa.string())):
+        found = list(chunking.slices(part, 12))
+        assert [t for f in found for t in f.to_pylist()] == part.to_pylist()
+        assert all(len(f) <= 1 or sum(len((t or "").encode()) for t in f.to_pylist()) <= 12 for f in found)
